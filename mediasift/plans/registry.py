@@ -34,4 +34,4 @@ def tidy(df: DataFrame, places: int = 6) -> DataFrame:
 
 def R(expr: str, places: int = 6) -> str:
     """SQL text of ``tidy`` for one expression."""
-    return f"(round({expr},{places})+0.0)"
+    return f"(round(CAST(({expr}) AS DOUBLE),{places})+0.0)"
