@@ -88,7 +88,12 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double")))
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for use inside array lambdas (otherwise it is recomputed per element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def cosine(a: Column, b: Column, eps: float = 1e-12) -> Column:
@@ -96,14 +101,21 @@ def cosine(a: Column, b: Column, eps: float = 1e-12) -> Column:
 
 
 def centred(a: Column) -> Column:
-    mean = vsum(a) / F.size(a)
-    return F.transform(a, lambda e: e.cast("double") - mean)
+    return let(vsum(a) / F.size(a), lambda m: F.transform(a, lambda e: e.cast("double") - m))
+
+
+def unit(a: Column, eps: float = 0.0) -> Column:
+    """Array divided by its length."""
+    return let(norm(a) + eps, lambda n: F.transform(a, lambda e: e.cast("double") / n))
+
+
+def unit_centred(a: Column, eps: float = 1e-10) -> Column:
+    return let(centred(a), lambda c: unit(c, eps))
 
 
 def ncc(a: Column, b: Column) -> Column:
     """Normalised cross-correlation of two equal-length arrays."""
-    x, y = centred(a), centred(b)
-    return dot(x, y) / (norm(x) * norm(y) + 1e-10)
+    return let(centred(a), lambda x: let(centred(b), lambda y: dot(x, y) / (norm(x) * norm(y) + 1e-10)))
 
 
 # -- moments ---------------------------------------------------------------

@@ -1,4 +1,4 @@
 """All registered queries: importing the modules fills the registry."""
 
-from mediasift.plans import q_fusion, q_series, q_stats  # noqa: F401
+from mediasift.plans import q_fusion, q_joins, q_series, q_stats  # noqa: F401
 from mediasift.plans.registry import QUERIES, SQL  # noqa: F401
