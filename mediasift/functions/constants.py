@@ -48,3 +48,34 @@ SOFTWARE_CODECS = (
     ("x265", ("hevc",)),
     ("libvpx", ("vp8", "vp9")),
 )
+
+LOSSY_CODECS = ("mp3", "aac", "vorbis", "opus", "amr_nb", "amr_wb", "pcm_alaw", "pcm_mulaw")
+MOBILE_LOSSLESS_CODECS = ("alac",)
+CODEC_ALIASES = {"pcm_s32le": "pcm_s16le", "pcm_s8": "pcm_s16le", "mp3float": "mp3"}
+CODEC_MAX_HZ = {"amr_nb": 4000.0, "pcm_alaw": 4000.0, "pcm_mulaw": 4000.0, "amr_wb": 8000.0}
+
+EDITOR_WORDS = (
+    "audacity", "adobe audition", "adobe premiere", "garageband", "logic pro", "reaper", "ocenaudio", "wavosaur", "soundforge", "cubase", "ableton", "fl studio", "goldwave", "wavepad",
+)
+GENERIC_ENCODER_PATTERN = r"^(lavf\d|lavc\d|libav|ffmpeg)"
+DEVICE_WORDS = ("apple", "samsung", "google", "huawei", "xiaomi", "oneplus", "android", "ios", "iphone", "quicktime", "whatsapp", "zoom", "teams", "meet", "skype", "lame")
+
+SCREENSHOT_WORDS = (
+    "snipping tool", "snip & sketch", "screenshot", "flameshot", "greenshot", "sharex", "lightshot", "spectacle", "gnome-screenshot", "gnome screenshot", "xfce4-screenshooter",
+    "scrot", "maim", "screencapture", "grab", "windows.screenshot", "xbox game bar", "snipaste", "ksnip", "shutter",
+)
+SCREEN_SIZES = (
+    (1920, 1080), (1366, 768), (1536, 864), (1440, 900), (1280, 720), (1280, 800), (1280, 1024), (1024, 768), (1600, 900), (2560, 1440), (3840, 2160), (2560, 1600), (3440, 1440),
+    (2880, 1800), (2880, 1620), (3072, 1728), (5120, 2880), (1080, 1920), (1440, 2560), (1080, 2400), (1170, 2532), (1284, 2778), (1125, 2436), (1242, 2688), (750, 1334), (828, 1792), (1080, 2340),
+)
+SCREEN_DPIS = (72, 96, 120, 144, 192)
+CAMERA_TAGS = (271, 272, 37386, 33434, 33437, 34855)
+SCREENSHOT_WEIGHTS = {"software_tag": 45, "missing_camera_exif": 20, "screen_dpi": 10, "screen_dimensions": 10, "no_exif_thumbnail": 8, "png_no_camera": 15, "sharp_edges": 12}
+CROP_WEIGHTS = {"exif_dimension_mismatch": 40, "grid_offset": 60}
+VIDEO_METADATA_WEIGHTS = {"timestamp": 0.30, "encoder": 0.25, "container": 0.25, "completeness": 0.10, "gps": 0.10}
+IMAGE_POINTS = {"ela": (15.0, 30.0, 8.0, 18.0), "noise": (50.0, 30.0, 25.0, 18.0), "clone": (5.0, 35.0, 2.0, 20.0)}
+IMAGE_RESAVED_POINTS, IMAGE_SPARSE_EXIF_POINTS = 25.0, 17.0
+CONFIDENCE_CUTS = {
+    "metadata": (0.30, 0.55, 0.75), "compression": (0.30, 0.55, 0.75), "noise": (0.25, 0.50, 0.70), "temporal": (0.30, 0.55, 0.75), "lighting": (0.35, 0.60, 0.78), "audio": (0.30, 0.55, 0.75),
+}
+CONFIDENCE_LEVELS = ("authentic", "likely_authentic", "inconclusive", "likely_tampered")
