@@ -101,12 +101,12 @@ def cosine(a: Column, b: Column, eps: float = 1e-12) -> Column:
 
 
 def centred(a: Column) -> Column:
-    return let(vsum(a) / F.size(a), lambda m: F.transform(a, lambda e: e.cast("double") - m))
+    return let(F.try_divide(vsum(a), F.size(a)), lambda m: F.transform(a, lambda e: e.cast("double") - m))
 
 
 def unit(a: Column, eps: float = 0.0) -> Column:
     """Array divided by its length."""
-    return let(norm(a) + eps, lambda n: F.transform(a, lambda e: e.cast("double") / n))
+    return let(norm(a) + eps, lambda n: F.transform(a, lambda e: F.try_divide(e.cast("double"), n)))
 
 
 def unit_centred(a: Column, eps: float = 1e-10) -> Column:
@@ -184,8 +184,8 @@ def rational(c: Column) -> Column:
 def lower_keys(m: Column) -> Column:
     """Map with lower-case keys; the first spelling of a key wins."""
     e = F.transform(F.map_entries(m), lambda kv: F.struct(F.lower(kv["key"]).alias("key"), kv["value"].alias("value")))
-    first = F.filter(e, lambda kv, i: F.array_position(F.transform(e, lambda z: z["key"]), kv["key"]) == i + 1)
-    return F.map_from_entries(first)
+    first = lambda a: F.filter(a, lambda kv, i: F.array_position(a["key"], kv["key"]) == i + 1)
+    return F.map_from_entries(let(e, first))
 
 
 def tag(m: Column, *names: str) -> Column:
@@ -194,22 +194,16 @@ def tag(m: Column, *names: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.try_element_at(low, F.lit(n.lower()))), F.lit("")) for n in names])
 
 
-_TS_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy:MM:dd HH:mm:ss",
-    "yyyy-MM-dd",
-)
-
-
 def parse_ts(c: Column) -> Column:
-    """P5: timestamp from any supported text form, UTC when no zone is given."""
+    """P5: timestamp from ``yyyy-MM-dd`` or ``yyyy:MM:dd``, with an optional time after a blank or T,
+    fraction and zone (Z, +hh:mm, +hhmm); UTC when no zone is given, null for anything else.
+
+    The text is brought to one form and cast, which neither throws nor tries formats in turn.
+    """
     c = F.trim(c)
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in _TS_FORMATS])
+    iso = F.regexp_replace(c, r"^(\d{4}):(\d{2}):(\d{2})", "$1-$2-$3")
+    iso = F.regexp_replace(iso, r"(:\d{2}[.\d]*[+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(c.rlike(r"^\d{4}[-:]\d{2}[-:]\d{2}([T ]\d|$)"), iso.try_cast("timestamp"))
 
 
 def tz_offset_hours(c: Column) -> Column:

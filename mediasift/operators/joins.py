@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mediasift.functions.exprs import dot, hamming, ncc, norm, suspicion, unit, unit_centred, unit_hash, vsum
+from mediasift.functions.exprs import dot, hamming, let, ncc, norm, suspicion, unit, unit_centred, unit_hash, vsum
 from mediasift.operators.ordered import Ordered, quantiles
 from mediasift.session import durable
 
@@ -29,16 +29,32 @@ def lookup_expected(df: DataFrame, key: str, actual: str, table: dict[str, Seque
     return df.withColumn("expected", F.array_join(allowed, ",")).withColumn("mismatch", ~F.array_contains(allowed, F.lower(actual)))
 
 
-def first_signature(text: Column, signatures: Sequence[tuple]) -> Column:
-    """First entry whose pattern matches, in list order; struct(name, category, suspicious)."""
-    out = None
-    for name, patterns, category, suspicious in signatures:
-        hit = F.lower(F.trim(text)).rlike("|".join(f"(?:{p})" for p in patterns))
-        s = F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), F.lit(suspicious).alias("suspicious"))
-        out = F.when(hit, s) if out is None else out.when(hit, s)
+def matches(text: Column, patterns: Sequence[str]) -> Column:
+    """Any pattern found in lower-case ``text``; plain words skip the regex engine."""
+    out = F.lit(False)
+    for p in patterns:
+        out = out | (text.rlike(p) if set(p) & set("\\.^$*+?[](){}|") else F.contains(text, F.lit(p)))
     return out
 
 
+def first_signature(text: Column, signatures: Sequence[tuple], value=None) -> Column:
+    """First entry whose pattern matches, in list order.
+
+    The result is struct(name, category, suspicious), or ``value(text, name, category, suspicious)``.
+    """
+    value = value or (lambda t, name, category, suspicious: F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), F.lit(suspicious).alias("suspicious")))
+
+    def chain(low: Column) -> Column:
+        out = None
+        for name, patterns, category, suspicious in signatures:
+            v = value(low, name, category, suspicious)
+            hit = matches(low, patterns)
+            out = F.when(hit, v) if out is None else out.when(hit, v)
+        return out
+
+    return let(F.lower(F.trim(text)), chain)
+
+
 def av_sync(streams: DataFrame, keys, kind: str, order: Sequence[str], duration: str, start: str) -> DataFrame:
     """First stream of each kind per asset, compared without a self-join."""
     at = F.struct(*order)
@@ -93,7 +109,7 @@ def mean_pair_ncc(df, keys, vec: str, width: int) -> DataFrame:
     g = u.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.get("_u", F.lit(i))) for i in range(width)]).alias("_s"), F.sum(dot(F.col("_u"), F.col("_u"))).alias("_q")
     ).filter("n >= 4")
-    return g.select(*keys, "n", ((dot(F.col("_s"), F.col("_s")) - F.col("_q")) / (F.col("n") * (F.col("n") - 1))).alias("mean_ncc"))
+    return g.select(*keys, "n", (F.try_divide(dot(F.col("_s"), F.col("_s")) - F.col("_q"), F.col("n") * (F.col("n") - 1))).alias("mean_ncc"))
 
 
 def _cells(df: DataFrame, vec: str, width: float, dims: int, spread: bool) -> DataFrame:
@@ -218,7 +234,7 @@ def roi_vs_background(roi: DataFrame, frames: DataFrame, keys, t: Sequence[str],
     st = j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"), F.stddev_pop(bg).alias("_b"), F.max(x).alias("_hi"), F.min(x).alias("_lo")
     ).filter(F.col("n") >= min_rows)
-    z = F.greatest(F.abs(F.col("_hi") - F.col("_m")), F.abs(F.col("_lo") - F.col("_m"))) / F.col("_s")
+    z = F.coalesce(F.try_divide(F.greatest(F.abs(F.col("_hi") - F.col("_m")), F.abs(F.col("_lo") - F.col("_m"))), F.col("_s")), F.lit(0.0))
     ratio = F.col("_s") / (F.col("_b") + 1e-6)
     sev = F.when((z >= z_cut) & (ratio >= ratio_cut), F.when(z >= z_cut * 1.5, "high").otherwise("medium")).otherwise("none")
     return st.select(*keys, "n", z.alias("max_z"), ratio.alias("ratio"), sev.alias("severity"))
@@ -244,7 +260,7 @@ def declared_vs_actual(declared: DataFrame, rows: DataFrame, on: tuple[str, str]
     """Aggregate the measured side first, then compare one row per key."""
     m = rows.groupBy(F.col(on[1]).alias(on[0])).agg(F.sum(measure).alias("actual"), F.count(F.lit(1)).alias("n_rows"))
     j = declared.select(on[0], F.col(value).alias("declared")).join(m, on[0])
-    rel = F.abs(F.col("declared") - F.col("actual")) / F.col("declared")
+    rel = F.try_divide(F.abs(F.col("declared") - F.col("actual")), F.col("declared"))
     return j.withColumn("relative", rel).filter((F.col("declared") > 0) & (F.col("relative") > cut))
 
 
@@ -253,7 +269,7 @@ def raster_diff(a: DataFrame, b: DataFrame, on: Sequence[str], keys: Sequence[st
     j = a.select(*on, F.col(px).alias("_a")).join(b.select(*on, F.col(px).alias("_b")), list(on))
     d = F.zip_with("_a", "_b", lambda x, y: F.abs(x.cast("double") - y.cast("double")))
     j = j.select(*on, vsum(d).alias("_s"), F.array_max(d).alias("_x"), F.size(d).alias("_n"))
-    return j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_blocks"), (F.sum("_s") / F.sum("_n")).alias("mean_diff"), F.max("_x").alias("max_diff"))
+    return j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_blocks"), F.try_divide(F.sum("_s"), F.sum("_n")).alias("mean_diff"), F.max("_x").alias("max_diff"))
 
 
 def overlap_counts(findings: DataFrame, keys, ident: str, start: str, end: str, group: str, split=None) -> DataFrame:
@@ -293,7 +309,7 @@ def loo_outliers(df, keys, ident: str, vec: str, width: int, sigma: float = 2.5,
     """
     s = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.sum(F.get(vec, F.lit(i)).cast("double")) for i in range(width)]).alias("_sum")).filter("_n > 5")
     j = df.join(s, list(keys))
-    rest = F.zip_with("_sum", vec, lambda a, b: (a - b.cast("double")) / (F.col("_n") - 1))
+    rest = F.zip_with("_sum", vec, lambda a, b: F.try_divide(a - b.cast("double"), F.col("_n") - 1))
     j = j.withColumn("_rest", rest).withColumn("ncc", ncc(F.col("_rest"), F.col(vec))).select(*keys, ident, "ncc")
     st = j.groupBy(*keys).agg(F.avg("ncc").alias("_m"), F.stddev_pop("ncc").alias("_s"), F.max("ncc").alias("_x"))
     cut = F.greatest(F.col("_m") - sigma * (F.col("_s") + 1e-6), floor * F.col("_x"))

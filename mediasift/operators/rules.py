@@ -8,16 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.functions import constants as C
-from mediasift.functions.exprs import clamp, explode_rules, finding, gps_valid, gps_zone_mismatch, parse_ts, tz_offset_hours
-from mediasift.operators.joins import first_signature
+from mediasift.functions.exprs import clamp, explode_rules, finding, gps_valid, gps_zone_mismatch, let, parse_ts, tz_offset_hours
+from mediasift.operators.joins import first_signature, matches
 
 
 def has_word(text: Column, words: Sequence[str]) -> Column:
-    t = F.lower(text)
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(t, F.lit(w))
-    return out
+    return let(F.lower(text), lambda t: matches(t, words))
 
 
 def first_word(text: Column, words: Sequence[str]) -> Column:
@@ -70,21 +66,23 @@ def audio_metadata(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     max_freq, sample_rate, bitrate_bps, size_bytes, duration_s, n_samples, wav_rate, has_tags."""
     c = F.col
     f = lambda ty, sev, conf, score, w: finding("metadata", ty, sev, conf, score, w)
-    enc = F.lower(F.trim(F.coalesce(c("encoder"), F.lit(""))))
+    # computed once per row, the rules refer to it many times
+    df = df.withColumn("_enc", F.lower(F.trim(F.coalesce(c("encoder"), F.lit("")))))
+    enc = c("_enc")
     codec = F.lower(c("codec"))
     lossy = codec_properties(c("codec"))["is_lossy"]
     generic = enc.rlike(C.GENERIC_ENCODER_PATTERN)
     editor = has_word(enc, C.EDITOR_WORDS)
-    created = parse_ts(c("creation_time"))
-    gap = (F.unix_micros("modified_at") - F.unix_micros(created)) / 8.64e10
+    df = df.withColumn("_gap", (F.unix_micros("modified_at") - F.unix_micros(parse_ts(c("creation_time")))) / 8.64e10)
+    gap = c("_gap")
     no_time = F.coalesce(c("creation_time"), F.lit("")) == ""
     box = F.lower(c("container"))
-    bw = c("max_freq") / (c("sample_rate") / 2.0)
+    bw = F.try_divide(c("max_freq"), c("sample_rate") / 2.0)
     high_rate = c("max_freq").isNotNull() & (c("sample_rate") >= 32000)
-    implied = F.floor(c("size_bytes") * 8 / c("duration_s"))
-    br = F.abs(implied - c("bitrate_bps")) / c("bitrate_bps") * 100
+    implied = F.floor(F.try_divide(c("size_bytes") * 8, c("duration_s")))
+    br = F.try_divide(F.abs(implied - c("bitrate_bps")), c("bitrate_bps")) * 100
     declared = F.floor(c("duration_s") * c("wav_rate"))
-    cut = F.abs(c("n_samples") - declared) / declared * 100
+    cut = F.try_divide(F.abs(c("n_samples") - declared), declared) * 100
     short = c("n_samples") < declared
     stripped = (codec == "mp3") & ((~c("has_tags") & (enc == "")) | (generic & no_time))
     return explode_rules(df, keys, [
@@ -108,10 +106,11 @@ def video_metadata(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     c = F.col
     empty = lambda x: F.coalesce(x, F.lit("")) == ""
-    ts = parse_ts(c("creation_time"))
+    df = df.withColumn("_ts", parse_ts(c("creation_time")))
+    ts = c("_ts")
     when_score = F.when(empty(c("creation_time")), 0.45).when(ts > c("as_of"), 0.85).when(F.year(ts) < 1990, 0.60).otherwise(0.0)
     differ = F.when(~empty(c("video_time")) & ~empty(c("audio_time")) & (c("video_time") != c("audio_time")), 0.55).otherwise(0.0)
-    one = lambda e: F.when(F.isnotnull(first_signature(e, C.ENCODER_SIGNATURES)), _encoder_score(e)).otherwise(0.0)
+    one = lambda e: F.coalesce(first_signature(e, C.ENCODER_SIGNATURES, _encoder_score), F.lit(0.0))
     enc = F.when(F.size(F.coalesce(c("encoders"), F.array().cast("array<string>"))) == 0, 0.35).otherwise(F.array_max(F.transform("encoders", one)))
     box, codec = F.lower(c("container")), F.lower(c("codec"))
     rewrapped = (box.contains("avi") & codec.rlike("h265|hevc|vp9|av1")) | (box.rlike("mkv|webm") & codec.contains("mpeg2video"))
@@ -127,9 +126,10 @@ def video_metadata(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("probability", clamp(p)).withColumn("uncertainty", 0.05 + zeros * 0.03)
 
 
-def _encoder_score(e: Column) -> Column:
-    cat = first_signature(e, C.ENCODER_SIGNATURES)["category"]
-    return F.when((cat == "transcoder") & F.contains(F.lower(e), F.lit("lavf")), 0.60).when(cat.isin("video_editor", "transcoder", "screen_recorder"), 0.55).otherwise(0.0)
+def _encoder_score(text: Column, name: str, category: str, suspicious: bool) -> Column:
+    if category == "transcoder":
+        return F.when(F.contains(text, F.lit("lavf")), 0.60).otherwise(0.55)
+    return F.lit(0.55 if category in ("video_editor", "screen_recorder") else 0.0)
 
 
 def metadata_chain(df: DataFrame, keys: Sequence[str], spread_hours: float = 1.0) -> DataFrame:
@@ -138,11 +138,12 @@ def metadata_chain(df: DataFrame, keys: Sequence[str], spread_hours: float = 1.0
     Expects encoder, format_name, streams array<struct<codec,profile,level>>, times array<timestamp>.
     """
     c = F.col
+    df = df.withColumn("_us", F.transform(F.filter("times", lambda t: t.isNotNull()), lambda t: F.unix_micros(t)))
     n = F.size("streams")
     first = F.lower(F.get("streams", F.lit(0))["codec"])
     enc = F.lower(F.coalesce(c("encoder"), F.lit("")))
     distinct = lambda f: F.size(F.array_distinct(F.transform("streams", lambda s: s[f])))
-    us = F.transform(F.filter("times", lambda t: t.isNotNull()), lambda t: F.unix_micros(t))
+    us = c("_us")
     spread = (F.array_max(us) - F.array_min(us)) / 3.6e9
     expected = None
     for k, v in C.SOFTWARE_CODECS:
@@ -190,7 +191,7 @@ def crop(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def jpeg_profile(size: Column, pixels: Column, artifacts: Column, blocks: Column) -> dict[str, Column]:
     """Bytes per pixel and block-artefact bands."""
-    bpp, art = size / pixels, artifacts / blocks * 100
+    bpp, art = F.try_divide(size, pixels), F.try_divide(artifacts, blocks) * 100
     return {
         "bytes_per_pixel": bpp, "quality": F.when(bpp > 2, "high").when(bpp > 1, "medium").otherwise("low"), "artifact_score": art,
         "double_compression": F.when(art > 30, "High").when(art > 15, "Medium").otherwise("Low"), "recompressed": art > 20,

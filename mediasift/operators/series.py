@@ -79,7 +79,7 @@ def gop_irregularity(df, keys, order, is_key, cv_cut: float = 0.45, split=None)
     far = iv.join(st.select(*keys, "mean_interval", "std_interval"), list(keys)).groupBy(*keys).agg(
         F.count(F.when(F.col("interval") > F.col("mean_interval") + 2 * F.col("std_interval"), 1)).alias("n_long")
     )
-    out = st.join(far, list(keys), "left").withColumn("cv", F.col("std_interval") / F.col("mean_interval"))
+    out = st.join(far, list(keys), "left").withColumn("cv", F.try_divide("std_interval", "mean_interval"))
     return out.withColumn("n_long", F.coalesce("n_long", F.lit(0))).withColumn("irregular", F.coalesce(F.col("cv") > cv_cut, F.lit(False)))
 
 
@@ -117,7 +117,7 @@ def gop_groups(df, keys, order, is_key, near: float = 2.0, pad: float = 0.5, spl
     iv = iv.filter(F.col("interval").isNotNull())
     med = quantiles(iv, keys, "interval", split=split, median_gop=0.5).join(n, list(keys))
     j = iv.join(med, list(keys)).filter((F.col("_n") >= 4) & (F.col("median_gop") >= 0.05))
-    bad = j.withColumn("ratio", F.col("interval") / F.col("median_gop")).filter(
+    bad = j.withColumn("ratio", F.try_divide("interval", "median_gop")).filter(
         (F.col("interval") < F.col("median_gop") * 0.8) | (F.col("interval") > F.col("median_gop") * 1.2)
     )
     g = islands_by_gap(bad.select(*keys, *order, "ratio", "median_gop"), keys, order, near, split=split)
@@ -438,7 +438,7 @@ def steepest_drop(df, keys, freq: str, db: str, span: int, split=None) -> DataFr
         F.max(fall).alias("max_drop"),
         F.max_by(freq, F.struct(fall, -F.col(freq))).alias("cutoff"),
         (F.max_by(db, -F.col(freq)) - F.max_by(db, freq)).alias("total_drop"),
-        F.max_by(fall / (F.col("_fto") - F.col(freq)), F.struct(fall, -F.col(freq))).alias("steepness"),
+        F.max_by(F.try_divide(fall, F.col("_fto") - F.col(freq)), F.struct(fall, -F.col(freq))).alias("steepness"),
     )
 
 
@@ -460,7 +460,7 @@ def flux_events(df, keys, order, value: str, base_z: float = 3.0, skew_gain: flo
     j = d.join(st, list(keys)).withColumn("z_cut", z_cut)
     ev = F.when((F.col("_s") > 0) & ((F.col("flux") - F.col("_m")) / F.col("_s") > F.col("z_cut")), 1)
     out = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_steps"), F.count(ev).alias("n_events"), F.first("z_cut").alias("z_cut"))
-    rate = F.col("n_events") / F.col("n_steps")
+    rate = F.try_divide("n_events", "n_steps")
     status = F.when(rate > rate_cap, "inconclusive").when(F.col("n_events") >= min_events, "flagged").otherwise("clean")
     return out.withColumn("event_rate", rate).withColumn("status", status)
 

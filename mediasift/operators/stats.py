@@ -61,7 +61,7 @@ def dynamic_range(df, keys, order, x: str, size: int, silent: float = 0.008, spl
     whole = df.groupBy(*keys).agg(F.sqrt(F.avg(F.col(x) * F.col(x))).alias("_rms"))
     j = floor.join(loud, list(keys), "left").join(whole, list(keys))
     fl = F.greatest(F.col("_p5"), F.lit(1e-12))
-    rng = F.when(F.col("_p10") < 1e-9, 60.0).otherwise(db(F.col("_p90") / F.col("_p10")))
+    rng = F.when(F.col("_p10") < 1e-9, 60.0).otherwise(db(F.try_divide("_p90", "_p10")))
     return j.select(
         *keys,
         F.coalesce(rng, F.lit(0.0)).alias("dynamic_range_db"),
@@ -113,7 +113,7 @@ def bitrate_anomalies(df, keys, t: str, size: str, cut: float = 2.5, min_rows: i
         (F.sum(size) * 8).alias("bits"), F.count(F.lit(1)).alias("_n")
     )
     st = b.groupBy(*keys).agg(F.avg("bits").alias("_m"), F.stddev_pop("bits").alias("_s"), F.count(F.lit(1)).alias("_b"), F.sum("_n").alias("_r"))
-    z = (F.col("bits") - F.col("_m")) / F.col("_s")
+    z = F.try_divide(F.col("bits") - F.col("_m"), F.col("_s"))
     j = b.join(st, list(keys)).filter((F.col("_s") > 0) & (F.col("_b") >= min_buckets) & (F.col("_r") >= min_rows)).withColumn("z", z)
     j = j.filter(F.abs("z") >= cut).withColumn("severity", F.when(F.abs("z") >= cut * 1.5, "high").otherwise("medium"))
     return j.select(*keys, "bucket", "bits", "z", "severity")
@@ -123,7 +123,7 @@ def histogram(df, keys, x: str, bins: int = 64, lo: float = 0.05, hi: float = 0.
     """Equal-width counts between two quantiles; the last bin is closed."""
     q = quantiles(df, keys, x, split=split, _lo=lo, _hi=hi)
     j = df.join(q, list(keys)).filter(F.col(x).between(F.col("_lo"), F.col("_hi")) & (F.col("_hi") > F.col("_lo")))
-    b = F.floor((F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
+    b = F.floor(F.try_divide(F.col(x) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins)
     return j.groupBy(*keys, F.least(b, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -137,7 +137,7 @@ def histogram_periodicity(df, keys, x: str, bins: int = 64, lags: tuple[int, int
         F.zip_with(F.slice("_h", 1, bins - lag), F.slice("_h", lag + 1, bins - lag), lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e
     )
     span = range(lags[0], lags[1] + 1)
-    score = sum((corr(k) for k in span), F.lit(0.0)) / corr(0) / len(span)
+    score = F.try_divide(sum((corr(k) for k in span), F.lit(0.0)), corr(0)) / len(span)
     total = df.groupBy(*keys).agg(F.count(x).alias("n"))
     out = total.join(arr.select(*keys, "_used", score.alias("_p")), list(keys), "left")
     ok = (F.col("n") >= min_rows) & (F.col("_used") >= min_rows / 2)
@@ -223,7 +223,7 @@ def profile_shift(df, keys, half: str, bin: str, power: str) -> DataFrame:
     j = m.join(tot, list(keys)).filter((F.col("_ta") >= 1e-9) & (F.col("_tb") >= 1e-9))
     d = 10 * (F.log10(z("_a") + 1e-12) - F.log10(z("_b") + 1e-12))
     return j.groupBy(*keys).agg(
-        F.sum(F.abs(z("_a") / F.col("_ta") - z("_b") / F.col("_tb"))).alias("l1"),
+        F.sum(F.abs(F.try_divide(z("_a"), F.col("_ta")) - F.try_divide(z("_b"), F.col("_tb")))).alias("l1"),
         F.sqrt(F.avg(d * d)).alias("lsd"),
     )
 
@@ -234,7 +234,7 @@ def tail_ratio(df, keys, frame: str, x: str, pct: float = 0.25, split=None) -> D
     q = quantiles(df, fk, x, split=split, _lo=pct, _hi=1 - pct)
     j = df.join(q, fk)
     lo, hi = F.when(F.col(x) < F.col("_lo"), F.col(x)), F.when(F.col(x) > F.col("_hi"), F.col(x))
-    f = j.groupBy(*fk).agg((F.coalesce(F.avg(lo), F.lit(0.0)) / F.avg(hi)).alias("_r"))
+    f = j.groupBy(*fk).agg(F.try_divide(F.coalesce(F.avg(lo), F.lit(0.0)), F.avg(hi)).alias("_r"))
     out = f.filter(F.col("_r").isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_frames"), F.avg("_r").alias("mean_ratio"), (F.stddev_pop("_r") / (F.avg("_r") + 1e-6)).alias("ratio_cv")
     )
@@ -264,8 +264,8 @@ def frame_metrics(blocks, keys, order, px: str, side: int = 8, split=None) -> Da
         lambda i: F.get("_v", i - 1) + F.get("_v", i + 1) + F.get("_v", i - side) + F.get("_v", i + side) - 4 * F.get("_v", i),
     )
     b = b.withColumn("contrast", F.sqrt("_var")).withColumn("blockiness", dx + dy).withColumn("_l", lap)
-    lm = vsum(F.col("_l")) / F.size("_l")
-    b = b.withColumn("sharpness", F.aggregate("_l", F.lit(0.0), lambda s, e: s + e * e) / F.size("_l") - lm * lm)
+    lm = F.try_divide(vsum(F.col("_l")), F.size("_l"))
+    b = b.withColumn("sharpness", F.try_divide(F.aggregate("_l", F.lit(0.0), lambda s, e: s + e * e), F.size("_l")) - lm * lm)
     o = Ordered(b, keys, order, after=1, split=split)
     o.add(_nm=o.next("brightness"), _nvar=o.next("_var"), _nc=o.next("_c"))
     cov = F.aggregate(F.zip_with("_c", "_nc", lambda a, c: a * c), F.lit(0.0), lambda s, e: s + e) / n
@@ -283,7 +283,7 @@ def bhattacharyya(left: DataFrame, right: DataFrame, keys, bin: str, n: str) ->
     p = left.select(*keys, bin, F.col(n).alias("_a")).join(right.select(*keys, bin, F.col(n).alias("_b")), [*keys, bin], "full")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     s = p.groupBy(*keys).agg(F.sum(F.sqrt(z("_a") * z("_b"))).alias("_x"), F.sum(z("_a")).alias("_ta"), F.sum(z("_b")).alias("_tb"))
-    return s.select(*keys, F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("_x") / F.sqrt(F.col("_ta") * F.col("_tb")))).alias("distance"))
+    return s.select(*keys, F.sqrt(F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(F.col("_x"), F.sqrt(F.col("_ta") * F.col("_tb"))), F.lit(0.0)))).alias("distance"))
 
 
 def entropy(df, keys, value: str, split=None) -> DataFrame:
@@ -364,7 +364,7 @@ def module_score(checks, keys, module: str, score: str, weight: str, severity: s
     """Weighted mean of fired checks, confidence by count, HIGH bonus."""
     g = checks.groupBy(*keys, module).agg(
         F.count(F.lit(1)).alias("n_checks"), F.count(F.when(F.col(severity) == "high", 1)).alias("n_high"),
-        (F.sum(F.col(score) * F.col(weight)) / F.sum(weight)).alias("_s"),
+        F.try_divide(F.sum(F.col(score) * F.col(weight)), F.sum(weight)).alias("_s"),
     )
     m = F.col(module)
     part = lambda i: {k: v[i] for k, v in MODULE_CONFIDENCE.items()}
@@ -428,7 +428,7 @@ def confidence_blend(df, keys, module: str, confidence: str, issues: str, weight
     w = pick(F.col(module), weights, 0.0)
     on = F.col(confidence).isNotNull() & F.col(module).isin(*weights)
     g = df.groupBy(*keys).agg(
-        (F.sum(F.when(on, F.col(confidence) * w)) / F.sum(F.when(on, w))).alias("_avg"),
+        F.try_divide(F.sum(F.when(on, F.col(confidence) * w)), F.sum(F.when(on, w))).alias("_avg"),
         F.min(F.when(on, F.col(confidence))).alias("_min"), F.count(F.when(on & (F.col(issues) > 0), 1)).alias("n_flagged"),
     )
     score = F.round(clamp(0.5 * F.col("_avg") + 0.5 * F.col("_min") - 0.20 * F.col("n_flagged")), 3)

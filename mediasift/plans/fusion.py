@@ -56,39 +56,41 @@ def fuse_audio(
         F.max(F.when(hot, s)).alias("_hx"),
         names(F.when(hot, m)).alias("elevated_modules"), names(F.when(~on, m)).alias("skipped_modules"),
     )
-    present = F.coalesce(c("_ep"), F.lit(False))
-    rest = c("_w") + c("_mw")
-    # an unmeasurable mains signal hands its weight to the others in proportion
-    share = F.when(present | (c("_ew") < 1e-9) | (rest < 1e-9), 1.0).otherwise(1.0 + c("_ew") / rest)
-    ew = F.when(present, c("_ew")).otherwise(0.0)
-    es, ec = F.coalesce(c("_es"), F.lit(0.0)), F.coalesce(c("_ec"), F.lit(0.0))
+    # each step is its own column, so nothing is expanded twice
+    g = g.withColumns({"_present": F.coalesce(c("_ep"), F.lit(False)), "_rest": c("_w") + c("_mw"), "_s": F.coalesce(c("_es"), F.lit(0.0))})
+    present, rest, es = c("_present"), c("_rest"), c("_s")
     # metadata only corroborates: silent without a signal finding, capped with one
     ms = F.when(c("_na") > 0, F.least(F.coalesce(c("_ms"), F.lit(0.0)), F.lit(metadata_cap))).otherwise(0.0)
-    tw = rest * share + ew
-    base = (c("_sw") * share + es * ew + ms * c("_mw") * share) / tw
-    esc = lambda x, wt: F.when((x >= escalate_cut) & (wt >= escalate_weight), x * floor).otherwise(0.0)
-    lifted = F.greatest(
-        base, F.coalesce(esc(c("_xk"), F.lit(1.0)), F.lit(0.0)),
-        F.coalesce(esc(c("_xu"), AUDIO_UNKNOWN_WEIGHT * share), F.lit(0.0)), F.coalesce(esc(es, ew), F.lit(0.0)),
-    )
+    g = g.withColumns({
+        # an unmeasurable mains signal hands its weight to the others in proportion
+        "_share": F.when(present | (c("_ew") < 1e-9) | (rest < 1e-9), 1.0).otherwise(1.0 + c("_ew") / rest),
+        "_mains": F.when(present, c("_ew")).otherwise(0.0), "_meta": ms,
+    })
+    share, ew = c("_share"), c("_mains")
+    g = g.withColumn("_tw", rest * share + ew)
+    g = g.withColumn("_base", F.try_divide(c("_sw") * share + es * ew + c("_meta") * c("_mw") * share, c("_tw")))
+    esc = lambda x, wt: F.coalesce(F.when((x >= escalate_cut) & (wt >= escalate_weight), x * floor), F.lit(0.0))
     steps = [0.0]
     for b in AUDIO_BONUSES:
         steps.append(steps[-1] + b)
     n = c("n_elevated")
     bonus = F.element_at(F.array(*[F.lit(x) for x in steps]), F.least(F.greatest(n, F.lit(1)), F.lit(len(steps))).cast("int"))
-    factor = F.when(n >= 2, 1.0 + bonus).otherwise(1.0)
-    mean = c("_hs") / n
-    std = F.sqrt(F.greatest(F.lit(0.0), c("_hq") / n - mean * mean))
-    agree = F.when(n >= 2, 1.0 + 0.15 * F.greatest(F.lit(0.0), 1.0 - std / (mean + 1e-6))).otherwise(1.0)
-    conf = (c("_cw") * share + ec * ew + F.coalesce(c("_mc"), F.lit(0.0)) * c("_mw") * share) / tw * agree
-    out = g.withColumn("_ok", (c("n_active") > 0) & (tw >= 1e-9)).withColumn("enf_present", present & c("_ok"))
+    g = g.withColumns({
+        "_lift": F.greatest(c("_base"), esc(c("_xk"), F.lit(1.0)), esc(c("_xu"), AUDIO_UNKNOWN_WEIGHT * share), esc(es, ew)),
+        "_factor": F.when(n >= 2, 1.0 + bonus).otherwise(1.0), "_mean": F.try_divide(c("_hs"), n), "_ok": (c("n_active") > 0) & (c("_tw") >= 1e-9),
+    })
+    std = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(c("_hq"), n) - c("_mean") * c("_mean")))
+    agree = F.when(n >= 2, 1.0 + 0.15 * F.greatest(F.lit(0.0), 1.0 - std / (c("_mean") + 1e-6))).otherwise(1.0)
+    conf = F.try_divide(c("_cw") * share + F.coalesce(c("_ec"), F.lit(0.0)) * ew + F.coalesce(c("_mc"), F.lit(0.0)) * c("_mw") * share, c("_tw")) * agree
     ok = lambda v, null: F.when(c("_ok"), v).otherwise(null)
-    out = out.withColumn("base_score", ok(base, 0.0)).withColumn("corroboration", ok(factor, 1.0))
-    out = out.withColumn("fused", ok(clamp(F.when(n >= 2, F.least(F.lit(1.0), lifted * factor)).otherwise(lifted)), 0.0))
-    out = out.withColumn("confidence", ok(clamp(conf, 0.30, 0.92), 0.30)).withColumn("n_elevated", ok(n, 0).cast("bigint"))
+    out = g.withColumns({
+        "enf_present": present & c("_ok"), "base_score": ok(c("_base"), 0.0), "corroboration": ok(c("_factor"), 1.0),
+        "fused": ok(clamp(c("_lift") * c("_factor")), 0.0), "_conf": conf, "n_elevated": ok(n, 0).cast("bigint"),
+    })
+    out = out.withColumn("confidence", ok(clamp(c("_conf"), 0.30, 0.92), 0.30))
     f = c("fused")
     solo = (c("n_elevated") == 1) & (c("_hx") >= 0.55) & (c("_hc") < 0.65)
-    weak = (f >= 0.40) & (c("_hc") / c("n_elevated") < 0.50)
+    weak = (f >= 0.40) & (F.try_divide(c("_hc"), c("n_elevated")) < 0.50)
     conflict = F.when((f < 0.40) | (c("n_elevated") == 0), "none").when(solo, "sole_supporter").when(weak, "low_confidence").otherwise("none")
     note = F.when(~c("_ok"), "no usable scores").otherwise(
         F.concat_ws(
