@@ -309,5 +309,6 @@ def finding(
 
 def explode_rules(df, keep: Sequence[str], rules: Sequence[Column]):
     """Rows that fire: one output row per non-null finding struct."""
-    fired = F.array_compact(F.array(*rules))
-    return df.select(*keep, F.explode(fired).alias("f")).select(*keep, "f.*")
+    # the array is its own projection, so the rules run as generated code before the explode
+    rows = df.select(*keep, F.array(*rules).alias("_rules")).select(*keep, F.explode("_rules").alias("f"))
+    return rows.filter(F.col("f").isNotNull()).select(*keep, "f.*")

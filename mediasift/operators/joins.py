@@ -132,12 +132,14 @@ def repeat_summary(df, keys, ident: str, vec: str, cut: float = 0.995, gap: int
     """
     eps = (2 - 2 * cut) ** 0.5 + 1e-9
     u = df.filter(norm(F.col(vec)) > 0).select(*keys, ident, unit(F.col(vec)).alias("_u"))
-    d = u.groupBy(*keys, "_u").agg(F.count(F.lit(1)).alias("_m"))
-    same = d.groupBy(*keys).agg(F.sum(F.col("_m") * (F.col("_m") - 1) / 2).alias("_s"), F.max(F.when(F.col("_m") > 1, 1.0)).alias("_sx"))
+    d = u.groupBy(*keys, "_u").agg(F.count(F.lit(1)).alias("_m"), F.min(ident).alias("_lo"), F.max(ident).alias("_hi"))
+    same = d.groupBy(*keys).agg(F.sum(F.col("_m") * (F.col("_m") - 1) / 2).alias("_s"), F.max(F.when(F.col("_hi") - F.col("_lo") > gap, 1.0)).alias("_sx"))
     a = _cells(d, "_u", eps, dims, False)
-    b = _cells(d.select(*keys, F.col("_u").alias("_v"), F.col("_m").alias("_k")), "_v", eps, dims, True)
+    b = _cells(d.select(*keys, F.col("_u").alias("_v"), F.col("_m").alias("_k"), F.col("_lo").alias("_lo2"), F.col("_hi").alias("_hi2")), "_v", eps, dims, True)
     hit = a.join(b, [*keys, *[f"_c{i}" for i in range(dims)]]).filter(F.col("_u") < F.col("_v")).withColumn("_cos", dot(F.col("_u"), F.col("_v")))
-    other = hit.filter(F.col("_cos") >= cut).groupBy(*keys).agg(F.sum(F.col("_m") * F.col("_k")).alias("_o"), F.max("_cos").alias("_ox"))
+    # two sets of positions hold a far pair exactly when their outer ends are far apart
+    far = F.greatest(F.col("_hi") - F.col("_lo2"), F.col("_hi2") - F.col("_lo")) > gap
+    other = hit.filter(F.col("_cos") >= cut).groupBy(*keys).agg(F.sum(F.col("_m") * F.col("_k")).alias("_o"), F.max(F.when(far, F.col("_cos"))).alias("_ox"))
     o = Ordered(u, keys, [ident], before=gap, split=split)
     o.add(_back=o.frame(F.collect_list(F.struct(F.col(ident).alias("i"), F.col("_u").alias("u"))), -gap, -1))
     close = F.size(F.filter("_back", lambda e: (F.col(ident) - e["i"] <= gap) & ((dot(e["u"], F.col("_u")) >= cut) | (e["u"] == F.col("_u")))))
