@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mediasift.functions.exprs import dot, hamming, let, ncc, norm, suspicion, unit, unit_centred, unit_hash, vsum
-from mediasift.operators.ordered import Ordered, quantiles
+from mediasift.operators.ordered import Ordered, decide
 from mediasift.session import durable
 
 # Largest table that is sent to every executor, in bytes of payload.
@@ -194,6 +194,7 @@ def hash_repeats(df, keys, order, h: str, min_gap: int = 2, split=None) -> DataF
 
 def flagged_plus_baseline(df, flagged: DataFrame, keys, t: str, tie: str, share: float = 0.05, cap: int = 20, split=None) -> DataFrame:
     """Flagged rows plus a hash-chosen share of the others, first ``cap`` by time."""
+    split = decide(df, keys, split)
     rest = df.join(flagged.select(*keys, tie), [*keys, tie], "left_anti")
     n = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("_want"))
     pool = rest.withColumn("_h", unit_hash(*[F.col(k) for k in keys], F.col(tie)))
@@ -281,6 +282,7 @@ def overlap_counts(findings: DataFrame, keys, ident: str, start: str, end: str,
     counts over one merged series; pairs are never formed. Findings without
     duration overlap nothing.
     """
+    split = decide(findings, keys, split)
     f = findings.filter(F.col(start) < F.col(end)).select(*keys, ident, start, end, group)
     marks = F.array(
         # order at equal times: starts are counted strictly before an end probe,

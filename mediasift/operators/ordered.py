@@ -33,6 +33,14 @@ def has_large_key(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
     return bool(counts.filter(F.col("_n") > limit).limit(1).take(1))
 
 
+def decide(df: DataFrame, keys: Sequence[str], split: bool | None) -> bool:
+    """Take the size decision once for an operator of several steps.
+
+    Later steps see subsets or finer keys of ``df``, so the answer holds for them.
+    """
+    return has_large_key(df, keys, block_rows(df.sparkSession)) if split is None else split
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "_g") -> DataFrame:
     """Dense global row number in (keys, order), computed without one big task.
 
@@ -69,7 +77,7 @@ class Ordered:
         self.keys = list(keys)
         self.order = list(order)
         limit = block_rows(df.sparkSession)
-        self.split = has_large_key(df, self.keys, limit) if split is None else split
+        self.split = decide(df, self.keys, split)
         if not self.split:
             self.df = df.withColumn("_blk", F.lit(0).cast("bigint")).withColumn("_own", F.lit(True))
             self.sort = self.order
@@ -213,9 +221,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, split: bool | None
     each cut are kept.
     """
     df = df.filter(F.col(value).isNotNull())
-    if split is None:
-        split = has_large_key(df, keys, block_rows(df.sparkSession))
-    if not split:
+    if not decide(df, keys, split):
         return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in fracs.items()])
     g = number_rows(df.select(*keys, value), keys, [value])
     span = g.groupBy(*keys).agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_n"))

@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.functions.exprs import circular_gap, clamp, cv, ramp, steps
-from mediasift.operators.ordered import Ordered, has_large_key, quantiles
+from mediasift.operators.ordered import Ordered, decide, has_large_key, quantiles
 from mediasift.session import block_rows
 
 PI = 3.141592653589793
+# Largest cluster of hits that one row may fold.
+FOLD_ROWS = 10_000
 
 
 def abs_diff(df: DataFrame, keys, order, value: str, name: str = "d", signed: bool = False, split=None) -> DataFrame:
@@ -111,6 +113,7 @@ def islands_by_gap(df, keys, order, gap: float, name: str = "island", strict: bo
 
 def gop_groups(df, keys, order, is_key, near: float = 2.0, pad: float = 0.5, split=None) -> DataFrame:
     """Key intervals outside 0.8-1.2 x median, grouped when within ``near``."""
+    split = decide(df, keys, split)
     t = order[0]
     iv = key_intervals(df, keys, order, is_key, split=split)
     n = iv.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -173,7 +176,7 @@ def suppress_nearby(hits: DataFrame, keys, t: str, spacing: float, split=None) -
     c = islands_by_gap(h, keys, [t], spacing, name="_cl", strict=True, split=split)
     ck = [*keys, "_cl"]
     if split is None:
-        split = has_large_key(c, ck, block_rows(hits.sparkSession))
+        split = has_large_key(c, ck, min(FOLD_ROWS, block_rows(hits.sparkSession)))
     if split:
         return _kept_by_doubling(c, ck, t, spacing).select(*keys, t)
     far = lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(x - F.element_at(acc, -1) >= spacing, F.concat(acc, F.array(x))).otherwise(acc)
@@ -275,6 +278,7 @@ def sigma_spikes(df, keys, value: str, sigma: float = 3.0) -> DataFrame:
 
 def motion_spikes(df, keys, order, value: str, similarity: str, gate: float = 0.70, sigma: float = 2.5, split=None) -> DataFrame:
     """W10 (gated form): value above median + 2.5 std with no scene cut; interior rows only."""
+    split = decide(df, keys, split)
     med = quantiles(df, keys, value, split=split, _med=0.5)
     o = Ordered(df, keys, order, before=1, after=1, split=split)
     rows = o.add(_a=o.prev(F.lit(1)), _b=o.next(F.lit(1))).stats(_s=F.stddev_pop(value)).attach(med).rows()
@@ -344,6 +348,7 @@ def rolling_median(df, keys, order, value: str, half: int, stride: int, split=No
 
 def phase_discontinuity(df, keys, order, value: str, nominal: float, min_rows: int = 6, split=None) -> DataFrame:
     """phase = running sum of 2 pi (f - f0) dt; step over its 75th percentile."""
+    split = decide(df, keys, split)
     t = order[0]
     o = Ordered(df, keys, order, before=1, split=split)
     o.add(_dt=F.coalesce(F.col(t) - o.prev(t), F.lit(0.0)))
@@ -444,6 +449,7 @@ def steepest_drop(df, keys, freq: str, db: str, span: int, split=None) -> DataFr
 
 def pause_anomalies(df, keys, order, value: str, below: float, floor: float = 3.5, factor: float = 4.0, split=None) -> DataFrame:
     """Pauses (runs under ``below``) longer than max(floor, factor x median pause)."""
+    split = decide(df, keys, split)
     runs = frozen_runs(df, keys, order, value, below, 1, split=split).withColumn("pause", F.col("end_t") - F.col("start_t"))
     med = quantiles(runs, keys, "pause", split=split, median_pause=0.5)
     return runs.join(med, list(keys)).filter(F.col("pause") > F.greatest(F.lit(floor), factor * F.col("median_pause")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediasift.functions.exprs import bimodality, clamp, col, cv, ramp, steps, vsum
-from mediasift.operators.ordered import Ordered, quantiles
+from mediasift.operators.ordered import Ordered, decide, quantiles
 
 LN10_20 = 20.0
 
@@ -55,6 +55,7 @@ def window_rms(df, keys, order, x: str, size: int, split=None) -> DataFrame:
 
 def dynamic_range(df, keys, order, x: str, size: int, silent: float = 0.008, split=None) -> DataFrame:
     """A4: p90/p10 of active windows, p5 noise floor and signal-to-noise, in dB."""
+    split = decide(df, keys, split)
     w = window_rms(df, keys, order, x, size, split=split)
     loud = quantiles(w.filter(F.col("rms") > silent), keys, "rms", split=split, _p90=0.9, _p10=0.1)
     floor = quantiles(w, keys, "rms", split=split, _p5=0.05)
@@ -129,6 +130,7 @@ def histogram(df, keys, x: str, bins: int = 64, lo: float = 0.05, hi: float = 0.
 
 def histogram_periodicity(df, keys, x: str, bins: int = 64, lags: tuple[int, int] = (2, 8), min_rows: int = 100, split=None) -> DataFrame:
     """Mean normalised autocorrelation of the histogram at short lags."""
+    split = decide(df, keys, split)
     h = histogram(df, keys, x, bins, split=split)
     # the self-correlation needs at most ``bins`` numbers per key
     arr = h.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_m"), F.sum("n").alias("_used"))
@@ -199,6 +201,7 @@ def with_half(df, keys, order, name: str = "half", split=None) -> DataFrame:
 
 def half_compare(df, keys, order, x: str, split=None) -> DataFrame:
     """Mean difference, RMS ratio and median ratio of the two halves."""
+    split = decide(df, keys, split)
     h = with_half(df, keys, order, split=split)
     one, two = F.when(F.col("half") == 1, F.col(x)), F.when(F.col("half") == 2, F.col(x))
     agg = h.groupBy(*keys).agg(
