@@ -5,9 +5,9 @@ same methods, so operators are written once:
 
 * plain: no key has more rows than ``mediasift.block.rows``. One shuffle by
   key, one sort, ordinary windows.
-* split: some key is larger. All rows are range-partitioned by (key, order),
-  which spreads a key over as many tasks as it needs, numbered densely, and cut
-  into equal blocks. Neighbouring blocks exchange ``before``/``after`` halo
+* split: some key is larger. The rows of large keys are range-partitioned by
+  (key, order), which spreads a key over as many tasks as it needs, numbered
+  densely, and cut into equal blocks; small keys stay as they are. Neighbouring blocks exchange ``before``/``after`` halo
   rows, so row frames stay exact; running sums and carried values add a prefix
   over one row per block.
 
@@ -33,12 +33,39 @@ def has_large_key(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
     return bool(counts.filter(F.col("_n") > limit).limit(1).take(1))
 
 
-def decide(df: DataFrame, keys: Sequence[str], split: bool | None) -> bool:
+# Most large keys that are told apart by a broadcast list; beyond it every key is split.
+MAX_LARGE_KEYS = 100_000
+
+
+def decide(df: DataFrame, keys: Sequence[str], split: bool | DataFrame | None) -> bool | DataFrame:
     """Take the size decision once for an operator of several steps.
 
-    Later steps see subsets or finer keys of ``df``, so the answer holds for them.
+    False: no large key. A table of the large keys (at most rows / limit of
+    them, and counted) when there are few. True: split every key. Later steps
+    see subsets or finer keys of ``df``, so the answer holds for them.
     """
-    return has_large_key(df, keys, block_rows(df.sparkSession)) if split is None else split
+    if split is not None:
+        return split
+    limit = block_rows(df.sparkSession)
+    if not has_large_key(df, keys, limit):
+        return False
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = durable(counts.filter(F.col("_n") > limit).select(*keys))
+    return True if large.limit(MAX_LARGE_KEYS + 1).count() > MAX_LARGE_KEYS else large
+
+
+def part_by_size(df: DataFrame, split: bool | DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of small keys, rows of large keys)."""
+    if split is False:
+        return df, None
+    if split is True:
+        return None, df
+    marked = split.select(*[F.col(c).alias(f"_l_{c}") for c in split.columns])
+    cond = F.lit(True)
+    for c in split.columns:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_l_{c}"))
+    marked = F.broadcast(marked)  # size checked in decide
+    return df.join(marked, cond, "left_anti"), df.join(marked, cond, "left_semi")
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "_g") -> DataFrame:
@@ -72,18 +99,21 @@ class Ordered:
         order: Sequence[str | Column],
         before: int = 0,
         after: int = 0,
-        split: bool | None = None,
+        split: bool | DataFrame | None = None,
     ):
         self.keys = list(keys)
         self.order = list(order)
         limit = block_rows(df.sparkSession)
-        self.split = decide(df, self.keys, split)
-        if not self.split:
-            self.df = df.withColumn("_blk", F.lit(0).cast("bigint")).withColumn("_own", F.lit(True))
-            self.sort = self.order
+        choice = decide(df, self.keys, split)
+        self.split = choice is not False
+        small, large = part_by_size(df, choice)
+        if small is not None:
+            small = small.withColumn("_blk", F.lit(0).cast("bigint")).withColumn("_own", F.lit(True))
+        if large is None:
+            self.df = small
             return
         size = max(limit, before, after, 1)
-        g = number_rows(df, self.keys, self.order)
+        g = number_rows(large, self.keys, self.order)
         home, pos = F.floor(F.col("_g") / size), F.pmod(F.col("_g"), F.lit(size))
         copies = [home]
         if before:
@@ -91,12 +121,12 @@ class Ordered:
         if after:
             copies.append(F.when(pos < after, home - 1))
         g = g.withColumn("_home", home).withColumn("_blk", F.explode(F.array_compact(F.array(*copies))))
-        self.df = g.withColumn("_own", F.col("_home") == F.col("_blk")).drop("_home")
-        self.sort = ["_g"]
+        g = g.withColumn("_own", F.col("_home") == F.col("_blk")).drop("_home")
+        self.df = g if small is None else g.unionByName(small.withColumn("_g", F.lit(None).cast("bigint")))
 
     # -- windows ---------------------------------------------------------
     def window(self):
-        return Window.partitionBy(*self.keys, "_blk").orderBy(*self.sort)
+        return Window.partitionBy(*self.keys, "_blk").orderBy(*self.order)
 
     def prev(self, c: str | Column, n: int = 1) -> Column:
         """Value ``n`` rows earlier (halo ``before >= n``)."""
@@ -176,10 +206,11 @@ class Ordered:
 
     def position(self, name: str = "_i") -> "Ordered":
         """0-based row number inside the key."""
+        local = (F.row_number().over(self.window()) - 1).cast("bigint")
         if not self.split:
-            self.df = self.df.withColumn(name, F.row_number().over(self.window()) - 1)
-            return self.add(**{name: F.col(name).cast("bigint")})
-        return self.stats(_g0=F.min("_g")).add(**{name: F.col("_g") - F.col("_g0")}).drop("_g0")
+            return self.add(**{name: local})
+        self.settle().add(_local=local).stats(_g0=F.min("_g"))
+        return self.add(**{name: F.coalesce(F.col("_g") - F.col("_g0"), F.col("_local"))}).drop("_g0", "_local")
 
     def stats(self, **aggs: Column) -> "Ordered":
         """Whole-key aggregates on every row (halo copies not counted)."""
@@ -213,7 +244,7 @@ def _join_same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
     return left.join(renamed, cond, "left").drop(*[f"_r_{c}" for c in on])
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, split: bool | None = None, **fracs: float) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, split: bool | DataFrame | None = None, **fracs: float) -> DataFrame:
     """Exact linear-interpolated quantiles per key.
 
     Small keys use the built-in aggregate. When a key is large, its values are
@@ -221,8 +252,17 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, split: bool | None
     each cut are kept.
     """
     df = df.filter(F.col(value).isNotNull())
-    if not decide(df, keys, split):
-        return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in fracs.items()])
+    small, large = part_by_size(df, decide(df, keys, split))
+    out = None
+    if small is not None:
+        out = small.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in fracs.items()])
+    if large is None:
+        return out
+    ranked = _ranked_quantiles(large, keys, value, fracs)
+    return ranked if out is None else out.unionByName(ranked)
+
+
+def _ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, fracs: dict[str, float]) -> DataFrame:
     g = number_rows(df.select(*keys, value), keys, [value])
     span = g.groupBy(*keys).agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_n"))
     j = _join_same(g, span, keys).withColumn("_k", F.col("_g") - F.col("_g0"))

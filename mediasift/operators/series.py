@@ -175,9 +175,8 @@ def suppress_nearby(hits: DataFrame, keys, t: str, spacing: float, split=None) -
     h = hits.select(*keys, t).distinct()
     c = islands_by_gap(h, keys, [t], spacing, name="_cl", strict=True, split=split)
     ck = [*keys, "_cl"]
-    if split is None:
-        split = has_large_key(c, ck, min(FOLD_ROWS, block_rows(hits.sparkSession)))
-    if split:
+    big = split if isinstance(split, bool) else has_large_key(c, ck, min(FOLD_ROWS, block_rows(hits.sparkSession)))
+    if big:
         return _kept_by_doubling(c, ck, t, spacing).select(*keys, t)
     far = lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(x - F.element_at(acc, -1) >= spacing, F.concat(acc, F.array(x))).otherwise(acc)
     kept = c.groupBy(*ck).agg(F.sort_array(F.collect_list(t)).alias("_ts"))

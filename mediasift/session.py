@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Most rows of one key that a single task is asked to order (setting below).
 BLOCK_ROWS_KEY = "mediasift.block.rows"
-BLOCK_ROWS_DEFAULT = 1_000_000
+BLOCK_ROWS_DEFAULT = 2_000_000
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:

@@ -60,7 +60,10 @@ def test_operator_split_equals_plain(spark, skewed, op):
         assert has_large_key(skewed, ["k"], 64) and not has_large_key(skewed, ["k"], 5000)
         # values, not row text: sums may differ in the last digits
         r = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in x) for x in df.collect())
-        assert r(op(skewed, True)) == r(op(skewed, False))
+        plain = r(op(skewed, False))
+        assert r(op(skewed, True)) == plain
+        # by size: only key 0 is split, the others stay plain
+        assert r(op(skewed, None)) == plain
     finally:
         spark.conf.unset(BLOCK_ROWS_KEY)
 
