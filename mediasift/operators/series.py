@@ -70,19 +70,19 @@ def key_intervals(df, keys, order, is_key: Column | str, index: str | None = Non
 
 def gop_irregularity(df, keys, order, is_key, cv_cut: float = 0.45, split=None) -> DataFrame:
     """W3 (container form): interval mean, sample std, CV and count above mean + 2 std."""
-    iv = key_intervals(df, keys, order, is_key, split=split)
+    o = Ordered(df.filter(is_key), keys, order, before=1, split=split)
+    o.add(interval=F.col(order[0]) - o.prev(order[0]))
     pos = F.when(F.col("interval") > 0, F.col("interval"))
-    st = iv.groupBy(*keys).agg(
+    o.stats(_m=F.avg(pos), _s=F.stddev_samp(pos))
+    out = o.rows().groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_key"),
         F.count(pos).alias("n_interval"),
-        F.avg(pos).alias("mean_interval"),
-        F.stddev_samp(pos).alias("std_interval"),
-    )
-    far = iv.join(st.select(*keys, "mean_interval", "std_interval"), list(keys)).groupBy(*keys).agg(
-        F.count(F.when(F.col("interval") > F.col("mean_interval") + 2 * F.col("std_interval"), 1)).alias("n_long")
+        F.first("_m").alias("mean_interval"),
+        F.first("_s").alias("std_interval"),
+        F.count(F.when(F.col("interval") > F.col("_m") + 2 * F.col("_s"), 1)).alias("n_long"),
     )
-    out = st.join(far, list(keys), "left").withColumn("cv", F.try_divide("std_interval", "mean_interval"))
-    return out.withColumn("n_long", F.coalesce("n_long", F.lit(0))).withColumn("irregular", F.coalesce(F.col("cv") > cv_cut, F.lit(False)))
+    out = out.withColumn("cv", F.try_divide("std_interval", "mean_interval"))
+    return out.withColumn("irregular", F.coalesce(F.col("cv") > cv_cut, F.lit(False)))
 
 
 def gop_frames(df, keys, order, is_key, index: str, split=None) -> DataFrame:
@@ -247,10 +247,10 @@ def abruptness(
     the ratio and the spikes ignore rows near the ends.
     """
     t = order[0]
-    d = abs_diff(df, keys, order, value, "_d", split=split)
-    d = d.filter(F.col("_d").isNotNull())
-    st = d.groupBy(*keys).agg(F.avg("_d").alias("_md"), F.stddev_pop("_d").alias("_sd"), F.max(t).alias("_last"))
-    j = d.join(st, list(keys))
+    o = Ordered(df, keys, order, before=1, split=split)
+    o.add(_d=F.abs(F.col(value) - o.prev(value)))
+    o.stats(_md=F.avg("_d"), _sd=F.stddev_pop("_d"), _last=F.max(F.when(F.col("_d").isNotNull(), F.col(t))))
+    j = o.rows().filter(F.col("_d").isNotNull())
     inside = F.lit(True) if interior is None else (F.col(t) > interior[0]) & (F.col(t) < F.col("_last") - interior[1])
     cut = F.col("_md") * spike_multiple if spike_sigma is None else F.col("_md") + spike_sigma * F.col("_sd")
     ok = F.col("_md") >= guard
@@ -369,9 +369,9 @@ def phase_discontinuity(df, keys, order, value: str, nominal: float, min_rows: i
 
 def diff_zscore(df, keys, order, value: str, cut: float = 3.0, split=None) -> DataFrame:
     """Rows whose first difference is ``cut`` or more std from the mean difference."""
-    d = abs_diff(df, keys, order, value, "d", signed=True, split=split).filter(F.col("d").isNotNull())
-    st = d.groupBy(*keys).agg(F.avg("d").alias("_m"), F.stddev_pop("d").alias("_s"))
-    j = d.join(st, list(keys)).withColumn("z", F.when(F.col("_s") > 0, F.abs(F.col("d") - F.col("_m")) / F.col("_s")))
+    o = Ordered(df, keys, order, before=1, split=split)
+    o.add(d=F.col(value) - o.prev(value)).stats(_m=F.avg("d"), _s=F.stddev_pop("d"))
+    j = o.rows().filter(F.col("d").isNotNull()).withColumn("z", F.when(F.col("_s") > 0, F.abs(F.col("d") - F.col("_m")) / F.col("_s")))
     return j.filter(F.col("z") >= cut).drop("_m", "_s")
 
 
@@ -456,13 +456,11 @@ def pause_anomalies(df, keys, order, value: str, below: float, floor: float = 3.
 
 def flux_events(df, keys, order, value: str, base_z: float = 3.0, skew_gain: float = 0.5, min_events: int = 2, rate_cap: float = 0.10, split=None) -> DataFrame:
     """flux = positive step; events above a skew-adjusted z; inconclusive when too many."""
-    d = abs_diff(df, keys, order, value, "_d", signed=True, split=split).filter(F.col("_d").isNotNull())
-    d = d.withColumn("flux", F.greatest(F.col("_d"), F.lit(0.0)))
-    st = d.groupBy(*keys).agg(
-        F.avg("flux").alias("_m"), F.stddev_pop("flux").alias("_s"), F.skewness("flux").alias("_k"), F.count(F.lit(1)).alias("_n")
-    )
+    o = Ordered(df, keys, order, before=1, split=split)
+    d = F.col(value) - o.prev(value)
+    o.add(flux=F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))).stats(_m=F.avg("flux"), _s=F.stddev_pop("flux"), _k=F.skewness("flux"))
     z_cut = base_z + skew_gain * F.greatest(F.col("_k"), F.lit(0.0))
-    j = d.join(st, list(keys)).withColumn("z_cut", z_cut)
+    j = o.rows().filter(F.col("flux").isNotNull()).withColumn("z_cut", z_cut)
     ev = F.when((F.col("_s") > 0) & ((F.col("flux") - F.col("_m")) / F.col("_s") > F.col("z_cut")), 1)
     out = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_steps"), F.count(ev).alias("n_events"), F.first("z_cut").alias("z_cut"))
     rate = F.try_divide("n_events", "n_steps")
