@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,12 @@ BLOCK_ROWS_DEFAULT = 2_000_000
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the benchmark; clusters bring their own."""
+    """A local session for tests and the benchmark; clusters bring their own.
+
+    Its checkpoint folder is ``MEDIASIFT_SHARED`` or a new one in the temporary folder: one
+    machine, so driver and executor threads see the same files.
+    """
+    shared = os.environ.get("MEDIASIFT_SHARED") or tempfile.mkdtemp(prefix="mediasift-shared-")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("mediasift")
@@ -20,6 +26,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", memory)
         .getOrCreate()
@@ -34,15 +41,13 @@ def block_rows(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back only in local mode."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="mediasift-ckpt-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared)
 
 

@@ -59,7 +59,7 @@ def main(argv):
     from mediasift.session import local_session
 
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark, con = local_session(8), connect(sf)
+    spark, con = local_session(os.environ.get("CPUS", "8")), connect(sf)
     if "BLOCK_ROWS" in os.environ:
         spark.conf.set("mediasift.block.rows", os.environ["BLOCK_ROWS"])
     q, o = entry.queries(), entry.oracle_sql()
