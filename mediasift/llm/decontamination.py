@@ -48,7 +48,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         return df.select(*ids, words.alias("_w")).select(*ids, "_w", F.size("_w").alias("_n")).select(*ids, "_n", hashes.alias("_hs"))
 
     it = shingled(items.select(c(item_id).alias("_item"), c(item_text).alias("_t")), "_item")
-    it = it.select("_item", F.explode("_hs").alias("_g")).distinct()
+    it = it.select("_item", F.explode_outer("_hs").alias("_g")).filter(c("_g").isNotNull()).distinct()
     it = it.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("_item")))
     upper = F.pow(F.lit(2.0), F.floor(F.log2("_size")) + 1) - 1
     it = it.withColumn("_width", F.floor(upper * (1 - threshold) + 1e-9) + 1).withColumn("_rank", F.row_number().over(Window.partitionBy("_item").orderBy("_g")))
@@ -59,12 +59,12 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         top = -(2**63)
 
     d = shingled(docs.select(c(doc_id).alias("_id"), c(text).alias("_t")), "_id")
-    low = d.select("_id", "_n", F.explode(F.filter("_hs", lambda h: h <= F.lit(top))).alias("_g"))
+    low = d.select("_id", "_n", F.explode_outer(F.filter("_hs", lambda h: h <= F.lit(top))).alias("_g"))
     cand = low.join(small(sketch.select("_g", "_item", "_need")), "_g").filter(c("_n") - k + 1 >= c("_need"))
     cand = written(cand.groupBy("_id", "_item").agg(F.max("_need").alias("_need")), "candidates")
 
     texts = docs.select(c(doc_id).alias("_id"), c(text).alias("_t")).join(small(cand.select("_id").distinct()), "_id", "left_semi")
-    have = shingled(texts, "_id").select("_id", F.explode("_hs").alias("_g"))
+    have = shingled(texts, "_id").select("_id", F.explode_outer("_hs").alias("_g"))
     hit = have.join(small(full.select("_g", "_item", "_size")), "_g").select("_id", "_item", "_size", "_g").distinct()
     found = hit.groupBy("_id", "_item").agg(F.max("_size").alias("n_shingles"), F.count(F.lit(1)).alias("n_found"))
     out = found.join(cand, ["_id", "_item"]).filter(c("n_found") >= c("_need"))

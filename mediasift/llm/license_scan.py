@@ -70,13 +70,13 @@ def license_scan(df: DataFrame, ident: str = "doc_id", text: str = "text", templ
     d = d.select("_id", "_h", "_w", F.size("_w").alias("_n"))
     hashes = F.when(c("_n") >= 2, F.expr("transform(sequence(0, _n - 2), i -> xxhash64(_w[i], _w[i + 1]))")).otherwise(F.array().cast("array<bigint>"))
     d = d.select("_id", "_h", "_n", F.concat(F.array(F.lit(None).cast("bigint")), hashes).alias("_gs"))
-    # place 0 is a row without a gram that stands for the text itself
-    d = d.select("_id", "_h", "_n", F.posexplode("_gs").alias("_i", "_g"))
+    # outer: the optimizer then adds no size filter that would split the text again; place 0 is a row without a gram that stands for the text itself
+    d = d.select("_id", "_h", "_n", F.posexplode_outer("_gs").alias("_i", "_g"))
     hit = d.join(F.broadcast(grams), "_g", "left").filter(c("_hit").isNotNull() | (c("_i") == 0))
     hit = hit.select("_id", "_h", "_n", (c("_i") - 1).alias("_i"), c("_hit.k").alias("k"), c("_hit.at").alias("at"))
 
     diag = hit.groupBy("_id", "_h", "k", (c("_i") - c("at")).alias("_d")).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), c("at"))).alias("_bits"), F.min("_i").alias("_lo"), F.max("_i").alias("_hi"),
+        F.bit_or(F.expr("shiftleft(1L, at)")).alias("_bits"), F.min("_i").alias("_lo"), F.max("_i").alias("_hi"),
         F.max("_n").alias("_n"), F.sum(c("k").isNull().cast("int")).alias("_copies"))
     diag = diag.repartition("_id", "_h").join(F.broadcast(facts), "k", "left")
     by = Window.partitionBy("_id", "_h", "k").orderBy("_d")
