@@ -37,6 +37,7 @@ RULES = (
     Rule("duplicate_lines", "dup_line_ratio", None, 0.7),
     Rule("bullet_lines", "bullet_line_ratio", None, 0.9),
     Rule("ellipsis_lines", "ellipsis_line_ratio", None, 0.5),
+    Rule("exclamations", "exclamations_per_word", None, 0.2),
     Rule("marks", "mark_ratio", None, 0.4),
 )
 
@@ -101,6 +102,7 @@ def quality_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
         F.when(n >= 4, _repeat_words("_w", "_n")).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(F.filter("_w", lambda x: x.isin(stops))).alias("_stop"),
         F.length("_p").alias("_marks"),
+        (F.length("_p") - F.length(F.translate("_p", "!", ""))).alias("_shouts"),
         lines.alias("_lines"),
         F.size(F.filter("_l", lambda x: x.rlike(r"^\s*[-*•]"))).alias("_bullets"),
         F.size(F.filter("_l", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).alias("_dots"),
@@ -110,6 +112,7 @@ def quality_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
         "chars_per_word": per(c("word_chars"), c("n_words")),
         "symbols_per_word": per(c("n_symbols"), c("n_words")),
         "stop_word_ratio": per(c("_stop"), c("n_words")),
+        "exclamations_per_word": per(c("_shouts"), c("n_words")),
         "mark_ratio": per(c("_marks"), c("word_chars")),
         "dup_line_ratio": per(c("n_dup_lines"), c("_lines")),
         "bullet_line_ratio": per(c("_bullets"), c("_lines")),
