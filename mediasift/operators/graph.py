@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediasift.session import durable
+from mediasift.session import written
 
 
 def union_findings(*parts: DataFrame) -> DataFrame:
@@ -25,37 +25,34 @@ def dedupe(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(pick).select(*by, "_r.*")
 
 
-def _fingerprint(e: DataFrame) -> tuple:
-    r = e.select(F.count(F.lit(1)), F.sum(F.xxhash64(*e.columns).cast("decimal(38,0)"))).first()
-    return tuple(r)
-
-
-def components(edges: DataFrame, keys: Sequence[str], a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """U4: connected components of an edge list, labelled by the smallest node.
 
     Alternates the large-star and small-star steps (Kiveris et al., "Connected
     Components in MapReduce and Beyond", 2014); every step is a minimum per
     node and a join, and the number of rounds grows with the logarithm of the
-    component size. Each round is written to the checkpoint folder.
+    component size. Each round is written once to the shared folder with a mark
+    on new edges; it ends when a round changes nothing.
     """
     k = list(keys)
-    e = edges.select(*k, F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    e = durable(e)
-    last = None
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*k, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, [*k, "u"]).select(*k, F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").unionByName(both.join(low, [*k, "u"]).filter("u <> m").select(*k, "u", F.col("m").alias("v"))).distinct()
+    c = F.col
+    e = written(edges.select(*k, F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct().withColumn("new", F.lit(True)), "edges")
+    size, before = e.count(), -1
+    while size != before or not e.filter("new").isEmpty():
+        before = size
+        old = e.select(*k, "u", "v")
+        both = old.unionByName(old.select(*k, c("v").alias("u"), c("u").alias("v")))
+        low = both.groupBy(*k, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # a node that is its own minimum keeps its neighbours as they are: hubs need no join
+        large = low.filter("u <> m").select(*k, "u", c("m").alias("v"))
+        up = both.filter("v > u").join(low.filter("u <> m"), [*k, "u"]).select(*k, c("v").alias("u"), c("m").alias("v"))
+        stay = old.join(low.filter("u <> m").select(*k, c("u").alias("v")), [*k, "v"], "left_anti")
+        large = large.unionByName(up).unionByName(stay.select(*k, "u", "v")).filter("u <> v").distinct()
         low2 = large.groupBy(*k, "u").agg(F.min("v").alias("m"))
-        small = large.join(low2, [*k, "u"]).filter("v <> m").select(*k, F.col("v").alias("u"), F.col("m").alias("v"))
-        e = durable(small.unionByName(low2.select(*k, "u", F.col("m").alias("v"))).distinct())
-        now = _fingerprint(e)
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError("components did not settle")
+        small = large.join(low2, [*k, "u"]).filter("v <> m").select(*k, c("v").alias("u"), c("m").alias("v"))
+        now = small.unionByName(low2.select(*k, "u", c("m").alias("v"))).filter("u <> v").distinct()
+        e = written(now.join(old.withColumn("had", F.lit(True)), [*k, "u", "v"], "left").select(*k, "u", "v", c("had").isNull().alias("new")), "edges")
+        size = e.count()
     roots = e.select(*k, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(*k, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

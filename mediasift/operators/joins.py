@@ -192,15 +192,20 @@ def hash_repeats(df, keys, order, h: str, min_gap: int = 2, split=None) -> DataF
     return i.join(first, [*keys, h]).filter(F.col("_i") - F.col("first_pos") > min_gap).withColumnRenamed("_i", "pos")
 
 
-def flagged_plus_baseline(df, flagged: DataFrame, keys, t: str, tie: str, share: float = 0.05, cap: int = 20, split=None) -> DataFrame:
-    """Flagged rows plus a hash-chosen share of the others, first ``cap`` by time."""
+def flagged_plus_baseline(df, flagged: DataFrame, keys, t: str, tie: str, share: float = 0.05, baseline_cap: int | None = None, split=None) -> DataFrame:
+    """All flagged rows and a hash-chosen share of the others, at least one per key.
+
+    ``baseline_cap`` limits the chosen others of a key; ``n_left_out`` tells how many it left
+    out (0 without a cap). Flagged rows are never left out.
+    """
     split = decide(df, keys, split)
     rest = df.join(flagged.select(*keys, tie), [*keys, tie], "left_anti")
-    n = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("_want"))
+    n = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("_share"))
+    n = n.withColumn("_want", F.least("_share", F.lit(baseline_cap)) if baseline_cap is not None else F.col("_share"))
     pool = rest.withColumn("_h", unit_hash(*[F.col(k) for k in keys], F.col(tie)))
     base = Ordered(pool, keys, ["_h", tie], split=split).position().rows().join(n, list(keys)).filter("_i < _want")
-    both = flagged.select(*keys, t, tie, F.lit("flagged").alias("origin")).unionByName(base.select(*keys, t, tie, F.lit("baseline").alias("origin")))
-    return top_n(both, keys, [F.col(t), F.col(tie)], cap)
+    out = flagged.select(*keys, t, tie, F.lit("flagged").alias("origin"), F.lit(0).cast("bigint").alias("n_left_out"))
+    return out.unionByName(base.select(*keys, t, tie, F.lit("baseline").alias("origin"), (F.col("_share") - F.col("_want")).cast("bigint").alias("n_left_out")))
 
 
 def device_match(vectors: DataFrame, refs: DataFrame, ident: str, vec: str, ref_id: str, ref_vec: str, chunk: int = 256) -> DataFrame:

@@ -69,8 +69,8 @@ def audio_metadata(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     # computed once per row, the rules refer to it many times
     df = df.withColumn("_enc", F.lower(F.trim(F.coalesce(c("encoder"), F.lit("")))))
     enc = c("_enc")
-    codec = F.lower(c("codec"))
-    lossy = codec_properties(c("codec"))["is_lossy"]
+    known = codec_properties(c("codec"))
+    codec, lossy = known["codec"], known["is_lossy"]
     generic = enc.rlike(C.GENERIC_ENCODER_PATTERN)
     editor = has_word(enc, C.EDITOR_WORDS)
     df = df.withColumn("_gap", (F.unix_micros("modified_at") - F.unix_micros(parse_ts(c("creation_time")))) / 8.64e10)
@@ -93,7 +93,7 @@ def audio_metadata(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.when(high_rate & (bw < 0.15), f("bandwidth", "high", 0.72, 0.65, 1.3)).when(high_rate & (bw < 0.30), f("bandwidth", "medium", 0.72, 0.40, 1.0)),
         F.when(lossy & (c("bitrate_bps") > 0) & (c("duration_s") > 0) & (br > 25), f("bitrate", F.when(br < 50, "medium").otherwise("high"), 0.55, F.least(F.lit(0.55), 0.25 + br / 200), 0.8)),
         F.when((declared > 0) & (cut > 5), f("length", F.when(cut < 20, "medium").otherwise("high"), 0.70, F.when(short, 0.50).otherwise(0.30), 1.0)),
-        F.when(stripped, f("stripped_tags", "medium", 0.55, 0.30, 0.8)),
+        F.when(stripped, f("stripped_tags", "medium", 0.58, 0.30, 0.8)),
     ])
 
 
@@ -171,12 +171,12 @@ def screenshot(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     c = F.col
     ids = F.array(*[F.lit(t) for t in C.CAMERA_TAGS])
     no_cam = F.size(F.array_except(ids, F.coalesce("tags", F.array().cast("array<int>")))) >= 4
-    maker = F.arrays_overlap("tags", F.array(F.lit(271), F.lit(272)))
+    maker = F.arrays_overlap(F.coalesce("tags", F.array().cast("array<int>")), F.array(F.lit(271), F.lit(272)))
     sizes = F.concat_ws("x", c("width").cast("string"), c("height").cast("string")).isin(*[f"{w}x{h}" for w, h in C.SCREEN_SIZES])
     score, names = _weighted({
         "software_tag": has_word(F.coalesce(c("software"), F.lit("")), C.SCREENSHOT_WORDS), "missing_camera_exif": no_cam,
         "screen_dpi": c("dpi_x").isin(*C.SCREEN_DPIS) & (c("dpi_x") == c("dpi_y")) & ~maker, "screen_dimensions": sizes,
-        "no_exif_thumbnail": maker & ~F.arrays_overlap("tags", F.array(F.lit(513), F.lit(514))), "png_no_camera": (F.upper("format") == "PNG") & no_cam, "sharp_edges": c("sharpness") > 2000,
+        "no_exif_thumbnail": maker & ~F.arrays_overlap(F.coalesce("tags", F.array().cast("array<int>")), F.array(F.lit(513), F.lit(514))), "png_no_camera": (F.upper("format") == "PNG") & no_cam, "sharp_edges": c("sharpness") > 2000,
     }, C.SCREENSHOT_WEIGHTS)
     return df.select(*keys, score.alias("score"), names.alias("signals"))
 

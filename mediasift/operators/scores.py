@@ -27,30 +27,34 @@ def enf_checks(df: DataFrame, keys: Sequence[str], min_frames: int = 6) -> DataF
     f = lambda ty, sev, conf, score, w: finding("enf", ty, sev, conf, score, w)
     return explode_rules(df, keys, [
         F.when(enough & (d >= 4), f("phase", "high", F.when(c("enf_present"), 0.82).otherwise(0.52), F.least(F.lit(0.90), 0.65 + (d - 4) * 0.04), 2.0))
-        .when(enough & (d >= 2.5), f("phase", "medium", 0.6, 0.45 + (d - 2.5) * 0.05, 2.0)),
-        F.when(enough & c("enf_present") & (s >= 0.10), f("drift", "medium", 0.6, F.least(F.lit(0.6), 0.4 + (s - 0.10) * 2), 0.6))
-        .when(enough & c("enf_present") & (s >= 0.05), f("drift", "low", 0.4, 0.25, 0.6)),
-        F.when((c("snr_harm") > -2) & (c("snr_fund") <= -2), f("harmonic_only", "low", 0.4, 0.20, 0.3)),
+        .when(enough & (d >= 2.5), f("phase", "medium", F.when(c("enf_present"), 0.65).otherwise(0.38), 0.45 + (d - 2.5) * 0.05, 2.0)),
+        F.when(enough & c("enf_present") & (s >= 0.10), f("drift", "medium", 0.55, F.least(F.lit(0.6), 0.4 + (s - 0.10) * 2), 0.6))
+        .when(enough & c("enf_present") & (s >= 0.05), f("drift", "low", 0.55, 0.25, 0.6)),
+        F.when((c("snr_harm") > -2) & (c("snr_fund") <= -2), f("harmonic_only", "low", 0.45, 0.20, 0.3)),
+        # informs only: no score
+        F.when(~c("enf_present"), f("absent", "low", 0.90, F.lit(None).cast("double"), 0.0)),
     ])
 
 
 def lowpass_checks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Low-pass edge, expectation, moving ceiling, bandwidth use.
 
-    Expects steepness, total_drop, cutoff, ceiling_hz, n_segments, ceiling_cv, uncompressed, lossy, bitrate_kbps, nyquist.
+    Expects steepness, total_drop, cutoff, ceiling_hz, n_segments, ceiling_cv, uncompressed (PCM, FLAC or
+    unknown codec), lossy, bitrate_kbps, nyquist.
     """
     c = F.col
     st = c("steepness")
     edge = (st >= 20) & (c("total_drop") >= 15)
     base = F.when(st >= 40, F.least(F.lit(0.85), 0.60 + (st - 40) / 200)).otherwise(0.40 + (st - 20) / 100)
-    deficit = F.try_divide(c("ceiling_hz") - c("cutoff"), c("ceiling_hz")) * 100
+    expected = F.least(c("ceiling_hz"), 0.98 * c("nyquist"))
+    deficit = F.try_divide(expected - c("cutoff"), expected) * 100
     want = 0.65 * F.least(c("bitrate_kbps") * 1000 / 16, 0.9 * c("nyquist"))
-    f = lambda ty, sev, score, w: finding("compression", ty, sev, score=score, weight=w)
+    f = lambda ty, sev, conf, score, w: finding("compression", ty, sev, conf, score, w)
     return explode_rules(df, keys, [
-        F.when(c("uncompressed") & edge, f("lowpass", F.when(st >= 40, "high").otherwise("medium"), F.least(F.lit(0.90), base + 0.10), 2.0)),
-        F.when(edge & (deficit > 25), f("expectation", "medium", F.least(F.lit(0.6), 0.3 + deficit / 200), 1.0)),
-        F.when(~c("lossy") & (c("n_segments") >= 5) & (c("ceiling_cv") > 0.12), f("moving_ceiling", "medium", 0.40, 0.8)),
-        F.when(c("lossy") & (c("bitrate_kbps") > 0) & (st >= 20) & (c("cutoff") < want), f("bandwidth_use", "low", 0.35, 0.7)),
+        F.when(c("uncompressed") & edge, f("lowpass", "high", 0.88, F.least(F.lit(0.90), base + 0.10), 2.0)),
+        F.when(c("ceiling_hz").isNotNull() & c("cutoff").isNotNull() & (deficit > 25), f("expectation", "medium", 0.65, F.least(F.lit(0.6), 0.3 + deficit / 200), 1.0)),
+        F.when(c("uncompressed") & (c("n_segments") >= 5) & (c("ceiling_cv") > 0.12), f("moving_ceiling", "medium", 0.65, 0.40, 0.8)),
+        F.when(c("lossy") & (c("bitrate_kbps") > 0) & (st >= 20) & (c("cutoff") < want), f("bandwidth_use", "medium", 0.60, 0.35, 0.7)),
     ])
 
 

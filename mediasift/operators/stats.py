@@ -167,9 +167,10 @@ def bitrate_score(n_anomaly: Column, n: Column, gop: Column, unexpected: Column)
     return clamp(0.50 * a + 0.35 * gop + 0.15 * F.least(F.lit(1.0), unexpected / 3))
 
 
-def grid_anomaly(df, keys, cell: Sequence[str], x: str, active: float = 0.05, sigma: float = 2.5, split=None) -> DataFrame:
-    """Cell variances; CV over active cells, skew CV, cells beyond ``sigma``."""
-    c = df.groupBy(*keys, *cell).agg(F.var_pop(x).alias("v"), F.skewness(x).alias("sk"))
+def grid_anomaly(df, keys, frame: str, cell: Sequence[str], x: str, active: float = 0.05, sigma: float = 2.5, split=None) -> DataFrame:
+    """Variance and skew per frame and cell, averaged over frames; CV over active cells, skew CV, cells beyond ``sigma``."""
+    f = df.groupBy(*keys, frame, *cell).agg(F.var_pop(x).alias("v"), F.skewness(x).alias("sk"))
+    c = f.groupBy(*keys, *cell).agg(F.avg("v").alias("v"), F.avg("sk").alias("sk"))
     med = quantiles(c, keys, "v", split=split, _med=0.5)
     st = c.groupBy(*keys).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
     j = c.join(med, list(keys)).join(st, list(keys))
@@ -348,7 +349,7 @@ def radial_periodicity(profile, keys, radius: str, level: str, lags: tuple[int,
 MODULE_CONFIDENCE = {
     "enf": (0.50, 0.08, 0.92, 0.0, 0.0),
     "noise": (0.45, 0.08, 0.88, 0.10, 0.10),
-    "compression": (0.45, 0.09, 0.90, 0.10, 0.10),
+    "compression": (0.45, 0.09, 0.90, 0.0, 0.0),
     "reverberation": (0.40, 0.09, 0.85, 0.0, 0.0),
     "voice": (0.42, 0.09, 0.88, 0.0, 0.0),
     "metadata": (0.40, 0.10, 0.85, 0.08, 0.15),
@@ -363,16 +364,27 @@ def pick(module: Column, table: Mapping[str, float], default: float) -> Column:
     return out.otherwise(F.lit(default))
 
 
-def module_score(checks, keys, module: str, score: str, weight: str, severity: str) -> DataFrame:
-    """Weighted mean of fired checks, confidence by count, HIGH bonus."""
+# Confidence without any check, and the factor on mains analysis without a mains signal.
+IDLE_CONFIDENCE = {"reverberation": 0.40, "voice": 0.40}
+MAINS_ABSENT_FACTOR = 0.35
+
+
+def module_score(checks, keys, module: str, score: str, weight: str, severity: str, mains_present: Column | None = None) -> DataFrame:
+    """Weighted mean of fired checks, confidence by count, HIGH bonus.
+
+    A check without a score only informs and doesn't count. ``mains_present``: a boolean of the
+    checks' rows; where no row of a key has it, the mains module's confidence falls.
+    """
+    checks = checks.withColumn("_mains", F.lit(True) if mains_present is None else mains_present).filter(F.col(score).isNotNull())
     g = checks.groupBy(*keys, module).agg(
         F.count(F.lit(1)).alias("n_checks"), F.count(F.when(F.col(severity) == "high", 1)).alias("n_high"),
-        F.try_divide(F.sum(F.col(score) * F.col(weight)), F.sum(weight)).alias("_s"),
+        F.try_divide(F.sum(F.col(score) * F.col(weight)), F.sum(weight)).alias("_s"), F.bool_or("_mains").alias("_mains"),
     )
     m = F.col(module)
     part = lambda i: {k: v[i] for k, v in MODULE_CONFIDENCE.items()}
     bonus = F.when(F.col("n_high") >= 2, pick(m, part(4), 0.0)).when(F.col("n_high") == 1, pick(m, part(3), 0.0)).otherwise(0.0)
     conf = F.least(pick(m, part(2), 0.9), pick(m, part(0), 0.45) + pick(m, part(1), 0.08) * F.col("n_checks"))
+    conf = conf * F.when((m == "enf") & ~F.col("_mains"), MAINS_ABSENT_FACTOR).otherwise(1.0)
     return g.select(*keys, module, "n_checks", "n_high", F.least(F.lit(1.0), F.col("_s") + bonus).alias("score"), conf.alias("confidence"))
 
 
@@ -445,17 +457,23 @@ def divergent_fraction(df, keys, frame: str, x: str, ratio: float = 3.0, min_mea
     return f.groupBy(*keys).agg(F.avg("_f").alias("divergent_fraction"), F.count(F.lit(1)).alias("n_frames"))
 
 
-def signal_type(df, keys, order, x: str, split=None) -> DataFrame:
-    """Zero crossings, fast-change share and level CV vote for speech, music or phone."""
-    o = Ordered(df, keys, order, before=1, split=split)
-    rows = o.add(_p=o.prev(x)).rows()
-    cross = (F.col(x) * F.col("_p") < 0).cast("double")
-    g = rows.groupBy(*keys).agg(
-        F.avg(cross).alias("zcr"), (F.stddev_pop(x) / (F.avg(F.abs(F.col(x))) + 1e-6)).alias("level_cv"),
-        (F.avg(F.abs(F.col(x) - F.col("_p"))) / (F.avg(F.abs(F.col(x))) + 1e-6)).alias("hf_share"),
-    )
-    speech = (F.col("zcr").between(0.35, 0.50)).cast("int") + (F.col("level_cv") > 1.0).cast("int") + (F.col("hf_share") < 1.4).cast("int")
-    return g.withColumn("speech_votes", speech).withColumn("kind", F.when(speech >= 2, "speech").when(F.col("hf_share") > 1.5, "phone").otherwise("music"))
+def signal_type(df, keys, zcr: str, rms: str, hf: str, high: tuple[float, float, float] = (0.10, 0.80, 0.25), low: tuple[float, float] = (0.02, 0.08)) -> DataFrame:
+    """Music, phone_speech or speech from frames with zero-crossing rate, level and HF energy share.
+
+    Music needs all three votes (mean crossing rate, level CV and HF share above ``high``); phone
+    speech a HF share and crossing rate below ``low``; all else is speech. The published text
+    names the features and the votes; the cut-offs are parameters.
+    """
+    g = df.groupBy(*keys).agg(F.avg(zcr).alias("zcr"), F.try_divide(F.stddev_pop(rms), F.avg(rms)).alias("level_cv"), F.avg(hf).alias("hf_share"))
+    votes = sum((F.coalesce(F.col(c) > v, F.lit(False)).cast("int") for c, v in zip(("zcr", "level_cv", "hf_share"), high)), F.lit(0))
+    kind = F.when(votes >= 3, "music").when((F.col("hf_share") < low[0]) & (F.col("zcr") < low[1]), "phone_speech").otherwise("speech")
+    return g.withColumn("music_votes", votes).withColumn("kind", kind)
+
+
+def integrity_confidence(clip_ratio: Column, dc: Column, n_gaps: Column, clip_gain: float = 10.0) -> Column:
+    """1 minus penalties: clipping above 0.1 % (``clip_gain`` x ratio, 0.5 at most), DC above 0.05 (0.15), 0.15 per long gap (0.4 at most)."""
+    clip = F.when(clip_ratio > 0.001, F.least(F.lit(0.5), clip_ratio * clip_gain)).otherwise(0.0)
+    return clamp(1.0 - clip - F.when(F.abs(dc) > 0.05, 0.15).otherwise(0.0) - F.least(F.lit(0.4), n_gaps * 0.15))
 
 
 def completeness(df, keys, fields: Sequence[str]) -> DataFrame:

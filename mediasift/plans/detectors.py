@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mediasift.operators import series as W
 from mediasift.operators import stats as A
 from mediasift.operators.graph import union_findings
-from mediasift.operators.stats import module_score
+from mediasift.operators.stats import IDLE_CONFIDENCE, module_score, pick
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def run_detectors(series: DataFrame, keys: Sequence[str], names: Sequence[str] |
     want = sizes.select(*k, "_n", F.explode(F.array(*[F.struct(F.lit(d.name).alias("module"), F.lit(d.min_rows).alias("_min")) for d in use])).alias("d")).select(*k, "_n", "d.*")
     j = want.join(scored, [*k, "module"], "left")
     out = j.select(
-        *k, "module", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("confidence", F.lit(0.50)).alias("confidence"), (F.col("_n") < F.col("_min")).alias("skipped"),
+        *k, "module", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("confidence", pick(F.col("module"), IDLE_CONFIDENCE, 0.50)).alias("confidence"), (F.col("_n") < F.col("_min")).alias("skipped"),
         F.lit(None).cast("double").alias("snr_db"), F.lit(False).alias("enf_present"), F.coalesce("n_checks", F.lit(0)).alias("n_checks"),
     )
     return out, found

@@ -30,7 +30,7 @@ def score_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c("n_spikes") > 0, finding("voice", "spikes", "medium", score=F.least(F.lit(0.9), 0.3 + 0.1 * c("n_spikes")), weight=1.0)),
         finding("enf", "level", "low", score=F.least(F.lit(1.0), c("std") / 120), weight=1.0),
     ])
-    scores = A.module_score(checks, k, "module", "score", "weight", "severity")
+    scores = A.module_score(checks, k, "module", "score", "weight", "severity", F.lit(False))
     scores = scores.withColumns({"skipped": F.lit(False), "snr_db": F.lit(None).cast("double"), "enf_present": F.lit(False)})
     fused = fuse_audio(scores, k)
     rs = RS.risk_score(c("fused"))
@@ -48,7 +48,7 @@ ab AS (SELECT cp.*, CASE WHEN mx/md <= 2 THEN 0.0 WHEN mx/md <= 10 THEN (mx/md-2
 ck AS (SELECT k, 'noise' AS module, least(0.8, 0.4+least(mz,20)/40) AS s, 2.0 AS w, 1 AS h FROM ab WHERE ct IS NOT NULL UNION ALL SELECT k,'noise',least(0.6,cv*0.4),0.5,0 FROM ab WHERE cv > 0.9
  UNION ALL SELECT k,'compression',sc,1.0,CASE WHEN sc >= 0.5 THEN 1 ELSE 0 END FROM ab UNION ALL SELECT k,'voice',least(0.9,0.3+0.1*ns),1.0,0 FROM ab WHERE ns > 0 UNION ALL SELECT k,'enf',least(1.0,sx/120),1.0,0 FROM ab),
 ms0 AS (SELECT k, module, sum(s*w)/sum(w) AS s, count(*) AS n_checks, sum(h) AS nh FROM ck GROUP BY k, module),
-ms AS (SELECT k, module, least(1.0, s + CASE WHEN nh >= 2 THEN {_conf(4)} WHEN nh = 1 THEN {_conf(3)} ELSE 0 END) AS s, least({_conf(2)}, {_conf(0)} + {_conf(1)}*n_checks) AS c, CAST({_W} AS DOUBLE) AS w FROM ms0),
+ms AS (SELECT k, module, least(1.0, s + CASE WHEN nh >= 2 THEN {_conf(4)} WHEN nh = 1 THEN {_conf(3)} ELSE 0 END) AS s, least({_conf(2)}, {_conf(0)} + {_conf(1)}*n_checks)*CASE WHEN module='enf' THEN 0.35 ELSE 1.0 END AS c, CAST({_W} AS DOUBLE) AS w FROM ms0),
 fl AS (SELECT k, bool_or(module='enf' AND s >= 0.3) AS ep, sum(w) AS tw FROM ms GROUP BY k),
 ad AS (SELECT ms.k, module, s, c, CASE WHEN ep THEN w WHEN module='enf' THEN 0 ELSE w*(1+0.30/(tw-0.30)) END AS w FROM ms JOIN fl ON ms.k=fl.k),
 b AS (SELECT k, count(*) AS na, sum(s*w)/sum(w) AS base, max(CASE WHEN s >= 0.65 AND w >= 0.08 THEN s*0.62 ELSE 0 END) AS esc, sum(c*w)/sum(w) AS cf, count(*) {_EL} AS ne, avg(s) {_EL} AS em, stddev_pop(s) {_EL} AS es, coalesce(string_agg(module, ',' ORDER BY module) {_EL},'') AS el FROM ad GROUP BY k),

@@ -212,8 +212,8 @@ _ST = "CASE kind WHEN 'click' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'si
 
 
 @query(f"""WITH {SERIES}, a AS (SELECT k*100 + tie % 20 AS job, t, tie, {_ST} AS st FROM series)
-SELECT job, count(*) AS n_events, coalesce(arg_min(st, tie) FILTER (WHERE st IN ('completed','failed')), arg_max(st, tie)) AS status, {R('min(t)')} AS submitted_at, {R("min(t) FILTER (WHERE st='running')")} AS started_at,
- {R("min(t) FILTER (WHERE st IN ('completed','failed'))")} AS finished_at, {R("min(t) FILTER (WHERE st IN ('completed','failed')) - min(t)")} AS duration FROM a GROUP BY job""")
+SELECT job, count(*) AS n_events, CASE WHEN bool_or(st='completed') THEN 'completed' WHEN bool_or(st='failed') THEN 'failed' WHEN bool_or(st='running') THEN 'running' ELSE arg_max(st, tie) END AS status, {R('min(t)')} AS submitted_at, {R("min(t) FILTER (WHERE st='running')")} AS started_at,
+ {R("coalesce(min(t) FILTER (WHERE st='completed'), min(t) FILTER (WHERE st='failed'))")} AS finished_at, {R("coalesce(min(t) FILTER (WHERE st='completed'), min(t) FILTER (WHERE st='failed')) - min(t)")} AS duration FROM a GROUP BY job""")
 def q_job_status(spark, d):
     m = {"click": "PENDING", "view": "STARTED", "signup": "PROGRESS", "purchase": "SUCCESS", "error": "FAILURE"}
     st = F.element_at(F.create_map(*[F.lit(v) for kv in m.items() for v in kv]), F.col("kind"))

@@ -117,10 +117,10 @@ def q_hash_dup(spark, d):
 
 @query(f"""WITH {SERIES}, n AS (SELECT k, greatest(1, CAST(floor(count(*)*0.05) AS BIGINT)) AS want FROM series GROUP BY k), fl AS (SELECT k, t, tie FROM series WHERE x > 150),
 rs AS (SELECT s.k, s.t, s.tie, row_number() OVER (PARTITION BY s.k ORDER BY substr(md5(concat_ws(':', CAST(s.k AS VARCHAR), CAST(s.tie AS VARCHAR))),1,8), s.tie) AS q FROM series s WHERE x <= 150),
-u AS (SELECT k, t, tie, 'flagged' AS origin FROM fl UNION ALL SELECT rs.k, t, tie, 'baseline' FROM rs JOIN n ON rs.k=n.k WHERE q <= want), w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, tie) AS z FROM u) SELECT k, {R('t')} AS t, tie, origin FROM w WHERE z <= 5""")
+u AS (SELECT k, t, tie, 'flagged' AS origin FROM fl UNION ALL SELECT rs.k, t, tie, 'baseline' FROM rs JOIN n ON rs.k=n.k WHERE q <= want) SELECT k, {R('t')} AS t, tie, origin, CAST(0 AS BIGINT) AS n_left_out FROM u""")
 def q_flagged_plus_baseline(spark, d):
     s = series(spark, d)
-    return tidy(J.flagged_plus_baseline(s, s.filter("x > 150"), K, "t", "tie", cap=5))
+    return tidy(J.flagged_plus_baseline(s, s.filter("x > 150"), K, "t", "tie"))
 
 
 @query("""WITH p AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), e AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS a FROM (SELECT label, embedding, unnest(generate_series(1,64)) AS i FROM embeddings) GROUP BY label, i),
@@ -144,7 +144,7 @@ def q_roi_vs_background(spark, d):
 _RG = """SELECT k, CASE WHEN avg(x) < 45 THEN 'low' ELSE 'high' END AS verdict, avg(x)/100 AS p, avg(m)/100 AS c, list_sort(list(DISTINCT kind) FILTER (WHERE x > 100)) AS el FROM series WHERE {0} GROUP BY k"""
 
 
-@query(f"""WITH {SERIES}, g AS ({_RG.format('tie % 2 = 0 AND k % 10 <> 3')}), n AS ({_RG.format('tie % 2 = 1 AND k % 10 <> 4')}), j AS (SELECT coalesce(g.k,n.k) AS k, g.k AS gk, n.k AS nk, g.verdict AS gv, n.verdict AS nv, g.p AS gp, n.p AS np, g.c AS gc, n.c AS nc, coalesce(g.el,[]) AS ge, coalesce(n.el,[]) AS ne FROM g FULL JOIN n ON g.k=n.k),
+@query(f"""WITH {SERIES}, g AS ({_RG.format('k % 10 <> 3')}), n AS ({_RG.replace('FROM series', 'FROM (SELECT k, x * CASE WHEN k % 10 = 5 THEN 1.25 ELSE 1 END AS x, m, kind FROM series)').format('k % 10 <> 4')}), j AS (SELECT coalesce(g.k,n.k) AS k, g.k AS gk, n.k AS nk, g.verdict AS gv, n.verdict AS nv, g.p AS gp, n.p AS np, g.c AS gc, n.c AS nc, coalesce(g.el,[]) AS ge, coalesce(n.el,[]) AS ne FROM g FULL JOIN n ON g.k=n.k),
 f AS (SELECT *, concat_ws(',', CASE WHEN gv IS DISTINCT FROM nv THEN 'verdict' END, CASE WHEN abs(gp-np) > 0.02 THEN 'p' END, CASE WHEN abs(gc-nc) > 0.03 THEN 'c' END, CASE WHEN len(list_filter(ge, lambda z: NOT list_contains(ne,z))) > 0 THEN 'el:lost' END, CASE WHEN len(list_filter(ne, lambda z: NOT list_contains(ge,z))) > 0 THEN 'el:new' END) AS fl FROM j)
 SELECT k, CASE WHEN gk IS NULL THEN 'added' WHEN nk IS NULL THEN 'missing' WHEN fl = '' THEN 'same' ELSE 'changed' END AS state, CASE WHEN gk IS NULL OR nk IS NULL THEN '' ELSE fl END AS fields FROM f""")
 def q_regression_diff(spark, d):
@@ -152,7 +152,9 @@ def q_regression_diff(spark, d):
         F.when(F.avg("x") < 45, "low").otherwise("high").alias("verdict"), (F.avg("x") / 100).alias("p"), (F.avg("m") / 100).alias("c"), F.collect_set(F.when(F.col("x") > 100, F.col("kind"))).alias("el"),
     )
     s = series(spark, d)
-    return J.regression_diff(run(s.filter("tie % 2 = 0 AND k % 10 <> 3")), run(s.filter("tie % 2 = 1 AND k % 10 <> 4")), K, ["verdict"], {"p": 0.02, "c": 0.03}, ["el"])
+    # declared fixture: the old run lacks the cases k % 10 = 3, the new one k % 10 = 4 and has raised values where k % 10 = 5
+    new = s.withColumn("x", F.col("x") * F.when(F.col("k") % 10 == 5, 1.25).otherwise(1.0))
+    return J.regression_diff(run(s.filter("k % 10 <> 3")), run(new.filter("k % 10 <> 4")), K, ["verdict"], {"p": 0.02, "c": 0.03}, ["el"])
 
 
 @query(f"""WITH m AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS a, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey, {R('o_totalprice',2)} AS declared, {R('a',2)} AS actual, n AS n_rows, {R('abs(o_totalprice-a)/o_totalprice',4)} AS relative
@@ -184,11 +186,11 @@ def q_loo_outlier(spark, d):
 
 
 # -- sets, order, limits ------------------------------------------------------
-@query(f"WITH {CHECKS} SELECT k, tie, 'temporal' AS domain, {R('score')} AS score, severity FROM checks WHERE module='noise' UNION ALL SELECT k, tie, 'spatial', NULL, severity FROM checks WHERE module='compression' UNION ALL SELECT k, tie, 'av', {R('score')}, NULL FROM checks WHERE module='voice'")
+@query(f"WITH {CHECKS} SELECT k, tie, 'temporal' AS domain, {R('score')} AS score, severity FROM checks WHERE module IN ('enf','noise') UNION ALL SELECT k, tie, 'spatial', NULL, severity FROM checks WHERE module IN ('compression','metadata') UNION ALL SELECT k, tie, 'av', {R('score')}, NULL FROM checks WHERE module='voice'")
 def q_union_findings(spark, d):
     c = checks(spark, d)
-    part = lambda m, dom, *cols: c.filter(F.col("module") == m).select("k", "tie", F.lit(dom).alias("domain"), *cols)
-    return tidy(G.union_findings(part("noise", "temporal", "score", "severity"), part("compression", "spatial", "severity"), part("voice", "av", "score")))
+    part = lambda ms, dom, *cols: c.filter(F.col("module").isin(*ms)).select("k", "tie", F.lit(dom).alias("domain"), *cols)
+    return tidy(G.union_findings(part(("enf", "noise"), "temporal", "score", "severity"), part(("compression", "metadata"), "spatial", "severity"), part(("voice",), "av", "score")))
 
 
 @query(f"WITH {CHECKS} SELECT k, CAST(floor(t/48) AS BIGINT) AS slot, module, arg_min(severity, tie) AS severity, min(tie) AS tie FROM checks GROUP BY k, floor(t/48), module")
@@ -209,11 +211,11 @@ def q_set_diff(spark, d):
 _W = "CASE module WHEN 'enf' THEN 0.30 WHEN 'noise' THEN 0.22 WHEN 'compression' THEN 0.18 WHEN 'voice' THEN 0.10 ELSE 0.08 END"
 
 
-@query(f"WITH {CHECKS} SELECT k, tie, module, severity FROM checks WHERE severity IN ('high','medium') ORDER BY CASE severity WHEN 'high' THEN 3 ELSE 2 END DESC, {_W} DESC, tie")
+@query(f"WITH {CHECKS} SELECT k, tie, module, severity FROM checks ORDER BY CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, {_W} DESC, tie")
 def q_rank_findings(spark, d):
     from mediasift.plans.fusion import AUDIO_WEIGHTS
 
-    c = checks(spark, d).filter("severity IN ('high', 'medium')").select("k", "tie", "module", "severity")
+    c = checks(spark, d).select("k", "tie", "module", "severity")
     return G.rank_findings(c, "severity", pick(F.col("module"), AUDIO_WEIGHTS, 0.05), "tie")
 
 

@@ -128,16 +128,16 @@ ED = " OR ".join(f"enc LIKE '%{w}%'" for w in C.EDITOR_WORDS)
 DEV = " OR ".join(f"enc LIKE '%{w}%'" for w in C.DEVICE_WORDS)
 
 
-@query(f"""WITH {AUDIO} SELECT k, 'container_codec' AS type, 'high' AS severity, {R('0.75')} AS score, {R('1.5')} AS weight FROM am WHERE NOT ok
-UNION ALL SELECT k,'editor_encoder','medium',0.45,1.0 FROM am WHERE {ED} UNION ALL SELECT k,'generic_encoder','low',0.25,0.5 FROM am WHERE gen AND NOT ({ED}) AND NOT ({DEV})
-UNION ALL SELECT k,'no_timestamp','low',0.2,0.5 FROM am WHERE notime AND cont LIKE '%mp4%'
-UNION ALL SELECT k,'timestamp_gap',CASE WHEN gap > 180 OR gap < -1 THEN 'high' ELSE 'medium' END, CASE WHEN gap > 180 THEN 0.6 WHEN gap > 7 THEN 0.35 ELSE 0.7 END, CASE WHEN gap > 180 THEN 1.2 WHEN gap > 7 THEN 1.0 ELSE 1.5 END FROM am WHERE NOT notime AND (gap > 7 OR gap < -1)
-UNION ALL SELECT k,'bandwidth',CASE WHEN bw < 0.15 THEN 'high' ELSE 'medium' END, CASE WHEN bw < 0.15 THEN 0.65 ELSE 0.4 END, CASE WHEN bw < 0.15 THEN 1.3 ELSE 1.0 END FROM am WHERE mf IS NOT NULL AND sr >= 32000 AND bw < 0.3
-UNION ALL SELECT k,'bitrate',CASE WHEN bd < 50 THEN 'medium' ELSE 'high' END,{R('least(0.55,0.25+bd/200)')},0.8 FROM am WHERE lossy AND bd > 25
-UNION ALL SELECT k,'length',CASE WHEN cut < 20 THEN 'medium' ELSE 'high' END, CASE WHEN ns < decl THEN 0.5 ELSE 0.3 END, 1.0 FROM am WHERE decl > 0 AND cut > 5
-UNION ALL SELECT k,'stripped_tags','medium',0.3,0.8 FROM am WHERE codec='mp3' AND ((NOT tags AND enc='') OR (gen AND notime))""")
+@query(f"""WITH {AUDIO} SELECT k, 'container_codec' AS type, 'high' AS severity, {R('0.80')} AS confidence, {R('0.75')} AS score, {R('1.5')} AS weight FROM am WHERE NOT ok
+UNION ALL SELECT k,'editor_encoder','medium',0.70,0.45,1.0 FROM am WHERE {ED} UNION ALL SELECT k,'generic_encoder','low',0.50,0.25,0.5 FROM am WHERE gen AND NOT ({ED}) AND NOT ({DEV})
+UNION ALL SELECT k,'no_timestamp','low',0.45,0.2,0.5 FROM am WHERE notime AND cont LIKE '%mp4%'
+UNION ALL SELECT k,'timestamp_gap',CASE WHEN gap > 180 OR gap < -1 THEN 'high' ELSE 'medium' END, 0.65, CASE WHEN gap > 180 THEN 0.6 WHEN gap > 7 THEN 0.35 ELSE 0.7 END, CASE WHEN gap > 180 THEN 1.2 WHEN gap > 7 THEN 1.0 ELSE 1.5 END FROM am WHERE NOT notime AND (gap > 7 OR gap < -1)
+UNION ALL SELECT k,'bandwidth',CASE WHEN bw < 0.15 THEN 'high' ELSE 'medium' END, 0.72, CASE WHEN bw < 0.15 THEN 0.65 ELSE 0.4 END, CASE WHEN bw < 0.15 THEN 1.3 ELSE 1.0 END FROM am WHERE mf IS NOT NULL AND sr >= 32000 AND bw < 0.3
+UNION ALL SELECT k,'bitrate',CASE WHEN bd < 50 THEN 'medium' ELSE 'high' END,0.55,{R('least(0.55,0.25+bd/200)')},0.8 FROM am WHERE lossy AND bd > 25
+UNION ALL SELECT k,'length',CASE WHEN cut < 20 THEN 'medium' ELSE 'high' END, 0.70, CASE WHEN ns < decl THEN 0.5 ELSE 0.3 END, 1.0 FROM am WHERE decl > 0 AND cut > 5
+UNION ALL SELECT k,'stripped_tags','medium',0.58,0.3,0.8 FROM am WHERE codec IN ('mp3','mp3float') AND ((NOT tags AND enc='') OR (gen AND notime))""")
 def q_meta_rules_audio(spark, d):
-    return tidy(P.audio_metadata(audio_assets(spark, d), K).select("k", "type", "severity", "score", "weight"))
+    return tidy(P.audio_metadata(audio_assets(spark, d), K).select("k", "type", "severity", "confidence", "score", "weight"))
 
 
 VENC = ("Lavf60.3", "Apple iPhone", "Adobe Premiere Pro 2023", "HandBrake 1.6", "mystery", "OBS Studio")

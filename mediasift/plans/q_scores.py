@@ -19,25 +19,25 @@ def grouped(spark, d):
 
 
 @query(f"""WITH {G}, a AS (SELECT k, n, mx/60 AS d, sx/600 AS s, k % 3 <> 0 AS ep, am/10-6 AS sf, am/20-4 AS sh FROM g)
-SELECT k, 'phase' AS type, CASE WHEN d >= 4 THEN 'high' ELSE 'medium' END AS severity, {R('CASE WHEN d >= 4 THEN least(0.9,0.65+(d-4)*0.04) ELSE 0.45+(d-2.5)*0.05 END')} AS score FROM a WHERE n >= 6 AND d >= 2.5
-UNION ALL SELECT k,'drift',CASE WHEN s >= 0.1 THEN 'medium' ELSE 'low' END, {R('CASE WHEN s >= 0.1 THEN least(0.6,0.4+(s-0.1)*2) ELSE 0.25 END')} FROM a WHERE n >= 6 AND ep AND s >= 0.05
-UNION ALL SELECT k,'harmonic_only','low',{R('0.2')} FROM a WHERE sh > -2 AND sf <= -2""")
+SELECT k, 'phase' AS type, CASE WHEN d >= 4 THEN 'high' ELSE 'medium' END AS severity, {R('CASE WHEN d >= 4 AND ep THEN 0.82 WHEN d >= 4 THEN 0.52 WHEN ep THEN 0.65 ELSE 0.38 END')} AS confidence, {R('CASE WHEN d >= 4 THEN least(0.9,0.65+(d-4)*0.04) ELSE 0.45+(d-2.5)*0.05 END')} AS score, {R('2.0')} AS weight FROM a WHERE n >= 6 AND d >= 2.5
+UNION ALL SELECT k,'drift',CASE WHEN s >= 0.1 THEN 'medium' ELSE 'low' END, {R('0.55')}, {R('CASE WHEN s >= 0.1 THEN least(0.6,0.4+(s-0.1)*2) ELSE 0.25 END')}, {R('0.6')} FROM a WHERE n >= 6 AND ep AND s >= 0.05
+UNION ALL SELECT k,'harmonic_only','low',{R('0.45')},{R('0.2')},{R('0.3')} FROM a WHERE sh > -2 AND sf <= -2 UNION ALL SELECT k,'absent','low',{R('0.9')},NULL,{R('0.0')} FROM a WHERE NOT ep""")
 def q_enf_checks(spark, d):
     g = grouped(spark, d).select("k", F.col("n").alias("n_frames"), (F.col("mx") / 60).alias("discontinuity"), (F.col("sx") / 600).alias("freq_std"), (F.col("k") % 3 != 0).alias("enf_present"), (F.col("am") / 10 - 6).alias("snr_fund"), (F.col("am") / 20 - 4).alias("snr_harm"))
-    return tidy(X.enf_checks(g, K).select("k", "type", "severity", "score"))
+    return tidy(X.enf_checks(g, K).select("k", "type", "severity", "confidence", "score", "weight"))
 
 
-@query(f"""WITH {G}, a AS (SELECT k, n, mx/6 AS st, mx/8 AS td, am*90 AS cu, 7000.0 AS ce, sx/ax*0.15 AS cc, k % 2 = 0 AS un, k % 2 = 1 AS lo, 64+k % 5*32 AS kb FROM g)
-SELECT k, 'lowpass' AS type, CASE WHEN st >= 40 THEN 'high' ELSE 'medium' END AS severity, {R('least(0.9, 0.1 + CASE WHEN st >= 40 THEN least(0.85,0.6+(st-40)/200) ELSE 0.4+(st-20)/100 END)')} AS score FROM a WHERE un AND st >= 20 AND td >= 15
-UNION ALL SELECT k,'expectation','medium',{R('least(0.6,0.3+(ce-cu)/ce*100/200)')} FROM a WHERE st >= 20 AND td >= 15 AND (ce-cu)/ce*100 > 25
-UNION ALL SELECT k,'moving_ceiling','medium',{R('0.4')} FROM a WHERE NOT lo AND n >= 5 AND cc > 0.12 UNION ALL SELECT k,'bandwidth_use','low',{R('0.35')} FROM a WHERE lo AND kb > 0 AND st >= 20 AND cu < 0.65*least(kb*1000/16.0, 0.9*8000)""")
+@query(f"""WITH {G}, a AS (SELECT k, n, mx/6 AS st, mx/8 AS td, am*90 AS cu, CASE k % 4 WHEN 0 THEN 9000.0 WHEN 3 THEN NULL ELSE 7000.0 END AS ce, sx/ax*0.15 AS cc, k % 2 = 0 AS un, k % 2 = 1 AS lo, 64+k % 5*32 AS kb FROM g)
+SELECT k, 'lowpass' AS type, 'high' AS severity, {R('0.88')} AS confidence, {R('least(0.9, 0.1 + CASE WHEN st >= 40 THEN least(0.85,0.6+(st-40)/200) ELSE 0.4+(st-20)/100 END)')} AS score, {R('2.0')} AS weight FROM a WHERE un AND st >= 20 AND td >= 15
+UNION ALL SELECT k,'expectation','medium',{R('0.65')},{R('least(0.6,0.3+(ce-cu)/ce*100/200)')},{R('1.0')} FROM (SELECT k, cu, least(ce, 0.98*8000) AS ce FROM a WHERE ce IS NOT NULL) WHERE (ce-cu)/ce*100 > 25
+UNION ALL SELECT k,'moving_ceiling','medium',{R('0.65')},{R('0.4')},{R('0.8')} FROM a WHERE un AND n >= 5 AND cc > 0.12 UNION ALL SELECT k,'bandwidth_use','medium',{R('0.6')},{R('0.35')},{R('0.7')} FROM a WHERE lo AND kb > 0 AND st >= 20 AND cu < 0.65*least(kb*1000/16.0, 0.9*8000)""")
 def q_lowpass_checks(spark, d):
     c = F.col
     g = grouped(spark, d).select(
-        "k", (c("mx") / 6).alias("steepness"), (c("mx") / 8).alias("total_drop"), (c("am") * 90).alias("cutoff"), F.lit(7000.0).alias("ceiling_hz"), c("n").alias("n_segments"), (c("sx") / c("ax") * 0.15).alias("ceiling_cv"),
+        "k", (c("mx") / 6).alias("steepness"), (c("mx") / 8).alias("total_drop"), (c("am") * 90).alias("cutoff"), F.when(c("k") % 4 == 0, 9000.0).when(c("k") % 4 != 3, 7000.0).alias("ceiling_hz"), c("n").alias("n_segments"), (c("sx") / c("ax") * 0.15).alias("ceiling_cv"),
         (c("k") % 2 == 0).alias("uncompressed"), (c("k") % 2 == 1).alias("lossy"), (64 + c("k") % 5 * 32).alias("bitrate_kbps"), F.lit(8000.0).alias("nyquist"),
     )
-    return tidy(X.lowpass_checks(g, K).select("k", "type", "severity", "score"))
+    return tidy(X.lowpass_checks(g, K).select("k", "type", "severity", "confidence", "score", "weight"))
 
 
 def _tier(x, cuts):

@@ -180,12 +180,13 @@ def q_pair_rules(spark, d):
 
 
 @query(f"""WITH {SERIES}, b AS (SELECT k, m AS f, avg(x) AS db FROM series GROUP BY k, m),
-a AS (SELECT *, lead(db,5) OVER w AS dt, lead(f,5) OVER w AS ft FROM b WINDOW w AS (PARTITION BY k ORDER BY f)),
-c AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY db-dt DESC NULLS LAST, f) AS q FROM a)
-SELECT k, {R('max(db-dt)')} AS max_drop, max(CASE WHEN q=1 THEN f END) AS cutoff, {R('arg_min(db,f)-arg_max(db,f)')} AS total_drop, {R('max(CASE WHEN q=1 THEN (db-dt)/(ft-f) END)')} AS steepness FROM c GROUP BY k""")
+a AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY k) AS n, avg(db) OVER (PARTITION BY k ORDER BY f ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS be, avg(db) OVER (PARTITION BY k ORDER BY f ROWS BETWEEN 6 FOLLOWING AND 7 FOLLOWING) AS af, lead(f,2) OVER w AS cf FROM b WINDOW w AS (PARTITION BY k ORDER BY f)),
+s AS (SELECT *, CASE WHEN f >= 40 AND i < n - 8 AND (CASE WHEN i > 2 THEN be ELSE db END - af) > 0 THEN (CASE WHEN i > 2 THEN be ELSE db END - af)/0.5 END AS st FROM a),
+p AS (SELECT k, st, cf, row_number() OVER (PARTITION BY k ORDER BY st DESC, i) AS q FROM s WHERE st IS NOT NULL)
+SELECT s.k, {R('coalesce(max(p.st),0)')} AS steepness, max(p.cf) AS cutoff, {R('CASE WHEN max(p.st) IS NULL THEN 0 ELSE coalesce(avg(db) FILTER (WHERE f < p.cf),0) - coalesce(avg(db) FILTER (WHERE f > 95), coalesce(avg(db) FILTER (WHERE f < p.cf),0)) END')} AS total_drop FROM s LEFT JOIN p ON s.k=p.k AND p.q=1 GROUP BY s.k""")
 def q_steepest_drop(spark, d):
     b = series(spark, d).groupBy("k", F.col("m").alias("f")).agg(F.avg("x").alias("db"))
-    return tidy(W.steepest_drop(b, K, "f", "db", 5))
+    return tidy(W.steepest_drop(b, K, "f", "db", 8, 100.0))
 
 
 @query(f"""WITH {SERIES}, a AS (SELECT *, x < 40 AS hit, lead(t) OVER w AS nt, lag(x < 40) OVER w AS ph FROM series WINDOW w AS (PARTITION BY k ORDER BY t, tie)),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mediasift.functions.exprs import stable_id
-from mediasift.operators.series import key_intervals  # noqa: F401
 from mediasift.plans.bindings import SERIES, series, table
 from mediasift.plans.q_stats import CHECKS, checks
 from mediasift.plans.registry import R, query, tidy
+from mediasift.session import shared_path
 from mediasift.sources import media as M
 from mediasift.sources import records as S
 
@@ -77,9 +77,17 @@ def q_sample_rate(spark, d):
 
 @query("SELECT role AS event, count(*) AS n, count(DISTINCT conv_id) AS n_cases, min(turn) AS first_seq, max(turn) AS last_seq, CAST(sum(length(text)) AS BIGINT) AS detail_chars FROM conversations GROUP BY role")
 def q_audit_scan(spark, d):
+    # the table as an audit log: appended to the shared folder as JSON lines and read back
     c = table(spark, d, "conversations")
-    return c.groupBy(F.col("role").alias("event")).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("n_cases"), F.min("turn").alias("first_seq"), F.max("turn").alias("last_seq"), F.sum(F.length("text")).alias("detail_chars"),
+    log = c.select(
+        stable_id("conv_id", "turn").alias("entry_id"), F.col("conv_id").cast("string").alias("case_id"), F.col("turn").cast("string").alias("timestamp"), F.col("role").alias("event"),
+        F.col("text").alias("detail"), F.lit("reader").alias("actor"), F.lit(None).cast("string").alias("file_hash"), F.lit("").alias("signature"),
+    )
+    path = shared_path(spark, "audit")
+    S.append_audit(log, path)
+    seq = F.col("timestamp").cast("bigint")
+    return S.read_audit(spark, path).groupBy("event").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("case_id").alias("n_cases"), F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.sum(F.length("detail")).alias("detail_chars"),
     )
 
 
@@ -139,14 +147,17 @@ def q_chain_summary(spark, d):
 
 
 # -- stores and records ----------------------------------------------------------
-@query(f"""WITH {CHECKS} SELECT 'cases' AS "table", count(DISTINCT k) AS n_rows FROM checks UNION ALL SELECT 'module_results', count(DISTINCT (k, module)) FROM checks UNION ALL SELECT 'findings', count(DISTINCT (k, tie)) FROM checks WHERE severity <> 'info'
+@query(f"""WITH {CHECKS} SELECT 'cases' AS "table", count(DISTINCT k) AS n_rows FROM checks UNION ALL SELECT 'module_results', count(DISTINCT (k, module)) FROM checks UNION ALL SELECT 'findings', count(DISTINCT (k, tie)) FROM checks
 UNION ALL SELECT 'audit_entries', count(*) FROM conversations UNION ALL SELECT 'device_fingerprints', count(DISTINCT label) FROM embeddings""")
 def q_case_tables(spark, d):
-    t = case_tables(spark, d)
-    out = None
-    for name, df in t.items():
-        n = df.dropDuplicates(list(S.CASE_TABLES[name])).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), "n_rows")
-        out = n if out is None else out.unionByName(n)
+    # written twice, as after a retry: a key is stored once
+    path = shared_path(spark, "cases")
+    for _ in range(2):
+        S.write_case_tables(case_tables(spark, d), path)
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), "n_rows") for name, df in S.read_case_tables(spark, path).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
@@ -156,7 +167,7 @@ def case_tables(spark, d):
     return {
         "cases": c.select(F.col("k").alias("case_id"), F.to_date(F.lit("2024-01-01")).alias("ingest_date")),
         "module_results": c.groupBy(F.col("k").alias("case_id"), "module").agg(F.max("score").alias("score")),
-        "findings": c.filter("severity <> 'info'").select(F.col("k").alias("case_id"), F.col("tie").alias("finding_id"), "module", "severity", "score"),
+        "findings": c.select(F.col("k").alias("case_id"), F.col("tie").alias("finding_id"), "module", "severity", "score"),
         "audit_entries": conv.select(F.col("conv_id").alias("case_id"), stable_id("conv_id", "turn").alias("entry_id"), F.col("role").alias("event")),
         "device_fingerprints": table(spark, d, "embeddings").groupBy(F.lit("cam").alias("device_make"), F.col("label").cast("string").alias("device_model")).agg(F.count(F.lit(1)).alias("frame_count")),
     }
@@ -171,12 +182,12 @@ def q_result_integrity(spark, d):
     return S.verify_digest(stored).select("k", "digest", "intact")
 
 
-@query(f"""WITH {CHECKS}, f AS (SELECT k, module, severity, tie, row_number() OVER (PARTITION BY k ORDER BY tie) - 1 AS i FROM checks WHERE severity='high'), p AS (SELECT k, i // 3 AS part, string_agg('{{"module":"' || module || '","severity":"' || severity || '","tie":' || tie || '}}', ',' ORDER BY i) AS j FROM f GROUP BY k, i // 3),
+@query(f"""WITH {CHECKS}, f AS (SELECT k, module, severity, tie, row_number() OVER (PARTITION BY k ORDER BY tie) - 1 AS i FROM checks), p AS (SELECT k, i // 3 AS part, string_agg('{{"module":"' || module || '","severity":"' || severity || '","tie":' || tie || '}}', ',' ORDER BY i) AS j FROM f GROUP BY k, i // 3),
 c AS (SELECT k, count(*) AS n FROM checks GROUP BY k) SELECT c.k, CAST(coalesce(part,0) AS BIGINT) AS part, '{{"k":' || c.k || ',"n":' || n || ',"findings":[' || coalesce(j,'') || ']}}' AS json FROM c LEFT JOIN p ON c.k=p.k""")
 def q_export_json(spark, d):
     c = checks(spark, d)
     cases = c.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    return S.export_records(cases, c.filter("severity = 'high'").select("k", "module", "severity", "tie"), K, ["tie"], part_rows=3)
+    return S.export_records(cases, c.select("k", "module", "severity", "tie"), K, ["tie"], part_rows=3)
 
 
 @query("WITH a AS (SELECT source, doc_id, n_chars % 100 > 24 AS old FROM documents) SELECT source, count(*) FILTER (WHERE old) AS n_expired, count(*) FILTER (WHERE NOT old) AS n_kept FROM a GROUP BY source")

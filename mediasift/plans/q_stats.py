@@ -113,15 +113,16 @@ def q_compression_score(spark, d):
     return tidy(j.select("k", *[c.alias(n) for n, c in parts.items()]))
 
 
-@query(f"""WITH {SERIES}, c AS (SELECT k, m // 10 AS cell, var_pop(x) AS v, avg(x) AS cm, stddev_pop(x) AS cs FROM series GROUP BY k, m // 10),
-sk AS (SELECT c.k, c.cell, max(v) AS v, CASE WHEN max(cs)=0 THEN NULL ELSE avg(CASE WHEN cs > 0 THEN power((x-cm)/cs,3) END) END AS sk FROM c JOIN series ON c.k=series.k AND series.m // 10 = c.cell GROUP BY c.k, c.cell),
+@query(f"""WITH {SERIES}, c AS (SELECT k, kind, m // 10 AS cell, var_pop(x) AS v, avg(x) AS cm, stddev_pop(x) AS cs FROM series GROUP BY k, kind, m // 10),
+fr AS (SELECT c.k, c.kind, c.cell, max(v) AS v, CASE WHEN max(cs)=0 THEN NULL ELSE avg(CASE WHEN cs > 0 THEN power((x-cm)/cs,3) END) END AS sk FROM c JOIN series ON c.k=series.k AND c.kind=series.kind AND series.m // 10 = c.cell GROUP BY c.k, c.kind, c.cell),
+sk AS (SELECT k, cell, avg(v) AS v, avg(sk) AS sk FROM fr GROUP BY k, cell),
 st AS (SELECT k, quantile_cont(v,0.5) AS md, avg(v) AS mu, stddev_pop(v) AS s FROM sk GROUP BY k),
 o AS (SELECT sk.k, count(CASE WHEN v > 0.05*(md+1e-6) THEN 1 END) AS n_active, stddev_pop(CASE WHEN v > 0.05*(md+1e-6) THEN v END)/(avg(CASE WHEN v > 0.05*(md+1e-6) THEN v END)+1e-6) AS cvv,
  stddev_pop(sk)/(avg(abs(sk))+1e-6) AS cvs, count(CASE WHEN s > 0 AND abs(v-mu) > 2.5*s THEN 1 END) AS n_anomalous FROM sk JOIN st ON sk.k=st.k GROUP BY sk.k)
 SELECT k, n_active, {R('cvv')} AS cv_variance, {R('cvs')} AS cv_skew, n_anomalous, {R('least(1.0,greatest(0.0,(cvv-0.3)/0.6))')} AS variance_score, {R('least(1.0,greatest(0.0,(cvs-0.4)/0.8))')} AS skew_score FROM o WHERE n_active >= 4""")
 def q_grid_anomaly(spark, d):
     s = series(spark, d).withColumn("cell", F.floor(F.col("m") / 10))
-    return tidy(A.grid_anomaly(s, K, ["cell"], "x"))
+    return tidy(A.grid_anomaly(s, K, "kind", ["cell"], "x"))
 
 
 @query(f"""WITH {FRAMES}, g AS (SELECT k, avg(sin(atan2(vy,vx))) AS s, avg(cos(atan2(vy,vx))) AS c, count(*) AS n FROM frames GROUP BY k)
@@ -215,14 +216,18 @@ def checks(spark, d):
     return s.select("k", "t", "tie", mod.alias("module"), F.least(F.lit(1.0), F.col("x") / 200).alias("score"), (0.5 + F.col("m") / F.lit(50.0)).alias("weight"), sev.alias("severity"), "m", "x")
 
 
+# written out here, apart from the operator's own table
+_CONF = {"enf": (0.50, 0.08, 0.92, 0, 0), "noise": (0.45, 0.08, 0.88, 0.10, 0.10), "compression": (0.45, 0.09, 0.90, 0, 0), "reverberation": (0.40, 0.09, 0.85, 0, 0), "voice": (0.42, 0.09, 0.88, 0, 0), "metadata": (0.40, 0.10, 0.85, 0.08, 0.15)}
+
+
 def _conf(i):
-    return "CASE module " + " ".join(f"WHEN '{m}' THEN {v[i]}" for m, v in A.MODULE_CONFIDENCE.items()) + " END"
+    return "CASE module " + " ".join(f"WHEN '{m}' THEN {v[i]}" for m, v in _CONF.items()) + " END"
 
 
-@query(f"""WITH {CHECKS}, g AS (SELECT k, module, count(*) AS n_checks, count(CASE WHEN severity='high' THEN 1 END) AS n_high, sum(score*weight)/sum(weight) AS s FROM checks GROUP BY k, module)
-SELECT k, module, n_checks, n_high, {R(f"least(1.0, s + CASE WHEN n_high >= 2 THEN {_conf(4)} WHEN n_high = 1 THEN {_conf(3)} ELSE 0 END)")} AS score, {R(f"least({_conf(2)}, {_conf(0)} + {_conf(1)}*n_checks)")} AS confidence FROM g""")
+@query(f"""WITH {CHECKS}, g AS (SELECT k, module, count(*) AS n_checks, count(CASE WHEN severity='high' THEN 1 END) AS n_high, sum(score*weight)/sum(weight) AS s, bool_or(m >= 90) AS mp FROM checks GROUP BY k, module)
+SELECT k, module, n_checks, n_high, {R(f"least(1.0, s + CASE WHEN n_high >= 2 THEN {_conf(4)} WHEN n_high = 1 THEN {_conf(3)} ELSE 0 END)")} AS score, {R(f"least({_conf(2)}, {_conf(0)} + {_conf(1)}*n_checks)*CASE WHEN module='enf' AND NOT mp THEN 0.35 ELSE 1.0 END")} AS confidence FROM g""")
 def q_module_score(spark, d):
-    return tidy(A.module_score(checks(spark, d), K, "module", "score", "weight", "severity"))
+    return tidy(A.module_score(checks(spark, d), K, "module", "score", "weight", "severity", F.col("m") >= 90))
 
 
 @query(f"""WITH {CHECKS}, p AS (SELECT k, module, avg(score) AS s FROM checks GROUP BY k, module)
@@ -235,14 +240,14 @@ def q_subscore_mix(spark, d):
 PT = "CASE severity WHEN 'high' THEN 25.0 WHEN 'medium' THEN 12.0 WHEN 'low' THEN 4.0 ELSE 0.0 END"
 
 
-@query(f"""WITH {CHECKS}, f AS (SELECT *, CASE WHEN module IN ('enf','noise') THEN 'temporal' ELSE 'spatial' END AS dom FROM checks WHERE m < 10),
+@query(f"""WITH {CHECKS}, f AS (SELECT *, CASE WHEN module IN ('enf','noise') THEN 'temporal' ELSE 'spatial' END AS dom FROM checks),
 g AS (SELECT k, count(*) AS n, least(100.0,sum(CASE WHEN dom='temporal' THEN {PT} ELSE 0 END)) AS ts, least(100.0,sum(CASE WHEN dom='spatial' THEN {PT} ELSE 0 END)) AS ss, count(*) FILTER (WHERE dom='temporal') AS nt, count(*) FILTER (WHERE dom='spatial') AS ns,
  count(*) FILTER (WHERE dom='temporal' AND severity='high') AS ht, count(*) FILTER (WHERE dom='spatial' AND severity='high') AS hs, string_agg(DISTINCT module, ',' ORDER BY module) AS types FROM f GROUP BY k),
 h AS (SELECT *, round(ts*0.4+ss*0.6,1) AS c FROM g)
 SELECT k, n AS n_findings, {R('CAST(ts AS DOUBLE)')} AS temporal_score, {R('CAST(ss AS DOUBLE)')} AS spatial_score, {R('CAST(c AS DOUBLE)')} AS confidence, CASE WHEN c >= 80 AND (ht+hs >= 2 OR (ht>0 AND hs>0)) THEN 'LIKELY_TAMPERED' WHEN c >= 30 THEN 'REVIEW_RECOMMENDED' ELSE 'LIKELY_AUTHENTIC' END AS verdict,
  CASE WHEN nt>0 AND ns>0 THEN 'BOTH' WHEN nt>0 THEN 'TEMPORAL_EDIT' WHEN ns>0 THEN 'CONTENT_MANIPULATION' ELSE 'NONE' END AS edit_type, types FROM h""")
 def q_points_verdict(spark, d):
-    f = checks(spark, d).filter("m < 10").withColumn("domain", F.when(F.col("module").isin("enf", "noise"), "temporal").otherwise("spatial"))
+    f = checks(spark, d).withColumn("domain", F.when(F.col("module").isin("enf", "noise"), "temporal").otherwise("spatial"))
     # severities arrive in mixed case; the points must not depend on it
     f = f.withColumn("severity", F.when(F.col("tie") % 2 == 0, F.upper("severity")).otherwise(F.col("severity")))
     return tidy(A.points_verdict(f, K, "domain", "severity", "module"))
@@ -276,11 +281,15 @@ def q_divergent_fraction(spark, d):
     return tidy(A.divergent_fraction(pixels(spark, d).withColumn("v", F.abs("v")), ["label"], "vec_id", "v", 2.0, 0.05))
 
 
-@query(f"""WITH {SIG}, a AS (SELECT k, s, lag(s) OVER (PARTITION BY k ORDER BY t, tie) AS p FROM sig), g AS (SELECT k, avg(CASE WHEN p IS NULL THEN NULL WHEN s*p < 0 THEN 1.0 ELSE 0.0 END) AS zcr, stddev_pop(s)/(avg(abs(s))+1e-6) AS lc, avg(abs(s-p))/(avg(abs(s))+1e-6) AS hf FROM a GROUP BY k),
-h AS (SELECT *, CAST(zcr BETWEEN 0.35 AND 0.5 AS INT)+CAST(lc > 1 AS INT)+CAST(hf < 1.4 AS INT) AS v FROM g)
-SELECT k, {R('zcr')} AS zcr, {R('lc')} AS level_cv, {R('hf')} AS hf_share, v AS speech_votes, CASE WHEN v >= 2 THEN 'speech' WHEN hf > 1.5 THEN 'phone' ELSE 'music' END AS kind FROM h""")
+@query(f"""WITH {SERIES}, g AS (SELECT k, avg(m/CAST(400 AS DOUBLE)) AS z, stddev_pop(x)/avg(x) AS lc, avg((k % 10)/CAST(25 AS DOUBLE)) AS hf, avg(CASE WHEN x > 250 THEN 1.0 ELSE 0.0 END) AS cl, avg(m)/1000 AS dc, count(CASE WHEN x < 0.5 THEN 1 END) AS gp FROM series GROUP BY k)
+SELECT k, {R('z')} AS zcr, {R('lc')} AS level_cv, {R('hf')} AS hf_share, CAST(z > 0.1 AS INT)+CAST(lc > 0.8 AS INT)+CAST(hf > 0.25 AS INT) AS music_votes, CASE WHEN z > 0.1 AND lc > 0.8 AND hf > 0.25 THEN 'music' WHEN hf < 0.02 AND z < 0.08 THEN 'phone_speech' ELSE 'speech' END AS kind,
+ {R('greatest(0.0, least(1.0, 1 - CASE WHEN cl > 0.001 THEN least(0.5, cl*10) ELSE 0 END - CASE WHEN abs(dc) > 0.05 THEN 0.15 ELSE 0 END - least(0.4, gp*0.15)))')} AS integrity FROM g""")
 def q_signal_type(spark, d):
-    return tidy(A.signal_type(sig(spark, d), K, O, "s"))
+    s = series(spark, d)
+    frames_ = s.select("k", (F.col("m") / F.lit(400.0)).alias("z"), "x", (F.col("k") % 10 / F.lit(25.0)).alias("h"))
+    kinds = A.signal_type(frames_, K, "z", "x", "h")
+    health = s.groupBy("k").agg(A.integrity_confidence(F.avg((F.col("x") > 250).cast("double")), F.avg("m") / 1000, F.count(F.when(F.col("x") < 0.5, 1))).alias("integrity"))
+    return tidy(kinds.join(health, "k"))
 
 
 @query(f"""SELECT conv_id AS k, {R("avg((CASE WHEN role <> 'system' THEN 1.0 ELSE 0 END + CASE WHEN length(text) > 100 THEN 1.0 ELSE 0 END + CASE WHEN text LIKE '%,%' THEN 1.0 ELSE 0 END + 1.0)/4)")} AS completeness, count(*) AS n FROM conversations GROUP BY conv_id""")

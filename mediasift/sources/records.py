@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +64,18 @@ CASE_TABLES = {
 
 
 def write_case_tables(tables: dict[str, DataFrame], path: str, partition: str = "ingest_date") -> None:
-    """The five tables as Parquet, one row per key, partitioned by ingest date."""
+    """The five tables as Parquet, one row per key, partitioned by ingest date.
+
+    A key that the store already has is left as it is, so a retried or repeated write adds nothing.
+    """
     for name, df in tables.items():
-        out = df.dropDuplicates(list(CASE_TABLES[name]))
+        key = list(CASE_TABLES[name])
+        out = df.dropDuplicates(key)
+        try:
+            out = out.join(df.sparkSession.read.parquet(f"{path}/{name}").select(*key), key, "left_anti").select(*df.columns)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
         w = out.write.mode("append")
         (w.partitionBy(partition) if partition in out.columns else w).parquet(f"{path}/{name}")
 

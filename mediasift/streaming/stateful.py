@@ -58,7 +58,11 @@ def verify_stream(stream: DataFrame, key: bytes, order: str = "timestamp") -> Da
 
 
 class _Change(StatefulProcessor):
-    """Reference moments, then a run counter. Reports the first persistent exceedance once."""
+    """Reference moments, then a run counter. Reports the first persistent exceedance once.
+
+    The reference is the rows up to ``ref``, or the first three rows if those are fewer; rows
+    past ``ref`` wait in the state until three are known.
+    """
 
     def __init__(self, ref: float, warmup: float, z_cut: float, persist: int, std_floor: float, order: list[str]):
         self.p = (ref, warmup, z_cut, persist, std_floor)
@@ -66,29 +70,45 @@ class _Change(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # count, mean, squared deviations of the reference; run length, run start, done flag
-        self.s = handle.getValueState("s", "n bigint, mean double, m2 double, run int, start double, done boolean")
+        self.s = handle.getValueState("s", "n bigint, mean double, m2 double, run int, start double, done boolean, wait_t array<double>, wait_x array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         ref, warmup, z_cut, persist, floor = self.p
-        n, mean, m2, run, start, done = self.s.get() if self.s.exists() else (0, 0.0, 0.0, 0, 0.0, False)
+        n, mean, m2, run, start, done, wt, wx = self.s.get() if self.s.exists() else (0, 0.0, 0.0, 0, 0.0, False, [], [])
+        wait = list(zip(wt, wx))
         hit = None
         pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        for t, x in zip(pdf["t"], pdf["x"]):
-            if t <= ref:
-                n += 1
-                d = x - mean
-                mean += d / n
-                m2 += d * (x - mean)
-                continue
-            std = (m2 / n) ** 0.5 + floor if n else floor
-            if abs(x - mean) / std > z_cut and t > ref + warmup:
+
+        def learn(x):
+            nonlocal n, mean, m2
+            n += 1
+            d = x - mean
+            mean += d / n
+            m2 += d * (x - mean)
+
+        def judge(t, x):
+            nonlocal run, start, done, hit
+            if abs(x - mean) / ((m2 / n) ** 0.5 + floor) > z_cut and t > ref + warmup:
                 start = t if run == 0 else start
                 run += 1
                 if run >= persist and not done:
                     done, hit = True, start
             else:
                 run = 0
-        self.s.update((int(n), float(mean), float(m2), int(run), float(start), bool(done)))
+
+        for t, x in zip(pdf["t"], pdf["x"]):
+            if t <= ref:
+                learn(x)
+            elif n < 3:
+                learn(x)
+                wait.append((t, x))
+            if n >= 3 and wait:
+                late, wait = wait, []
+                for p in late:
+                    judge(*p)
+            elif t > ref and not wait:
+                judge(t, x)
+        self.s.update((int(n), float(mean), float(m2), int(run), float(start), bool(done), [float(p[0]) for p in wait], [float(p[1]) for p in wait]))
         if hit is not None:
             yield pd.DataFrame({"k": [key[0]], "change_t": [float(hit)]})
 
