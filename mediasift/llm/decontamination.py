@@ -15,7 +15,7 @@ BROADCAST_ROWS = 1_000_000
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written table for broadcast if its counted size allows it."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def _shingles(text: Column, k: int) -> tuple[Column, Column]:

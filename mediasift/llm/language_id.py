@@ -106,9 +106,11 @@ def fit(texts: list[str], langs: list[str], bits: int = 15, dim: int = 8, epochs
     # a class counts as much as another, whatever its share
     share = np.bincount([y for _, y in train], minlength=k)
     weight = np.where(share > 0, len(train) / np.maximum(1, share) / k, 0.0)
+    parts = max(1, len(train) // 256)
+    epochs = max(epochs, -(-280 // parts))  # a small sample gets as many steps as a large one
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for part in np.array_split(rng.permutation(len(train)), max(1, len(train) // 256)):
+        for part in np.array_split(rng.permutation(len(train)), parts):
             if not len(part):
                 continue
             ids = np.concatenate([train[j][0] for j in part])

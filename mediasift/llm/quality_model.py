@@ -111,8 +111,10 @@ def fit(texts: list[str | None], labels: list[int], hidden: int = 16, gate: int
     p = {"w1": rng.normal(0, 0.2, (WIDTH, hidden)), "b1": np.zeros(hidden), "v": rng.normal(0, 0.3, (hidden, gate)), "u": rng.normal(0, 0.3, (hidden, gate)), "w": rng.normal(0, 0.3, gate), "c": rng.normal(0, 0.3, hidden), "b": np.zeros(1)}
     model = AttentionModel(every.mean(axis=0), every.std(axis=0) + 1e-3, p)
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    for _ in range(epochs if bags else 0):
-        for part in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // 128)):
+    parts = max(1, len(bags) // 128)
+    # a small sample gets as many steps as a large one
+    for _ in range(max(epochs, -(-600 // parts)) if bags else 0):
+        for part in np.array_split(rng.permutation(len(bags)), parts):
             x, n = np.concatenate([bags[j] for j in part]), len(part)
             seg = np.repeat(np.arange(n), [len(bags[j]) for j in part])
             f = model.forward(x, seg, n)
