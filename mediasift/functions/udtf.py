@@ -1,22 +1,15 @@
-"""Table functions for SQL users."""
+"""Table functions for SQL users, as SQL functions that run in the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
-
-@udtf(returnType="win: bigint, samples: array<double>")
-class Frames:
-    """``frames(samples, win, hop)``: overlapping windows of one array."""
-
-    def eval(self, samples, win: int, hop: int):
-        if samples is None:
-            return
-        for w, start in enumerate(range(0, len(samples) - win + 1, hop)):
-            yield w, [float(x) for x in samples[start : start + win]]
+FRAMES = """CREATE OR REPLACE TEMPORARY FUNCTION frames(signal ARRAY<DOUBLE>, width INT, hop INT)
+RETURNS TABLE(win BIGINT, samples ARRAY<DOUBLE>)
+RETURN SELECT CAST(i AS BIGINT), slice(signal, i * hop + 1, width)
+FROM (SELECT explode(sequence(0, floor((size(signal) - width) / hop))) AS i WHERE size(signal) >= width)"""
 
 
 def register(spark: SparkSession) -> None:
-    """Make the table functions available to ``spark.sql``."""
-    spark.udtf.register("frames", Frames)
+    """Make ``frames(signal, width, hop)``, overlapping windows of one array, available to ``spark.sql``."""
+    spark.sql(FRAMES)

@@ -375,18 +375,18 @@ def diff_zscore(df, keys, order, value: str, cut: float = 3.0, split=None) -> Da
     return j.filter(F.col("z") >= cut).drop("_m", "_s")
 
 
-def merge_adjacent(df, keys, start: str, end: str, kind: str, rank: str, metric: str, tie: str, gap: float = 2.0, split=None) -> DataFrame:
+def merge_adjacent(df, keys, start: str, end: str, kind: str, rank: str, metric: str, tie: str, gap: float = 2.0, max_ids: int = 6, split=None) -> DataFrame:
     """Merge neighbouring findings of one type closer than ``gap``.
 
     Neighbours are taken in global start order, so another type in between
-    splits a run. Up to six ids are kept as evidence.
+    splits a run. The first ``max_ids`` ids are listed as evidence; ``n_merged`` counts all.
     """
     o = Ordered(df, keys, [start, tie], before=1, split=split)
     same = (o.prev(kind) == F.col(kind)) & (F.abs(F.col(start) - o.prev(end)) < gap)
     o.add(_new=F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
     o.position().running("_run", F.col("_new")).last_seen("_i0", F.when(F.col("_new") == 1, F.col("_i")))
     first = lambda c: F.min_by(c, F.struct(start, tie))
-    kept = F.sort_array(F.collect_list(F.when(F.col("_i") - F.col("_i0") < 6, F.struct("_i", tie))))
+    kept = F.sort_array(F.collect_list(F.when(F.col("_i") - F.col("_i0") < max_ids, F.struct("_i", tie))))
     return o.rows().groupBy(*keys, "_run").agg(
         first(kind).alias("type"),
         F.count(F.lit(1)).alias("n_merged"),

@@ -81,31 +81,25 @@ def q_pair_ncc(spark, d):
     return tidy(J.mean_pair_ncc(table(spark, d, "embeddings"), ["label"], "embedding", 64))
 
 
-def short_vectors(spark, d, dims: int):
-    """Embeddings averaged down to a few coefficients per vector."""
-    w = 64 // dims
-    e = table(spark, d, "embeddings")
-    mean = lambda i: vsum(F.slice("embedding", i * w + 1, F.lit(w))) / w
-    return e.select("label", "vec_id", F.array(*[mean(i) for i in range(dims)]).alias("v"))
+_V = "sv AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
-def _short(dims):
-    w = 64 // dims
-    return "sv AS (SELECT label, vec_id, [" + ",".join(f"list_avg(CAST(embedding[{i*w+1}:{(i+1)*w}] AS DOUBLE[]))" for i in range(dims)) + "] AS v FROM embeddings)"
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-@query(f"""WITH {_short(4)}, c AS (SELECT a.label, a.vec_id, list_dot_product(a.v,b.v)/sqrt(list_dot_product(a.v,a.v)*list_dot_product(b.v,b.v)) AS c FROM sv a JOIN sv b ON a.label=b.label AND b.vec_id - a.vec_id > 5),
-g AS (SELECT label, count(*) FILTER (WHERE c >= 0.98) AS np, max(c) FILTER (WHERE c >= 0.98) AS mx FROM c GROUP BY label), n AS (SELECT label, count(*) AS n FROM sv GROUP BY label)
+@query(f"""WITH {_V}, c AS (SELECT a.label, a.vec_id, list_dot_product(a.v,b.v)/sqrt(list_dot_product(a.v,a.v)*list_dot_product(b.v,b.v)) AS c FROM sv a JOIN sv b ON a.label=b.label AND b.vec_id - a.vec_id > 5),
+g AS (SELECT label, count(*) FILTER (WHERE c >= 0.3) AS np, max(c) FILTER (WHERE c >= 0.3) AS mx FROM c GROUP BY label), n AS (SELECT label, count(*) AS n FROM sv GROUP BY label)
 SELECT n.label, n, coalesce(np,0) AS n_pairs, {R('mx')} AS max_cosine, coalesce(np,0) >= 3 AS flagged FROM n LEFT JOIN g ON n.label=g.label""")
 def q_pair_cosine(spark, d):
-    return tidy(J.repeat_summary(short_vectors(spark, d, 4), ["label"], "vec_id", "v", cut=0.98))
+    return tidy(J.repeat_summary(vectors(spark, d), ["label"], "vec_id", "v", cut=0.3))
 
 
-@query(f"""WITH {_short(4)}, p AS (SELECT a.label, a.vec_id AS q, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.v,b.v), lambda z: (z[1]-z[2])*(z[1]-z[2])))) AS d FROM sv a JOIN sv b ON a.label=b.label AND a.vec_id <> b.vec_id),
+@query(f"""WITH {_V}, p AS (SELECT a.label, a.vec_id AS q, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.v,b.v), lambda z: (z[1]-z[2])*(z[1]-z[2])))) AS d FROM sv a JOIN sv b ON a.label=b.label AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY label, q ORDER BY d, b) AS n FROM p), g AS (SELECT label, q, max(CASE WHEN n=1 THEN b END) AS match, max(CASE WHEN n=1 THEN d END) AS d1, max(CASE WHEN n=2 THEN d END) AS d2 FROM r WHERE n <= 2 GROUP BY label, q)
-SELECT label, q AS vec_id, match, {R('d1')} AS d1, {R('d2')} AS d2 FROM g WHERE d1 < 0.7*d2 AND abs(q-match) > 10""")
+SELECT label, q AS vec_id, match, {R('d1')} AS d1, {R('d2')} AS d2 FROM g WHERE d1 < 0.95*d2 AND abs(q-match) > 10""")
 def q_knn_ratio(spark, d):
-    return tidy(J.knn_ratio(short_vectors(spark, d, 4), ["label"], "vec_id", "v", radius=0.02, min_gap=10))
+    return tidy(J.knn_ratio(vectors(spark, d), ["label"], "vec_id", "v", radius=1.2, ratio=0.95, min_gap=10))
 
 
 @query("""WITH i AS (SELECT lang, doc_id, md5(text) AS h, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM documents), f AS (SELECT lang, h, min(pos) AS fp FROM i GROUP BY lang, h)

@@ -194,7 +194,7 @@ def q_export_json(spark, d):
 def q_retention(spark, d):
     now = F.to_timestamp(F.lit("2024-06-01 00:00:00"))
     l = table(spark, d, "documents").select("source", "doc_id", F.timestamp_micros(F.unix_micros(now) - (F.col("n_chars") % 100) * 3600000000).alias("mtime"))
-    return S.retention(l, ["source"], ["doc_id"], "mtime", now, 24.0)
+    return S.retention(l, ["source"], "mtime", now, 24.0)
 
 
 @query("""WITH a AS (SELECT doc_id AS k, CASE doc_id % 4 WHEN 0 THEN 'exe' WHEN 1 THEN 'mp4' WHEN 2 THEN 'mov' ELSE 'mkv' END AS ext, CASE WHEN doc_id % 50 = 0 THEN 0 ELSE n_chars END AS sz, lang <> 'de' AS hv, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE n_chars/CAST(2000 AS DOUBLE) END AS dur FROM documents),

@@ -59,10 +59,21 @@ def probe_profile(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _packets(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    r = spark.read.schema(PACKET_SCHEMA + ", _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
+    return r.json(path) if fmt == "json" else r.option("header", "true").csv(path)
+
+
 def read_packets(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """S3: packet records; rows that do not parse are dropped."""
-    r = spark.read.schema(PACKET_SCHEMA).option("mode", "DROPMALFORMED")
-    return clean_packets(r.json(path) if fmt == "json" else r.option("header", "true").csv(path))
+    """S3: packet records that parse and have a time and a size; ``broken_packets`` has the others."""
+    return clean_packets(_packets(spark, path, fmt).filter("_broken IS NULL").drop("_broken"))
+
+
+def broken_packets(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """S3: the lines that ``read_packets`` leaves out, as text where they didn't parse."""
+    p = _packets(spark, path, fmt)
+    ok = F.col("_broken").isNull() & F.col("pts").try_cast("double").isNotNull() & F.col("size").try_cast("bigint").isNotNull()
+    return p.filter(~ok)
 
 
 def clean_packets(df: DataFrame) -> DataFrame:

@@ -111,15 +111,17 @@ def export_records(cases: DataFrame, findings: DataFrame, keys: Sequence[str], o
     return j.select(*keys, F.coalesce("part", F.lit(0)).alias("part"), F.to_json(F.struct(*keys, *head, F.coalesce("findings", none).alias("findings"))).alias("json"))
 
 
+def _is_old(mtime: str, as_of: Column, max_age_hours: float) -> Column:
+    # the bare column on one side: the comparison reaches the scan
+    return F.col(mtime) < as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(max_age_hours * 3600.0))
+
+
 def expired(listing: DataFrame, mtime: str, as_of: Column, max_age_hours: float) -> DataFrame:
     """Files older than the limit at ``as_of``."""
-    return listing.filter((F.unix_micros(as_of) - F.unix_micros(F.col(mtime))) / 3.6e9 > max_age_hours)
+    return listing.filter(_is_old(mtime, as_of, max_age_hours))
 
 
-def retention(listing: DataFrame, keys: Sequence[str], ident: Sequence[str], mtime: str, as_of: Column, max_age_hours: float) -> DataFrame:
-    """Expired and kept counts per kind; survivors come from an anti-join."""
-    old = expired(listing, mtime, as_of, max_age_hours)
-    kept = listing.join(old.select(*ident), list(ident), "left_anti")
-    n = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    j = n(old, "n_expired").join(n(kept, "n_kept"), list(keys), "full")
-    return j.fillna(0, ["n_expired", "n_kept"])
+def retention(listing: DataFrame, keys: Sequence[str], mtime: str, as_of: Column, max_age_hours: float) -> DataFrame:
+    """Expired and kept counts per kind, in one aggregate. A file without a time is kept."""
+    old = F.coalesce(_is_old(mtime, as_of, max_age_hours), F.lit(False))
+    return listing.groupBy(*keys).agg(F.count(F.when(old, 1)).alias("n_expired"), F.count(F.when(~old, 1)).alias("n_kept"))
