@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mediasift.functions.exprs import dot, hamming, let, ncc, norm, suspicion, unit, unit_centred, unit_hash, vsum
-from mediasift.operators.ordered import Ordered, decide
+from mediasift.operators.ordered import decide, Ordered, quantiles
 from mediasift.session import durable
 
 # Largest table that is sent to every executor, in bytes of payload.
@@ -87,6 +87,19 @@ def nearest(left: DataFrame, right: DataFrame, keys, left_t: str, right_t: str,
     return out.select(*keys, left_id, left_t, F.col("_p.x").alias(value), "distance")
 
 
+def onset_low_motion(onsets: DataFrame, frames: DataFrame, keys, t: str, ident: str, motion: str, share: float = 0.30, min_median: float = 0.5, tolerance: float = 1.0, high_ms: float = 200.0, split=None) -> DataFrame:
+    """Strong sounds whose nearest frame (within ``tolerance``) has less than ``share`` of the median motion.
+
+    Keys whose median motion is below ``min_median`` aren't judged; of findings in one tenth of a
+    second the first stays; more than ``high_ms`` to the frame is high, else medium.
+    """
+    med = quantiles(frames, keys, motion, split=split, baseline=0.5).filter(F.col("baseline") >= min_median)
+    near_ = nearest(onsets, frames.select(*keys, t, motion), keys, t, t, ident, motion, tolerance, split=split)
+    hit = near_.join(med, list(keys)).filter(F.col(motion) < share * F.col("baseline"))
+    first = hit.groupBy(*keys, F.bround(t, 1).alias("bucket")).agg(F.min_by(F.struct(ident, t, motion, "distance", "baseline"), F.struct(t, ident)).alias("_f")).select(*keys, "bucket", "_f.*")
+    return first.withColumn("severity", F.when(F.col("distance") * 1000 > high_ms, "high").otherwise("medium"))
+
+
 def band_hamming(df, keys, order, bits: str, ident: str, min_gap: int = 5, max_gap: int = 90, max_dist: int = 5, split=None) -> DataFrame:
     """Pairs ``min_gap``..``max_gap`` rows apart whose hashes differ in few bits.
 

@@ -164,6 +164,29 @@ def rolling_deviation(df, keys, order, value: str, window: int = 20, sigma: floa
     return out.filter(F.col("_hi").isNotNull()).drop("_lo", "_hi", "_m", "_s", "_n")
 
 
+def frame_deviation(df, keys, order, value: str, max_window: int = 30, sigma: float = 3.5, min_rows: int = 20, spacing: float = 1.0, split=None) -> DataFrame:
+    """Frame-list form, with positions at least ``spacing`` apart, and the score per key.
+
+    The half window is min(``max_window``, n div 5); a row is off when its mean over [-window,
+    window) differs from the key's mean by more than ``sigma`` population deviations. The score
+    is the number of kept positions per hundred frames, 1 at most; keys without one aren't listed.
+    """
+    split = decide(df, keys, split)
+    t = order[0]
+    o = Ordered(df, keys, order, before=max_window, after=max_window, split=split)
+    o.add(_around=o.frame(F.collect_list(F.coalesce(F.col(value), F.lit(0.0))), -max_window, max_window - 1))
+    o.stats(_m=F.avg(value), _s=F.stddev_pop(value), _n=F.count(F.lit(1))).position()
+    w = F.least(F.lit(max_window), F.floor(F.col("_n") / 5)).cast("int")
+    near = F.slice("_around", F.least(F.col("_i"), F.lit(max_window)).cast("int") - w + 1, 2 * w)
+    judged = o.rows().filter((F.col("_n") >= min_rows)).withColumn("_w", w).filter((F.col("_i") >= F.col("_w")) & (F.col("_i") < F.col("_n") - F.col("_w")))
+    local = F.aggregate(near, F.lit(0.0), lambda x, y: x + y) / (2 * w)
+    off = judged.filter(F.abs(local - F.col("_m")) > sigma * F.col("_s"))
+    kept = suppress_nearby(off, keys, t, spacing, split=split)
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    g = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_positions"), F.min(t).alias("first_t"), F.max(t).alias("last_t")).join(n, list(keys))
+    return g.withColumn("score", F.least(F.lit(1.0), F.col("n_positions") / F.greatest(F.col("n_rows") / 100, F.lit(1.0))))
+
+
 def suppress_nearby(hits: DataFrame, keys, t: str, spacing: float, split=None) -> DataFrame:
     """Keep a hit only if it is at least ``spacing`` after every kept one.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediasift.functions.exprs import bimodality, clamp, col, cv, ramp, steps, vsum
+from mediasift.functions.exprs import bimodality, clamp, col, cv, ramp, severity_rank, steps, vsum
 from mediasift.operators.ordered import Ordered, decide, quantiles
 
 LN10_20 = 20.0
@@ -426,6 +426,16 @@ def points_verdict(findings, keys, domain: str, severity: str, kind: str, tamper
     )
 
 
+def top_types(findings, keys, domain: str, severity: str, kind: str, n: int = 3) -> DataFrame:
+    """Per domain the ``n`` types with the gravest finding (then by name), with counts."""
+    by = [*keys, domain]
+    t = findings.groupBy(*by, kind).agg(F.max(severity_rank(F.col(severity))).alias("_r"), F.count(F.lit(1)).alias("_n"), F.count(F.when(F.lower(severity) == "high", 1)).alias("_h"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_r"), kind))
+    t = t.withColumn("_q", rank)
+    listed = F.sort_array(F.collect_list(F.when(F.col("_q") <= n, F.struct("_q", kind))))
+    return t.groupBy(*by).agg(F.sum("_n").alias("n_findings"), F.sum("_h").alias("n_high"), F.array_join(F.transform(listed, lambda e: e[kind]), ",").alias("top_types"))
+
+
 def mean_max_blend(df, keys, x: str, mean_w: float = 0.7, max_w: float = 0.3, flag: float = 30.0) -> DataFrame:
     """Frame scores to an asset score."""
     return df.groupBy(*keys).agg(

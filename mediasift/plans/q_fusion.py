@@ -236,3 +236,12 @@ def q_risk_band(spark, d):
     p = F.col("p")
     s = series(spark, d).groupBy("k").agg((F.avg("x") / 100).alias("p"))
     return tidy(s.select("k", "p", severity_of(p).alias("severity"), band(p, FU.VERDICT_CUTS, FU.VERDICTS).alias("verdict"), RS.risk_band(RS.risk_score(p)).alias("risk_band")))
+
+
+@query(f"""WITH {CHECKS}, g AS (SELECT k, module, least(1.0, avg(score)*2) AS s, count(*) AS n, count(*) FILTER (WHERE severity='high') AS h, arg_max(severity, score) AS top, k % 5 = 0 AND module = 'enf' AS sk FROM checks GROUP BY k, module),
+d AS (SELECT *, CASE module {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RS.DISPLAY.items())} ELSE upper(module[1]) || module[2:] END AS nm FROM g)
+SELECT k, module, CASE WHEN sk THEN nm || ': not run.' ELSE nm || ': ' || printf('%.2f', round(s,2)) || ', ' || CASE WHEN round(s,2) >= 0.65 THEN 'well above' WHEN round(s,2) >= 0.3 THEN 'above' ELSE 'within' END || ' its usual range. ' || n || CASE WHEN n = 1 THEN ' finding' ELSE ' findings' END || CASE WHEN h > 0 THEN ', ' || h || ' grave' ELSE '' END || '; strongest: ' || top || '.' END AS sentence FROM d""")
+def q_detector_sentences(spark, d):
+    g = checks(spark, d).groupBy("k", "module").agg(F.least(F.lit(1.0), F.avg("score") * 2).alias("s"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("severity") == "high", 1)).alias("h"), F.max_by("severity", "score").alias("top"))
+    skipped = (F.col("k") % 5 == 0) & (F.col("module") == "enf")
+    return g.select("k", "module", RS.detector_sentence(F.col("module"), F.round("s", 2), skipped, F.col("n"), F.col("h"), F.col("top")).alias("sentence"))

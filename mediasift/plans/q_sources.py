@@ -207,3 +207,14 @@ def q_validate(spark, d):
         i.alias("k"), F.concat(F.lit("in/a.b."), ext).alias("path"), F.when(i % 50 == 0, 0).otherwise(F.col("n_chars")).alias("size_bytes"), (F.col("lang") != "de").alias("has_video"), F.when(i % 9 != 0, F.col("n_chars") / 2000).alias("duration_s"),
     )
     return M.validate(v, K, (".mp4", ".mov", ".mkv"), 10000)
+
+
+@query("""SELECT doc_id AS k, 'f' || doc_id || '.' || lang AS filename, CAST(strlen(text) AS BIGINT) AS size_bytes, upper(lang) AS format, n_chars || 'x' || doc_id % 100 AS dimensions, 'RGB' AS mode, CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS INT) AS n_exif, CASE WHEN doc_id % 3 > 0 THEN source END AS gps, md5(text) AS md5, sha256(text) AS sha256 FROM documents""")
+def q_image_metadata(spark, d):
+    i = F.col("doc_id")
+    files = table(spark, d, "documents").select(
+        F.concat(F.lit("in/f"), i.cast("string"), F.lit("."), F.col("lang")).alias("path"), F.encode("text", "UTF-8").alias("content"), F.lit(None).cast("timestamp").alias("modificationTime"), F.col("n_chars").alias("width"), (i % 100).alias("height"), F.lit("RGB").alias("mode"),
+        F.when(i % 3 > 0, F.create_map(F.lit("GPSInfo"), F.col("source"), F.lit("Make"), F.lit("x"))).alias("exif"),
+    )
+    m = M.image_metadata(files)
+    return m.select(F.regexp_extract("filename", "[0-9]+", 0).cast("bigint").alias("k"), "filename", "size_bytes", "format", "dimensions", "mode", F.size("exif").alias("n_exif"), F.try_element_at("gps", F.lit("GPSInfo")).alias("gps"), "md5", "sha256")

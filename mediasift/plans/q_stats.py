@@ -377,3 +377,12 @@ def q_audio_checks(spark, d):
     )
     g = g.select("*", (F.greatest("r1", "r2") / F.least("r1", "r2")).alias("half_ratio"), (F.col("max_z") * 2).alias("lsd"), F.col("max_z").alias("sub_ratio"), (F.col("k") % 3 == 0).alias("lossy"))
     return tidy(audio_checks(g, K).select("k", "module", "type", "severity", "score", "weight"))
+
+
+@query(f"""WITH {CHECKS}, f AS (SELECT k, CASE WHEN module IN ('enf','noise') THEN 'temporal' ELSE 'spatial' END AS dom, module, severity FROM checks),
+t AS (SELECT k, dom, module, max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS r, count(*) AS n, count(*) FILTER (WHERE severity='high') AS h FROM f GROUP BY k, dom, module),
+q AS (SELECT *, row_number() OVER (PARTITION BY k, dom ORDER BY r DESC, module) AS z FROM t)
+SELECT k, dom AS domain, CAST(sum(n) AS BIGINT) AS n_findings, CAST(sum(h) AS BIGINT) AS n_high, string_agg(module, ',' ORDER BY z) FILTER (WHERE z <= 2) AS top_types FROM q GROUP BY k, dom""")
+def q_top_types(spark, d):
+    f = checks(spark, d).withColumn("domain", F.when(F.col("module").isin("enf", "noise"), "temporal").otherwise("spatial"))
+    return A.top_types(f, K, "domain", "severity", "module", n=2)

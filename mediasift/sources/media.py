@@ -27,6 +27,22 @@ def read_assets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def image_metadata(df: DataFrame, path: str = "path", content: str = "content", modified: str = "modificationTime", width: str = "width", height: str = "height", exif: str = "exif") -> DataFrame:
+    """One row per image file: name, size, format by extension, dimensions, mode, times, EXIF map, GPS part, hashes.
+
+    Width, height, mode and the EXIF map (text to text) come from the decoder's table; a null map is empty.
+    """
+    c = F.col
+    b = c(content).cast("binary")
+    name = F.element_at(F.split(path, "/"), -1)
+    tags = F.coalesce(c(exif), F.create_map().cast("map<string,string>"))
+    return df.select(
+        c(path).alias("path"), name.alias("filename"), F.octet_length(b).cast("bigint").alias("size_bytes"), F.round(F.octet_length(b) / MEGABYTE, 2).alias("size_mb"),
+        F.upper(F.when(name.contains("."), F.element_at(F.split(name, r"\."), -1))).alias("format"), F.concat_ws("x", c(width).cast("string"), c(height).cast("string")).alias("dimensions"), c("mode"), c(modified).alias("modified"),
+        F.map_filter(tags, lambda k, v: ~k.startswith("GPS")).alias("exif"), F.map_filter(tags, lambda k, v: k.startswith("GPS")).alias("gps"), F.md5(b).alias("md5"), F.sha2(b, 256).alias("sha256"),
+    )
+
+
 def hash_assets(df: DataFrame, content: str) -> DataFrame:
     """md5, sha1, sha256 of the whole content and sha256 of its first megabyte."""
     b = F.col(content).cast("binary")
