@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from mediasift.llm.common import written
 from mediasift.llm.decontamination import small
 
-# Columns with up to this many sets multiply out at once; larger ones go by pivots first.
-SMALL_COLUMN = 3
 # A column is multiplied out when it has at most this many pairs per set between classes.
-PAIRS_PER_SET = 24
+PAIRS_PER_SET = 8
 # Rounds of pivots; what a column has left after them is multiplied out.
 PIVOT_ROUNDS = 5
 # Most frequent n-grams that are known as such and go last in the order of columns (8 bytes each).
 FREQUENT = 100_000
 
+BITS = ("s0", "s1", "s2", "s3")
+
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -83,7 +83,7 @@ def frequent_ngrams(docs: DataFrame, k: int, local: int = 4, keep: int = FREQUEN
         for _, s in _texts(frames, k):
             held.append(s)
             n += len(s)
-            if n > 4_000_000:
+            if n > 1_500_000:
                 yield flush()
                 held, n = [], 0
         if held:
@@ -95,7 +95,7 @@ def frequent_ngrams(docs: DataFrame, k: int, local: int = 4, keep: int = FREQUEN
 
 
 def incidence(docs: DataFrame, k: int, percent: int, last: np.ndarray) -> DataFrame:
-    """``id, n, h1, h2, prefix``: set size, a 128-bit fingerprint of the set, and its first columns.
+    """``id, n, h1, h2, s0..s3, prefix``: set size, a 128-bit fingerprint of the set, 256 parity bits, first columns.
 
     Columns are ordered by hash, those in ``last`` after all others. Two sets that link share a
     column among the first n - ceil(percent * n / 100) + 1 of each.
@@ -117,10 +117,11 @@ def incidence(docs: DataFrame, k: int, percent: int, last: np.ndarray) -> DataFr
                 if len(first) < p:
                     tail = s[hot][np.argsort(rank[at[hot]])]
                     first = np.concatenate([first, tail[: p - len(first)]])
-                out.append((doc, n, int(s.view(np.int64).sum()), int(_mix(s + _U(77)).view(np.int64).sum()), first.view(np.int64)))
-            yield pd.DataFrame(out, columns=["id", "n", "h1", "h2", "prefix"]).astype({"id": "Int64"})
+                odd = np.packbits((np.bincount((s & _U(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+                out.append((doc, n, int(s.view(np.int64).sum()), int(_mix(s + _U(77)).view(np.int64).sum()), *map(int, odd), first.view(np.int64)))
+            yield pd.DataFrame(out, columns=["id", "n", "h1", "h2", *BITS, "prefix"]).astype({"id": "Int64"})
 
-    return docs.select("id", "text").mapInPandas(run, "id long, n long, h1 long, h2 long, prefix array<long>")
+    return docs.select("id", "text").mapInPandas(run, "id long, n long, h1 long, h2 long, s0 long, s1 long, s2 long, s3 long, prefix array<long>")
 
 
 def _full(rows: DataFrame, k: int, *carry: str) -> DataFrame:
@@ -154,28 +155,56 @@ def connected(links: DataFrame) -> DataFrame:
     return e.select(c("u").alias("node"), c("v").alias("root")).unionByName(e.select(c("v").alias("node"), c("v").alias("root")).distinct())
 
 
+def _relabel(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``id, cls`` of all linked nodes: the smallest label seen over two steps along the links and one jump.
+
+    A label is always the id of a connected node, so equal labels mean one class; nodes of one
+    class may still differ until the links are closed at the end.
+    """
+    c = F.col
+    both = links.unionByName(links.select(c("y").alias("x"), c("x").alias("y")))
+    for _ in range(2):
+        if label is None:
+            seen = both.select(c("x").alias("id"), F.least("x", "y").alias("cls"))
+        else:
+            over = both.join(label.withColumnRenamed("id", "y"), "y", "left").select(c("x").alias("id"), F.least("x", F.coalesce("cls", "y")).alias("cls"))
+            seen = label.unionByName(over)
+        label = seen.groupBy("id").agg(F.min("cls").alias("cls"))
+    up = label.select(c("id").alias("cls"), c("cls").alias("to"))
+    return written(label.join(up, "cls", "left").select("id", F.coalesce("to", "cls").alias("cls")), "labels")
+
+
+def _fit(percent: int):
+    """Bounds on a joined pair (x, y): sizes, then parity bits, which differ in at most as many
+    places as the sets have unshared n-grams."""
+    c = F.col
+    sizes = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    apart = sum((F.bit_count(c(f"{s}x").bitwiseXOR(c(f"{s}y"))) for s in BITS), F.lit(0))
+    return sizes & (apart * (100 + percent) <= (100 - percent) * (c("nx") + c("ny")))
+
+
 def _candidates(cols: DataFrame, percent: int, step: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (x, y) of different classes that this round compares, and the columns left for later.
 
-    ``cols`` has (g, id, n, cls). Small products come whole: rows outside a column's largest
-    class times all its rows. In a large one a pivot meets all rows of other classes.
+    ``cols`` has (g, id, n, parity bits, cls). Small products come whole: rows outside a column's
+    largest class times all its rows. In a large one a pivot meets all rows of other classes.
     """
     c = F.col
     per = cols.groupBy("g", "cls").agg(F.count(F.lit(1)).alias("m"))
     stat = per.groupBy("g").agg(F.sum("m").alias("m"), F.max_by("cls", F.struct("m", "cls")).alias("main"), ((F.sum("m") * F.sum("m") - F.sum(c("m") * c("m"))) / 2).alias("cross")).filter("cross > 0")
-    whole = (c("m") <= SMALL_COLUMN) if step == 0 else (c("cross") <= PAIRS_PER_SET * c("m")) if step < PIVOT_ROUNDS else F.lit(True)
+    whole = F.lit(False) if step == 0 else (c("cross") <= PAIRS_PER_SET * c("m")) if step < PIVOT_ROUNDS else F.lit(True)
     # sizes that can link lie in the same or in neighbouring steps of this scale
     scale = F.floor(F.log(c("n")) / math.log(100 / percent) + 1e-9).cast("int")
-    t = written(cols.join(stat.withColumn("whole", whole).drop("cross"), "g").withColumn("scale", scale), "columns")
-    a = t.select("g", c("id").alias("x"), c("n").alias("nx"), c("cls").alias("cx"), "main", "whole", "scale")
-    b = t.select("g", c("id").alias("y"), c("n").alias("ny"), c("cls").alias("cy"), "scale")
-    fit = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (c("cx") != c("cy"))
-    rest = a.filter(c("whole") & (c("cx") != c("main"))).withColumn("scale", F.explode(F.array(c("scale") - 1, c("scale"), c("scale") + 1)))
-    rest = rest.join(b, ["g", "scale"]).filter(fit & ((c("cy") == c("main")) | (c("x") < c("y"))))
-    pivot = a.filter(~c("whole")).groupBy("g").agg(F.min_by(F.struct("x", "nx", "cx"), F.xxhash64("x", F.lit(step))).alias("p")).select("g", "p.*")
-    star = pivot.join(b.drop("scale"), "g").filter(fit)
-    pairs = rest.select("x", "y").unionByName(star.select("x", "y")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    return pairs, t.filter(~c("whole")).select("g", "id", "n")
+    t = written(cols.join(stat.withColumn("whole", whole).drop("cross", "m"), "g").withColumn("scale", scale), "columns")
+    side = lambda name, *more: t.select("g", c("id").alias(name), c("n").alias(f"n{name}"), *[c(s).alias(f"{s}{name}") for s in BITS], c("cls").alias(f"c{name}"), *more)
+    b = side("y", "scale")
+    fit = _fit(percent) & (c("cx") != c("cy"))
+    star = side("x", "whole").filter(~c("whole")).groupBy("g").agg(F.min_by(F.struct("x", "nx", *[f"{s}x" for s in BITS], "cx"), F.xxhash64("x", F.lit(step))).alias("p")).select("g", "p.*").join(b, "g").filter(fit).select("x", "y")
+    if step:
+        a = side("x", "main", "whole", "scale").filter(c("whole") & (c("cx") != c("main")))
+        rest = a.withColumn("scale", F.explode(F.array(c("scale") - 1, c("scale"), c("scale") + 1))).join(b, ["g", "scale"]).filter(fit & ((c("cy") == c("main")) | (c("x") < c("y"))))
+        star = rest.select("x", "y") if step >= PIVOT_ROUNDS else star.unionByName(rest.select("x", "y"))
+    return star, t.filter(~c("whole")).select("g", "id", "n", *BITS)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -183,13 +212,15 @@ def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
     still share beyond them is bounded by its sizes, and pairs below the bound go before any whole
     set is built. Then rows of whole sets are multiplied with the row of their partner."""
     c = F.col
-    side = lambda name: sets.select(c("id").alias(name), c("n").alias("n" + name), c("prefix").alias("p" + name))
-    near = pairs.join(side("x"), "x").join(side("y"), "y")
+    pairs = written(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).filter("x <> y").distinct(), "pairs")
+    prefixes = sets.select("id", "n", "prefix")
+    px = prefixes.join(small(pairs.withColumnRenamed("x", "id")), "id").select(c("id").alias("x"), "y", c("n").alias("nx"), c("prefix").alias("px"))
+    py = prefixes.join(small(pairs.select(c("y").alias("id"))), "id", "left_semi").select(c("id").alias("y"), c("n").alias("ny"), c("prefix").alias("py"))
     most = F.size(F.array_intersect("px", "py")) + F.greatest(c("nx") - F.size("px"), c("ny") - F.size("py"))
-    near = written(near.filter(most * (100 + percent) >= percent * (c("nx") + c("ny"))).select("x", "y"), "near")
+    near = written(px.join(py, "y").filter(most * (100 + percent) >= percent * (c("nx") + c("ny"))).select("x", "y"), "near")
     texts = docs.select("id", "text")
     xs = _full(texts.join(small(near.withColumnRenamed("x", "id")), "id"), k, "y").withColumnsRenamed({"id": "x", "s": "sx"})
-    ys = _full(texts.join(small(near.select(c("y").alias("id")).distinct()), "id"), k).withColumnsRenamed({"id": "y", "s": "sy"})
+    ys = _full(texts.join(small(near.select(c("y").alias("id"))), "id", "left_semi"), k).withColumnsRenamed({"id": "y", "s": "sy"})
     both = xs.join(ys, "y").withColumn("o", F.size(F.array_intersect("sx", "sy")))
     return written(both.filter(100 * c("o") >= percent * (F.size("sx") + F.size("sy") - c("o"))).select("x", "y").distinct(), "links")
 
@@ -214,20 +245,23 @@ def similarity_classes(df: DataFrame, ident: str = "doc_id", text: str = "text",
     c = F.col
     docs = df.select(c(ident).cast("long").alias("id"), c(text).alias("text"))
     rows = written(incidence(docs, k, percent, frequent_ngrams(docs, k)), "incidence")
-    sets = written(rows.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix")), "sets")
-    cells = sets.select(F.explode("prefix").alias("g"), "id", "n").repartition("g")
-    left = written(cells.join(cells.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g"), "g"), "cells")
-    links, root, step = None, None, 0
-    while not left.isEmpty():
-        known = left.join(root, left.id == root.node, "left").select("g", "id", "n", F.coalesce("root", "id").alias("cls")) if root is not None else left.select("g", "id", "n", c("id").alias("cls"))
-        pairs, later = _candidates(known, percent, step)
-        found = _links(pairs, sets, docs, k, percent)
+    sets = written(rows.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), *[F.first(x).alias(x) for x in (*BITS, "prefix")]), "sets")
+    cells = sets.select(F.explode("prefix").alias("g"), "id", "n")
+    # most shared columns hold two sets: those are pairs at once, without a further shuffle
+    held = written(cells.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi")).filter("m > 1"), "columns")
+    two = held.filter((c("m") == 2) & (100 * F.least("lo.n", "hi.n") >= percent * F.greatest("lo.n", "hi.n"))).select(c("hi.id").alias("x"), c("lo.id").alias("y"))
+    left = written(cells.join(small(held.filter("m > 2").select("g")), "g").join(sets.select("id", *BITS), "id"), "cells")
+    links, label, step = None, None, 0
+    while step == 0 or not left.isEmpty():
+        known = left.withColumn("cls", c("id")) if label is None else left.join(label, "id", "left").select("g", "id", "n", *BITS, F.coalesce("cls", "id").alias("cls"))
+        pairs, left = _candidates(known, percent, step)
+        found = _links(pairs if step else pairs.unionByName(two), sets, docs, k, percent)
         links = found if links is None else links.unionByName(found)
-        root = written(connected(links), "classes")
-        left, step = later, step + 1
+        label, step = _relabel(label, found), step + 1
     comp = sets.select("h1", "h2", "n", "id")
-    if root is not None:
-        comp = comp.join(root, comp.id == root.node, "left").select("h1", "h2", "n", F.coalesce("root", "id").alias("id"))
+    side = lambda name: label.select(c("id").alias(name), c("cls").alias("c" + name))
+    root = connected(links.join(side("x"), "x").join(side("y"), "y").select(c("cx").alias("x"), c("cy").alias("y")))
+    comp = comp.join(label, "id", "left").withColumn("cls", F.coalesce("cls", "id")).join(root, c("cls") == root.node, "left").select("h1", "h2", "n", F.coalesce("root", "cls").alias("id"))
     comp = comp.withColumnRenamed("id", "component_id")
-    out = rows.drop("prefix").join(comp, ["h1", "h2", "n"], "left")
+    out = rows.select("id", "n", "h1", "h2").join(comp, ["h1", "h2", "n"], "left")
     return out.select(c("id").alias(ident), c("n").alias("n_shingles"), F.when(c("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
