@@ -42,13 +42,18 @@ def block_rows(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``."""
+    """Use the shared folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local session (one machine) gets a new temporary folder; a cluster has to set it.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="mediasift-shared-")
     sc.setCheckpointDir(shared)
 
 
