@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediasift.session import ensure_checkpoint_dir
+
 # White space and word classes (regular-expression text).
 SPACE = r"[\x20\x09-\x0D]+"
 LICENSE_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -22,10 +24,11 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it; see ``ensure_checkpoint_dir`` where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        ensure_checkpoint_dir(spark)
+        root = spark.sparkContext.getCheckpointDir()
     return root
 
 
