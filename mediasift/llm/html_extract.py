@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from mediasift.llm.boosting import BoostedTrees, fit_trees
+from mediasift.llm.common import few_by_hash
 
 # Element kinds of the HTML standard, and tokens common in class and id attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -290,12 +291,13 @@ def _labelled(source: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(pages: DataFrame, ident: str = "page_id", source: str = "html", max_pages: int = 300, max_chars: int = 100_000, variants: int = 4, seed: int = 5) -> Extractor:
-    """Fit on a bounded sample: texts of ``max_pages`` pages (smallest id hash) in known layouts.
+    """Fit on a bounded sample: texts of ``max_pages`` pages (by id hash) in known layouts.
 
     No page has labels, so training pages are built: texts of the sample, split into long and
     short ones, are put into varied layouts whose main part is known, semantic or by class names.
     """
-    rows = pages.filter(F.length(source) <= max_chars).select(F.col(source).alias("s"), F.xxhash64(F.col(ident).cast("string"), F.lit("dom")).alias("h")).orderBy("h", "s").limit(max_pages).collect()
+    known = pages.filter(F.length(source) <= max_chars).select(F.col(source).alias("s"), F.xxhash64(F.col(ident).cast("string"), F.lit("dom")).alias("h"))
+    rows = few_by_hash(known, "h", max_pages, pages.count()).orderBy("h", "s").limit(max_pages).collect()
     found = [t for r in rows for _, t, *_ in parse(r.s).texts]
     long = [t for t in found if len(t) >= 80] or ["A longer text of several words, as it stands in a paragraph of an article."]
     short = [t[:60] for t in found if len(t) < 80] or ["short text"]

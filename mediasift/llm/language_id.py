@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from mediasift.llm.common import few_by_hash
+
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, accepted boolean"
 _ALPHA: list[np.ndarray] = []
@@ -142,11 +144,11 @@ def fit(texts: list[str], langs: list[str], bits: int = 15, dim: int = 8, epochs
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 4000, max_chars: int = 50_000) -> LanguageModel:
     """Fit on a bounded sample of the labelled rows: at most ``max_docs`` texts of at most ``max_chars``.
 
-    The sample takes the rows with the smallest hash of their key, so it is the same on every
-    run. Null texts and labels are left out; without any row the model knows no label.
+    The sample takes rows by the hash of their key, so it is the same on every run. Null texts and labels are left out; without any row the model knows no label.
     """
-    rows = df.filter(F.col(lang).isNotNull() & (F.length(text) <= max_chars)).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string"), F.lit("lang")).alias("h"))
-    got = rows.orderBy("h", "t", "l").limit(max_docs).collect()
+    known = df.filter(F.col(lang).isNotNull())
+    rows = known.filter(F.length(text) <= max_chars).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string"), F.lit("lang")).alias("h"))
+    got = few_by_hash(rows, "h", max_docs, known.count()).orderBy("h", "t", "l").limit(max_docs).collect()
     return fit([r.t for r in got], [r.l for r in got])
 
 

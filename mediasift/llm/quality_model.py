@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from mediasift.llm.common import few_by_hash
+
 PASSAGE_WORDS = 64
 CLASSES, WORD_BUCKETS = 10, 16
 WIDTH = CLASSES + WORD_BUCKETS + 5
@@ -140,12 +142,13 @@ def fit(texts: list[str | None], labels: list[int], hidden: int = 16, gate: int
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_docs: int = 4000, max_chars: int = 50_000) -> AttentionModel:
     """Fit on a bounded sample: the texts, of at most ``max_chars``, of ``max_docs`` labelled keys.
 
-    The sample takes the smallest key hashes, so it is bounded before it is broadcast to the one
+    The sample takes keys by their hash, so it is bounded before it is broadcast to the one
     scan of ``docs``. Null labels are left out and null texts count as empty; without any row
     the model scores every text about alike.
     """
     known = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-    picked = known.orderBy(F.xxhash64(F.col("k").cast("string"), F.lit("quality")), "k", "y").limit(max_docs)
+    hashed = known.withColumn("h", F.xxhash64(F.col("k").cast("string"), F.lit("quality")))
+    picked = few_by_hash(hashed, "h", max_docs, known.count()).orderBy("h", "k", "y").limit(max_docs).drop("h")
     short = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.coalesce(F.length("t"), F.lit(0)) <= max_chars)
     got = sorted(short.join(F.broadcast(picked), "k").limit(2 * max_docs).collect(), key=lambda r: (r.k, r.t or "", r.y))
     return fit([r.t for r in got], [r.y for r in got])
