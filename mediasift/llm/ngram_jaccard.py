@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediasift.llm.common import written
@@ -61,6 +61,13 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(_mix(h + _U(take)))
 
 
+def _parts(frames: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Few rows at a time, so a worker holds few sets."""
+    for f in frames:
+        for at in range(0, len(f), rows):
+            yield f.iloc[at : at + rows].copy()
+
+
 def _texts(frames: Iterator[pd.DataFrame], k: int):
     for f in frames:
         for row in f.itertuples(index=False):
@@ -105,7 +112,7 @@ def incidence(docs: DataFrame, k: int, percent: int, last: np.ndarray) -> DataFr
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, rank = shared.value
-        for f in frames:
+        for f in _parts(frames):
             out = []
             for doc, text in zip(f["id"], f["text"]):
                 s = shingles(text if isinstance(text, str) else None, k)
@@ -128,7 +135,7 @@ def _full(rows: DataFrame, k: int, *carry: str) -> DataFrame:
     """``id``, the carried columns and the whole set of each row's text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in _parts(frames):
             f["s"] = [shingles(t if isinstance(t, str) else None, k).view(np.int64) for t in f["text"]]
             yield f.drop(columns="text")
 
@@ -248,9 +255,13 @@ def similarity_classes(df: DataFrame, ident: str = "doc_id", text: str = "text",
     sets = written(rows.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), *[F.first(x).alias(x) for x in (*BITS, "prefix")]), "sets")
     cells = sets.select(F.explode("prefix").alias("g"), "id", "n")
     # most shared columns hold two sets: those are pairs at once, without a further shuffle
-    held = written(cells.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi")).filter("m > 1"), "columns")
-    two = held.filter((c("m") == 2) & (100 * F.least("lo.n", "hi.n") >= percent * F.greatest("lo.n", "hi.n"))).select(c("hi.id").alias("x"), c("lo.id").alias("y"))
-    left = written(cells.join(small(held.filter("m > 2").select("g")), "g").join(sets.select("id", *BITS), "id"), "cells")
+    held = written(cells.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("n").alias("n0"), F.max("n").alias("n1")).filter("m > 1"), "columns")
+    two = held.filter((c("m") == 2) & (100 * c("n0") >= percent * c("n1"))).select(c("hi").alias("x"), c("lo").alias("y"))
+    # of larger columns only rows stay that have a neighbour of a size that can link
+    by = Window.partitionBy("g").orderBy("n", "id")
+    many = cells.join(small(held.filter("m > 2").select("g")), "g").select("g", "id", "n", F.lag("n").over(by).alias("less"), F.lead("n").over(by).alias("more"))
+    many = many.filter((100 * c("less") >= percent * c("n")) | (100 * c("n") >= percent * c("more"))).select("g", "id", "n")
+    left = written(many.join(sets.select("id", *BITS), "id"), "cells")
     links, label, step = None, None, 0
     while step == 0 or not left.isEmpty():
         known = left.withColumn("cls", c("id")) if label is None else left.join(label, "id", "left").select("g", "id", "n", *BITS, F.coalesce("cls", "id").alias("cls"))
