@@ -28,7 +28,8 @@ def fast_encoder(tokenizer_path: str):
 
     The file's vocabulary and pattern run in the quicker of two libraries; it is used only if
     the file is of the plain kind it knows (ids in merge order) and gives the same ids as the
-    file's own library on a probe text, else that library encodes.
+    file's own library on a probe text, else that library encodes. It also encodes every text
+    that the quicker one gives up on, such as one with a very long run of white space.
     """
     import json
 
@@ -45,7 +46,13 @@ def fast_encoder(tokenizer_path: str):
     to_byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
     ranks = {bytes(to_byte[c] for c in t): i for t, i in vocab.items() if t not in special}
     enc = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    fast = lambda text: enc.encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+    def fast(text: str) -> np.ndarray:
+        try:
+            return enc.encode_to_numpy(text, allowed_special="all").astype("<u4")
+        except Exception:  # its pattern backtracks on a bounded stack
+            return slow(text)
+
     probe = "Ökeiter chßung, it's  12 été\n\t #*& <|endoftext|> naïve  \u3000漢字 x" * 3
     return fast if np.array_equal(fast(probe), slow(probe)) else slow
 

@@ -96,6 +96,19 @@ def test_packing_covers_every_token(spark):
     assert pack_documents(d.limit(0), tokenizer_path()).collect() == [] and token_pieces(d.limit(0), tokenizer_path()).collect() == []
 
 
+def test_packing_of_very_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = {1: "a" + " " * 1_000_000 + "x", 2: "a" + "\n" * 1_000_000 + "x", 3: "short"}
+    got = pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tokenizer_path()).collect()
+    for doc, text in texts.items():
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        rows = sorted((r for r in got if r.doc_id == doc), key=lambda r: r.start)
+        assert sum(r.length for r in rows) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in rows)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(rule):
     rng = np.random.default_rng(1)
