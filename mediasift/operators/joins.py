@@ -336,3 +336,26 @@ def loo_outliers(df, keys, ident: str, vec: str, width: int, sigma: float = 2.5,
     st = j.groupBy(*keys).agg(F.avg("ncc").alias("_m"), F.stddev_pop("ncc").alias("_s"), F.max("ncc").alias("_x"))
     cut = F.greatest(F.col("_m") - sigma * (F.col("_s") + 1e-6), floor * F.col("_x"))
     return j.join(st, list(keys)).withColumn("cut", cut).filter(F.col("ncc") < F.col("cut")).select(*keys, ident, "ncc", "cut")
+
+
+def block_consistency(df, keys, vec: str, side: int, grid: int = 4, sigma: float = 2.0, min_frames: int = 10, min_block: int = 32) -> DataFrame:
+    """The mean vector cut into ``grid`` x ``grid`` blocks; correlation of each block with the mean of all others.
+
+    One row per block; ``consistency`` is the mean over blocks. Keys with fewer than ``min_frames``
+    vectors, and blocks of fewer than ``min_block`` rows, give none.
+    """
+    b = side // grid
+    if b < min_block:
+        return df.select(*keys).limit(0).withColumns({"block": F.lit(0), "ncc": F.lit(0.0), "consistency": F.lit(0.0), "anomalous": F.lit(False)})
+    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_frames).select(*keys)
+    p = df.join(long, list(keys), "left_semi").select(*keys, F.posexplode(vec).alias("_p", "_x")).groupBy(*keys, "_p").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
+    r, c = F.floor(F.col("_p") / side), F.pmod("_p", F.lit(side))
+    p = p.filter((r < b * grid) & (c < b * grid)).withColumn("block", (F.floor(r / b) * grid + F.floor(c / b)).cast("int"))
+    one = p.groupBy(*keys, "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_x"))), lambda e: e["_x"]).alias("_v"))
+    total = one.select(*keys, F.posexplode("_v").alias("_p", "_x")).groupBy(*keys, "_p").agg(F.sum("_x").alias("_x")).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_x"))), lambda e: e["_x"]).alias("_sum"))
+    j = one.join(total, list(keys)).withColumn("_rest", F.zip_with("_sum", "_v", lambda s, v: (s - v) / (grid * grid - 1)))
+    j = j.select(*keys, "block", ncc(F.col("_v"), F.col("_rest")).alias("ncc"))
+    w = Window.partitionBy(*keys)  # grid x grid rows
+    dev = F.stddev_pop("ncc").over(w)
+    j = j.withColumns({"consistency": F.avg("ncc").over(w), "_s": dev})
+    return j.withColumn("anomalous", (F.col("ncc") < F.col("consistency") - sigma * F.col("_s")) & (F.col("_s") > 0.001)).drop("_s")

@@ -90,6 +90,12 @@ def illumination_score(abrupt: Column, n_spikes: Column, direction: Column, colo
     return clamp(F.greatest(abrupt * 0.85, spikes, direction * 0.40, colour * 0.35))
 
 
+def shadow_score(direction: Column, distribution: Column, intensity: Column, n_regions: Column) -> Column:
+    """Shadow direction, highlight area and highlight brightness; more than three odd regions count 0.30 at least."""
+    score = 0.50 * direction + 0.30 * distribution + 0.20 * intensity
+    return clamp(F.greatest(score, F.when(n_regions > 3, 0.30).otherwise(0.0)))
+
+
 def fingerprint_score(consistency: Column, drop_rate: Column, region_rate: Column, std: Column, n: Column, device: Column) -> Column:
     """Sensor-noise sub-score, strongest signal wins; a null device reference is ignored."""
     own = F.when(consistency < 0, 0.65).when(consistency < 0.02, 0.50).when(consistency < 0.05, 0.30).otherwise(0.0)

@@ -433,6 +433,28 @@ def adaptive_thresholds(df, keys, low: str, high: str, k: float = 1.5) -> DataFr
     )
 
 
+# W18 fixed values by mode: multiplier, then the fallbacks (similarity, distance) and the cuts that hold always (duplicate, z).
+THRESHOLD_MODES = {"standard": (1.5, 0.65, 0.75, 0.98, 2.5), "high_sensitivity": (1.0, 0.75, 0.65, 0.96, 2.0), "deep_scan": (0.8, 0.80, 0.60, 0.95, 1.5)}
+
+
+def threshold_modes(df, keys, low: str, high: str) -> DataFrame:
+    """Thresholds of every key in each mode; a key without a metric has the mode's fixed fallback."""
+    st = df.groupBy(*keys).agg(
+        F.avg(low).alias("_lm"), F.stddev_pop(low).alias("_ls"), F.avg(high).alias("_hm"), F.stddev_pop(high).alias("_hs")
+    )
+    names = ("mode", "k", "low", "high", "duplicate", "z")
+    modes = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (mode, *vals))]) for mode, vals in THRESHOLD_MODES.items()])
+    c = F.col
+    return st.withColumn("_p", F.explode(modes)).select(
+        *keys,
+        c("_p.mode").alias("mode"),
+        F.coalesce(clamp(c("_lm") - c("_p.k") * c("_ls"), 0.3, 0.9), c("_p.low")).alias("low_cut"),
+        F.coalesce(clamp(c("_hm") + c("_p.k") * c("_hs"), 0.3, 0.95), c("_p.high")).alias("high_cut"),
+        c("_p.duplicate").alias("duplicate_cut"),
+        c("_p.z").alias("z_cut"),
+    )
+
+
 def pair_rules(df, keys, order, ssim: str, dist: str, blockiness: str, noise: str, ssim_cut: float, dist_cut: float, dup_cut: float, split=None) -> DataFrame:
     """Transition, freeze and quality-drift findings between neighbouring rows."""
     from mediasift.functions.exprs import explode_rules, finding

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediasift.functions.exprs import bimodality, clamp, col, cv, ramp, severity_rank, steps, vsum
+from mediasift.functions.exprs import bimodality, clamp, col, cv, let, ramp, severity_rank, steps, vsum
 from mediasift.operators.ordered import Ordered, decide, quantiles
 
 LN10_20 = 20.0
@@ -245,6 +245,39 @@ def tail_ratio(df, keys, frame: str, x: str, pct: float = 0.25, split=None) -> D
     return out.filter(F.col("n_frames") >= 3).withColumn("score", clamp((F.col("ratio_cv") - 0.08) / 0.25))
 
 
+def highlight_scores(df, keys, frame: str, v: str, s: str, bright: float = 220.0, grey: float = 40.0) -> DataFrame:
+    """Share of bright, unsaturated pixels per frame and their mean brightness; ramps over the CVs across frames.
+
+    Frames without such a pixel have a share of 0 and no brightness.
+    """
+    on = F.coalesce((F.col(v) > bright) & (F.col(s) < grey), F.lit(False))
+    f = df.groupBy(*keys, frame).agg(F.avg(on.cast("double")).alias("_r"), F.avg(F.when(on, F.col(v))).alias("_i"))
+    spread = lambda c: F.stddev_pop(c) / (F.avg(c) + 1e-6)
+    g = f.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"), F.avg("_r").alias("highlight_ratio"), spread("_r").alias("area_cv"), spread("_i").alias("intensity_cv"))
+    return g.withColumns({"distribution_score": clamp((F.col("area_cv") - 0.30) / 1.0), "intensity_score": F.coalesce(clamp((F.col("intensity_cv") - 0.05) / 0.20), F.lit(0.0))})
+
+
+def shadow_coverage(df, keys, frame: str, cell: str, x: str, pct: float = 0.20, sigma: float = 2.5, split=None) -> DataFrame:
+    """Share of shadow (below the frame's own ``pct`` quantile) per cell, averaged over frames; CV over cells and cells beyond ``sigma``."""
+    fk = [*keys, frame]
+    j = df.join(quantiles(df, fk, x, split=split, _lo=pct), fk)
+    c = j.groupBy(*fk, cell).agg(F.avg((F.col(x) < F.col("_lo")).cast("double")).alias("_r")).groupBy(*keys, cell).agg(F.avg("_r").alias("_r"))
+    st = c.groupBy(*keys).agg(F.avg("_r").alias("_m"), F.stddev_pop("_r").alias("_s"))
+    out = F.count(F.when((F.col("_s") > 0) & (F.abs(F.col("_r") - F.col("_m")) > sigma * F.col("_s")), 1))
+    return c.join(st, list(keys)).groupBy(*keys).agg(F.max("_m").alias("shadow_ratio"), (F.max("_s") / (F.max("_m") + 1e-6)).alias("shadow_cv"), out.alias("n_regions"))
+
+
+def noise_level(px, side: int, top: float = 1.0) -> Column:
+    """Standard deviation of the 3x3 high-pass (8 x centre minus neighbours) of a row-major block.
+
+    As for stored pixels the response is cut to 0..``top``; the block is mirrored at its edge.
+    """
+    at = lambda i: side - 1 - abs(side - 1 - abs(i))
+    near = [[at(r + a) * side + at(c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)] for r in range(side) for c in range(side)]
+    around = F.transform(F.lit(near), lambda n: 9 * F.get(px, F.get(n, F.lit(4))) - F.aggregate(n, F.lit(0.0), lambda s, i: s + F.get(px, i)))
+    return let(F.transform(around, lambda e: clamp(e, 0.0, top)), lambda h: let(vsum(h) / side**2, lambda m: F.sqrt(F.aggregate(h, F.lit(0.0), lambda s, e: s + (e - m) * (e - m)) / side**2)))
+
+
 def frame_metrics(blocks, keys, order, px: str, side: int = 8, split=None) -> DataFrame:
     """Brightness, contrast, blockiness, noise per block row and SSIM to the next.
 
@@ -270,6 +303,7 @@ def frame_metrics(blocks, keys, order, px: str, side: int = 8, split=None) -> Da
     b = b.withColumn("contrast", F.sqrt("_var")).withColumn("blockiness", dx + dy).withColumn("_l", lap)
     lm = F.try_divide(vsum(F.col("_l")), F.size("_l"))
     b = b.withColumn("sharpness", F.try_divide(F.aggregate("_l", F.lit(0.0), lambda s, e: s + e * e), F.size("_l")) - lm * lm)
+    b = b.withColumn("noise", noise_level(F.col("_v"), side))
     o = Ordered(b, keys, order, after=1, split=split)
     o.add(_nm=o.next("brightness"), _nvar=o.next("_var"), _nc=o.next("_c"))
     cov = F.aggregate(F.zip_with("_c", "_nc", lambda a, c: a * c), F.lit(0.0), lambda s, e: s + e) / n
@@ -467,6 +501,17 @@ def divergent_fraction(df, keys, frame: str, x: str, ratio: float = 3.0, min_mea
     return f.groupBy(*keys).agg(F.avg("_f").alias("divergent_fraction"), F.count(F.lit(1)).alias("n_frames"))
 
 
+def rate_severity(rate, high: float, medium: float) -> Column:
+    """High, medium or null (no finding) of a rate."""
+    return F.when(rate >= high, "high").when(rate >= medium, "medium")
+
+
+def residual_rate(df, keys, inliers: str, cut: float = 0.4, high: float = 0.5, medium: float = 0.25) -> DataFrame:
+    """Share of the analysed frame pairs (one row each, null: not analysed) with an inlier ratio below ``cut``."""
+    g = df.groupBy(*keys).agg(F.count(inliers).alias("n_pairs"), F.avg((F.col(inliers) < cut).cast("double")).alias("residual_rate"))
+    return g.filter("n_pairs > 0").withColumn("severity", rate_severity(F.col("residual_rate"), high, medium))
+
+
 def signal_type(df, keys, zcr: str, rms: str, hf: str, high: tuple[float, float, float] = (0.10, 0.80, 0.25), low: tuple[float, float] = (0.02, 0.08)) -> DataFrame:
     """Music, phone_speech or speech from frames with zero-crossing rate, level and HF energy share.
 

@@ -179,6 +179,14 @@ def q_loo_outlier(spark, d):
     return tidy(J.loo_outliers(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 64, sigma=1.5, floor=0.0))
 
 
+@query("""WITH p AS (SELECT label, i-1 AS pos, avg(embedding[i]::DOUBLE) AS v FROM (SELECT label, embedding, unnest(generate_series(1,64)) AS i FROM embeddings) GROUP BY label, i HAVING count(*) >= 10),
+b AS (SELECT label, pos // 8 // 2 * 4 + pos % 8 // 2 AS block, pos // 8 % 2 * 2 + pos % 2 AS q, v FROM p), r AS (SELECT *, (sum(v) OVER (PARTITION BY label, q) - v)/15 AS r FROM b),
+c AS (SELECT label, block, covar_pop(v,r)*4/(stddev_pop(v)*2*stddev_pop(r)*2+1e-10) AS ncc FROM r GROUP BY label, block), s AS (SELECT label, avg(ncc) AS m, stddev_pop(ncc) AS s FROM c GROUP BY label)
+SELECT c.label, CAST(block AS INT) AS block, """ + R("ncc") + " AS ncc, " + R("m") + " AS consistency, ncc < m - 2*s AND s > 0.001 AS anomalous FROM c JOIN s ON c.label=s.label")
+def q_block_consistency(spark, d):
+    return tidy(J.block_consistency(table(spark, d, "embeddings"), ["label"], "embedding", 8, min_block=2))
+
+
 # -- sets, order, limits ------------------------------------------------------
 @query(f"WITH {CHECKS} SELECT k, tie, 'temporal' AS domain, {R('score')} AS score, severity FROM checks WHERE module IN ('enf','noise') UNION ALL SELECT k, tie, 'spatial', NULL, severity FROM checks WHERE module IN ('compression','metadata') UNION ALL SELECT k, tie, 'av', {R('score')}, NULL FROM checks WHERE module='voice'")
 def q_union_findings(spark, d):

@@ -169,6 +169,15 @@ def q_adaptive_threshold(spark, d):
     return tidy(W.adaptive_thresholds(frames(spark, d), K, "ssim", "hist_dist"))
 
 
+@query(f"""WITH {FRAMES}, st AS (SELECT k, avg(ssim) FILTER (WHERE k % 5 <> 0) AS a, stddev_pop(ssim) FILTER (WHERE k % 5 <> 0) AS b, avg(hist_dist) FILTER (WHERE k % 5 <> 0) AS c, stddev_pop(hist_dist) FILTER (WHERE k % 5 <> 0) AS e FROM frames GROUP BY k),
+md(mode, f, lo, hi, du, z) AS (VALUES ('standard', 1.5::DOUBLE, 0.65, 0.75, 0.98, 2.5), ('high_sensitivity', 1.0, 0.75, 0.65, 0.96, 2.0), ('deep_scan', 0.8, 0.80, 0.60, 0.95, 1.5))
+SELECT k, mode, {R('CASE WHEN a IS NULL THEN lo ELSE least(greatest(a - f*b, 0.3), 0.9) END')} AS low_cut, {R('CASE WHEN c IS NULL THEN hi ELSE least(greatest(c + f*e, 0.3), 0.95) END')} AS high_cut, {R('du')} AS duplicate_cut, {R('z')} AS z_cut FROM st, md""")
+def q_threshold_modes(spark, d):
+    # every fifth asset has no metrics, so it takes the fallbacks
+    f = frames(spark, d).withColumns({c: F.when(F.col("k") % 5 != 0, F.col(c)) for c in ("ssim", "hist_dist")})
+    return tidy(W.threshold_modes(f, K, "ssim", "hist_dist"))
+
+
 @query(f"""WITH {FRAMES}, a AS (SELECT *, lead(t) OVER w AS nt, abs(lead(blockiness) OVER w - blockiness)/greatest(blockiness,1.0) AS dr, abs(lead(noise) OVER w - noise)/greatest(noise,1.0) AS nr FROM frames WINDOW w AS (PARTITION BY k ORDER BY t, tie)),
 b AS (SELECT * FROM a WHERE nt IS NOT NULL)
 SELECT k, tie, 'abrupt_transition' AS type, CASE WHEN ssim < 0.5 THEN 'high' ELSE 'medium' END AS severity, {R('1-ssim')} AS score FROM b WHERE ssim < 0.65 AND hist_dist > 0.75

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mediasift.functions.exprs import severity_name
 from mediasift.operators import stats as A
+from mediasift.operators.scores import shadow_score
 from mediasift.plans.bindings import FRAMES, SERIES, frames, series, table
 from mediasift.plans.registry import R, query, tidy
 
@@ -165,7 +166,33 @@ ss AS (SELECT a.vec_id, covar_pop(a.v, c.v) AS cv, avg(a.v) AS ma, avg(c.v) AS m
 SELECT nb.label, nb.vec_id, {R('b')} AS brightness, {R('s')} AS contrast, {R('bl')} AS blockiness, {R('sharp')} AS sharpness, {R('((2*ma*mc+0.0001)*(2*cv+0.0009))/((ma*ma+mc*mc+0.0001)*(va+vc+0.0009))')} AS ssim
 FROM nb JOIN dx ON nb.vec_id=dx.vec_id JOIN sh ON nb.vec_id=sh.vec_id LEFT JOIN ss ON nb.vec_id=ss.vec_id""")
 def q_frame_metrics(spark, d):
-    return tidy(A.frame_metrics(table(spark, d, "embeddings"), ["label"], ["vec_id"], "embedding").drop("embedding"))
+    return tidy(A.frame_metrics(table(spark, d, "embeddings"), ["label"], ["vec_id"], "embedding").drop("embedding", "noise"))
+
+
+@query(f"""WITH {PX}, e AS (SELECT label, vec_id, pos, r, c, v FROM (SELECT *, pos // 8 AS r, pos % 8 AS c FROM px)),
+nb AS (SELECT label, vec_id, pos, v, unnest([-1,0,1]) AS a, r, c FROM e), n2 AS (SELECT *, unnest([-1,0,1]) AS b FROM nb),
+n3 AS (SELECT *, (7-abs(7-abs(r+a)))*8 + 7-abs(7-abs(c+b)) AS q FROM n2),
+h AS (SELECT n3.label, n3.vec_id, n3.pos, least(1.0, greatest(0.0, 9*max(n3.v) - sum(px.v))) AS h FROM n3 JOIN px ON n3.vec_id=px.vec_id AND n3.q=px.pos GROUP BY n3.label, n3.vec_id, n3.pos)
+SELECT label, vec_id, {R('stddev_pop(h)')} AS noise FROM h GROUP BY label, vec_id""")
+def q_noise_level(spark, d):
+    return tidy(A.frame_metrics(table(spark, d, "embeddings"), ["label"], ["vec_id"], "embedding").select("label", "vec_id", "noise"))
+
+
+@query(f"""WITH {PX}, b AS (SELECT label, vec_id, pos // 4 AS cell, 128+600*v AS b, pos*7 % 80 AS s FROM px),
+f AS (SELECT label, vec_id, avg(CASE WHEN b > 220 AND s < 40 THEN 1.0 ELSE 0.0 END) AS r, avg(b) FILTER (WHERE b > 220 AND s < 40) AS i FROM b GROUP BY label, vec_id),
+h AS (SELECT label, count(*) AS n_frames, avg(r) AS hr, stddev_pop(r)/(avg(r)+1e-6) AS ac, stddev_pop(i)/(avg(i)+1e-6) AS ic FROM f GROUP BY label),
+q AS (SELECT label, vec_id, quantile_cont(b, 0.2) AS lo FROM b GROUP BY label, vec_id),
+c AS (SELECT label, cell, avg(r) AS r FROM (SELECT b.label, b.vec_id, cell, avg(CASE WHEN b < lo THEN 1.0 ELSE 0.0 END) AS r FROM b JOIN q ON b.vec_id=q.vec_id AND b.label=q.label GROUP BY b.label, b.vec_id, cell) GROUP BY label, cell),
+st AS (SELECT label, avg(r) AS m, stddev_pop(r) AS s FROM c GROUP BY label),
+g AS (SELECT c.label, max(m) AS sr, max(s)/(max(m)+1e-6) AS sc, count(*) FILTER (WHERE s > 0 AND abs(r-m) > 2.5*s) AS n_regions FROM c JOIN st ON c.label=st.label GROUP BY c.label),
+o AS (SELECT h.*, sr, sc, n_regions, least(1.0,greatest(0.0,ac-0.3)) AS ds, coalesce(least(1.0,greatest(0.0,(ic-0.05)/0.2)),0.0) AS iss FROM h JOIN g ON h.label=g.label)
+SELECT label, n_frames, {R('hr')} AS highlight_ratio, {R('ac')} AS area_cv, {R('ic')} AS intensity_cv, {R('ds')} AS distribution_score, {R('iss')} AS intensity_score, {R('sr')} AS shadow_ratio, {R('sc')} AS shadow_cv, n_regions,
+ {R('greatest(0.5*sc + 0.3*ds + 0.2*iss, CASE WHEN n_regions > 3 THEN 0.3 ELSE 0.0 END)')} AS score FROM o""")
+def q_highlight_shadow(spark, d):
+    b = pixels(spark, d).select("label", "vec_id", F.floor(F.col("pos") / 4).alias("cell"), (128 + 600 * F.col("v")).alias("b"), (F.col("pos") * 7 % 80).alias("s"))
+    j = A.highlight_scores(b, ["label"], "vec_id", "b", "s").join(A.shadow_coverage(b, ["label"], "vec_id", "cell", "b"), "label")
+    # the tables hold no shadow directions; the coverage CV stands for their score
+    return tidy(j.withColumn("score", shadow_score(F.col("shadow_cv"), F.col("distribution_score"), F.col("intensity_score"), F.col("n_regions"))))
 
 
 @query(f"""WITH {SERIES}, {HALF}, a AS (SELECT k, m // 10 AS b, count(*) FILTER (WHERE half=1) AS p, count(*) FILTER (WHERE half=2) AS q FROM hf GROUP BY k, m // 10)
@@ -281,6 +308,19 @@ def q_divergent_fraction(spark, d):
     return tidy(A.divergent_fraction(pixels(spark, d).withColumn("v", F.abs("v")), ["label"], "vec_id", "v", 2.0, 0.05))
 
 
+@query(f"""WITH {PX}, a AS (SELECT label, vec_id, abs(v) AS v FROM px), s AS (SELECT vec_id, avg(v) AS mu FROM a GROUP BY vec_id HAVING avg(v) >= 0.05), f AS (SELECT label, a.vec_id, avg(CASE WHEN v > 2*mu THEN 1.0 ELSE 0.0 END) AS f FROM a JOIN s ON a.vec_id=s.vec_id GROUP BY label, a.vec_id)
+SELECT label, {R('avg(f)')} AS divergent_fraction, count(*) AS n_frames, CASE WHEN avg(f) >= 0.25 THEN 'high' WHEN avg(f) >= 0.1 THEN 'medium' END AS severity FROM f GROUP BY label""")
+def q_divergent_severity(spark, d):
+    f = A.divergent_fraction(pixels(spark, d).withColumn("v", F.abs("v")), ["label"], "vec_id", "v", 2.0, 0.05)
+    return tidy(f.withColumn("severity", A.rate_severity(F.col("divergent_fraction"), 0.25, 0.10)))
+
+
+@query(f"""WITH {FRAMES}, g AS (SELECT k, count(*) AS n_pairs, avg(CASE WHEN ssim < 0.4 THEN 1.0 ELSE 0.0 END) AS r FROM frames GROUP BY k)
+SELECT k, n_pairs, {R('r')} AS residual_rate, CASE WHEN r >= 0.5 THEN 'high' WHEN r >= 0.25 THEN 'medium' END AS severity FROM g""")
+def q_residual_rate(spark, d):
+    return tidy(A.residual_rate(frames(spark, d), K, "ssim"))
+
+
 @query(f"""WITH {SERIES}, g AS (SELECT k, avg(m/CAST(400 AS DOUBLE)) AS z, stddev_pop(x)/avg(x) AS lc, avg((k % 10)/CAST(25 AS DOUBLE)) AS hf, avg(CASE WHEN x > 250 THEN 1.0 ELSE 0.0 END) AS cl, avg(m)/1000 AS dc, count(CASE WHEN x < 0.5 THEN 1 END) AS gp FROM series GROUP BY k)
 SELECT k, {R('z')} AS zcr, {R('lc')} AS level_cv, {R('hf')} AS hf_share, CAST(z > 0.1 AS INT)+CAST(lc > 0.8 AS INT)+CAST(hf > 0.25 AS INT) AS music_votes, CASE WHEN z > 0.1 AND lc > 0.8 AND hf > 0.25 THEN 'music' WHEN hf < 0.02 AND z < 0.08 THEN 'phone_speech' ELSE 'speech' END AS kind,
  {R('greatest(0.0, least(1.0, 1 - CASE WHEN cl > 0.001 THEN least(0.5, cl*10) ELSE 0 END - CASE WHEN abs(dc) > 0.05 THEN 0.15 ELSE 0 END - least(0.4, gp*0.15)))')} AS integrity FROM g""")
