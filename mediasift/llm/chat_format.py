@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediasift.functions.exprs import let
+
 # The template's marks, and control strings of common chat templates.
 START, BODY, JOIN, END = "<|turn|>", "<|body|>", "<|join|>", "<|end|>"
 CONTROL = (START, BODY, JOIN, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
@@ -66,3 +68,30 @@ def read_chats(df: DataFrame, formatted: str = "formatted") -> DataFrame:
     cut = F.transform(blocks, lambda b: F.split(F.replace(b, F.lit(START), F.lit("")), re.escape(BODY), 2))
     turns = F.flatten(F.transform(cut, lambda c: F.transform(F.split(c[1], re.escape(JOIN)), lambda x: F.struct(unescape(c[0]).alias("role"), unescape(x).alias("text")))))
     return df.withColumn("turns", turns)
+
+
+def loss_text(formatted: Column, loss_mask: Column) -> Column:
+    """The text under the true runs of ``loss_mask``, each run unescaped, joined.
+
+    Runs are cut from a form with four bytes per code point, and gathered by 256, so the work
+    stays linear in the length of the conversation.
+    """
+    # decoding takes a leading U+FEFF for a byte order mark, so each run is decoded behind another character
+    first = F.encode(F.lit("x"), "UTF-32")
+    text = lambda run: unescape(F.substring(F.decode(F.concat(first, run), "UTF-32"), 2, 2**31 - 1))
+
+    def cut(wide: Column) -> Column:
+        start = lambda at: F.struct(at.alias("at"), F.array().cast("array<string>").alias("said"))
+
+        def step(acc: Column, m: Column) -> Column:
+            run = text(F.substring(wide, 4 * acc["at"] + 1, 4 * m["chars"]))
+            return F.struct((acc["at"] + m["chars"]).alias("at"), F.when(m["loss"], F.array_append(acc["said"], run)).otherwise(acc["said"]).alias("said"))
+
+        def many(acc: Column, part: Column) -> Column:
+            done = lambda inner: F.struct(inner["at"].alias("at"), F.array_append(acc["said"], F.array_join(inner["said"], "")).alias("said"))
+            return F.aggregate(part, start(acc["at"]), step, done)
+
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(loss_mask) / 256).cast("int")), lambda i: F.slice(loss_mask, i * 256 + 1, 256))
+        return F.aggregate(parts, start(F.lit(0)), many, lambda acc: F.array_join(acc["said"], ""))
+
+    return let(F.encode(formatted, "UTF-32"), cut)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mediasift.llm.chat_format import format_chats, read_chats
+from mediasift.llm.chat_format import format_chats, loss_text, read_chats
 from mediasift.llm.common import table
 from mediasift.llm.registry import query
 
@@ -33,6 +33,6 @@ def op3_chat_format(spark, d):
     back = read_chats(format_chats(rows))
     c = F.col
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = loss_text(c("formatted"), c("loss_mask"))
     out = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), loss.alias("_loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return out.select("conv_id", "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"), F.sha2(c("_loss"), 256).alias("loss_sha256"), "formatted_chars")

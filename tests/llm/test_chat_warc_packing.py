@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mediasift.llm.chat_format import CONTROL, format_chats, read_chats
+from mediasift.llm.chat_format import CONTROL, format_chats, loss_text, read_chats
 from mediasift.llm.common import table
 from mediasift.llm.packing import best_fit, pack_documents, token_pieces
 from mediasift.llm.q_packing import tokenizer_path
@@ -51,6 +51,24 @@ def test_chat_round_trip(spark):
     assert format_chats(df.limit(0)).collect() == []
 
 
+def test_loss_text_follows_the_mask(spark, monkeypatch):
+    rows, df = chats(spark)
+    rows = rows + [(5, i, ("user", "assistant")[i % 2], f"\ufeff\U0001f600 {i}\\<s>") for i in range(900)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    for role in ("assistant", "user"):
+        out = format_chats(df, loss_roles=(role,)).select("conv_id", loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
+        want = {c: "".join(r[3] or "" for r in sorted((r for r in rows if r[0] == c), key=key) if (r[2] or "") == role) for c in {r[0] for r in rows}}
+        assert {r.conv_id: r.loss for r in out.collect()} == want
+    # the query shows a mask over other roles
+    from mediasift.llm import q_chat
+
+    before = {r.conv_id: r.loss_chars for r in q_chat.op3_chat_format(spark, SF).collect()}
+    monkeypatch.setattr(q_chat, "format_chats", lambda d: format_chats(d, loss_roles=("user",)))
+    after = {r.conv_id: r.loss_chars for r in q_chat.op3_chat_format(spark, SF).collect()}
+    assert before.keys() == after.keys() and before != after
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 30), max_size=12), max_size=9))
 def test_loser_tree_merges(runs):
