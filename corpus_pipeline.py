@@ -36,19 +36,31 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return identify(docs, model, into="_lid").filter("_lid.accepted").drop("_lid")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key ``_row`` of id and text: an id may repeat or be null, and then says nothing of the text."""
+    c = F.col
+    return docs.withColumn("_row", F.xxhash64(c("doc_id").isNull(), c("doc_id"), c("text").isNull(), c("text")))
+
+
 def keep_one_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id; documents without an id stay."""
-    classes = written(similarity_classes(docs, k=WORDS, percent=PERCENT).select("doc_id", "component_id"), "classes")
-    others = written(classes.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    # rows that repeat an id are copies too; only their texts are shuffled
-    again = small(written(classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated"))
-    stay = docs.join(small(others), "doc_id", "left_anti")
-    return stay.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """Of each class of near copies the document with the smallest id (null ids last), and one of rows equal in id and text."""
+    rows = _keyed(docs)
+    classes = written(similarity_classes(rows.select("_row", "text"), ident="_row", k=WORDS, percent=PERCENT).select("_row", "component_id"), "classes")
+    several = written(classes.groupBy("component_id").agg(F.min("_row").alias("lo"), F.max("_row").alias("hi")).filter("lo <> hi").select("component_id"), "several")
+    members = written(classes.join(small(several), "component_id").select("_row", "component_id").distinct(), "members")
+    named = rows.select("_row", "doc_id").join(small(members), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
+    kept = written(named.groupBy("component_id").agg(first.alias("f")).select("component_id", F.col("f._row").alias("kept")), "kept")
+    others = written(members.join(small(kept), "component_id").filter("_row <> kept").select("_row"), "copies")
+    # rows equal in id and text share a key; only their texts are shuffled
+    again = small(written(classes.groupBy("_row").count().filter("count > 1").select("_row"), "repeated"))
+    stay = rows.join(small(others), "_row", "left_anti")
+    return stay.join(again, "_row", "left_anti").select(*docs.columns).unionByName(stay.join(again, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), k=WORDS, threshold=PERCENT / 100).select(*docs.columns)
+    """Documents that hold no benchmark item, each row by its own text."""
+    return decontaminate(_keyed(docs), table(spark, sf_dir, "benchmark"), doc_id="_row", k=WORDS, threshold=PERCENT / 100).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

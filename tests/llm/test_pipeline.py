@@ -57,6 +57,20 @@ def test_stage_of_repeated_and_null_ids(spark):
     assert got == ["2", "5", "6", "None"]
 
 
+def test_stages_tell_rows_of_one_id_by_their_texts(spark):
+    import corpus_pipeline as P
+
+    text = lambda p: " ".join(f"{p}{i}" for i in range(80))
+    rows = [(1, text("a")), (1, text("b")), (None, text("c")), (None, text("c") + " x"), (2, text("d")), (3, text("d") + " x"), (3, text("e")), (3, text("e")), (None, text("a") + " y")]
+    got = P.keep_one_of_class(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    left = [(r.doc_id, r.text[0]) for r in got]
+    assert sorted(left, key=str) == sorted([(1, "a"), (1, "b"), (None, "c"), (2, "d"), (3, "e")], key=str)
+    item = max((r.text for r in table(spark, SF, "benchmark").collect()), key=len)
+    rows = [(1, text("a")), (1, f"so {item} it is"), (None, f"or {item}"), (None, text("b"))]
+    got = P.drop_benchmark(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(((r.doc_id, r.text[0]) for r in got), key=str) == sorted([(1, "a"), (None, "b")], key=str)
+
+
 def test_entry_names():
     q, o = entry.queries(), entry.oracle_sql()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in q} and "pipeline" in q and set(o) <= set(q)
