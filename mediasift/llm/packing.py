@@ -118,10 +118,10 @@ def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights:
 def pack(pieces: DataFrame, groups: int, limit: int = 2048, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm") -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset`` (gapless from 0), packed inside ``groups`` groups.
 
-    Documents are dealt to groups by a hash of their id, whatever their source, so a group is as
-    large as total / groups and holds one unfilled piece per document; a group leaves about one
-    sequence unfilled. Full pieces fill a sequence alone. The default document and cost
-    capacities are the largest that the token capacity allows. Nulls in ``doc_id`` share a group.
+    Pieces are dealt to groups by a hash of id, place, checksum and a number among equal pieces, so
+    a group is as large as total / groups, also if ids are null or repeat; a group leaves about
+    one sequence unfilled. Full pieces fill a sequence alone. The default document and cost
+    capacities are the largest that the token capacity allows, so only the score uses them.
     """
     cap = (limit, max_docs or limit, max_cost or limit**2)
 
@@ -138,7 +138,10 @@ def pack(pieces: DataFrame, groups: int, limit: int = 2048, max_docs: int | None
         frame["offset"] = offset
         return frame.drop(columns="_group")
 
-    grouped = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    # equal pieces are counted and numbered, so that nothing depends on the order of rows
+    equal = pieces.groupBy("doc_id", "piece", "start", "length", "ids_crc32").agg(F.count(F.lit(1)).alias("_n"))
+    each = equal.withColumn("_r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "_r"), F.lit(groups)).cast("int"))
+    grouped = each.drop("_n", "_r")
     return grouped.groupBy("_group").applyInPandas(run, PACKED_SCHEMA)
 
 

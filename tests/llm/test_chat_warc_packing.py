@@ -127,6 +127,14 @@ def test_packing_of_very_long_white_space(spark):
         assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in rows)
 
 
+def test_packing_deals_null_and_repeated_ids(spark):
+    rows = [(None, f"text {i}") for i in range(1500)] + [(7, "the same")] * 1500
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path(), docs_per_group=100).collect()
+    for doc in (None, 7):
+        sizes = np.bincount([r.sequence_id >> 32 for r in got if r.doc_id == doc], minlength=30)
+        assert sizes.sum() == 1500 and sizes.max() < 120
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(rule):
     rng = np.random.default_rng(1)
