@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -141,14 +142,21 @@ def fit(texts: list[str], langs: list[str], bits: int = 15, dim: int = 8, epochs
     return LanguageModel(labels, table, bias, temperature, threshold, bits)
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 4000, max_chars: int = 50_000) -> LanguageModel:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 4000, max_chars: int = 50_000, min_per_lang: int = 200) -> LanguageModel:
     """Fit on a bounded sample of the labelled rows: at most ``max_docs`` texts of at most ``max_chars``.
 
+    A language with fewer than ``min_per_lang`` rows in it has up to so many of its own instead, so
+    that every label is learned, however small its share.
     The sample takes rows by the hash of their key, so it is the same on every run. Null texts and labels are left out; without any row the model knows no label.
     """
     known = df.filter(F.col(lang).isNotNull())
     rows = known.filter(F.length(text) <= max_chars).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string"), F.lit("lang")).alias("h"))
-    got = few_by_hash(rows, "h", max_docs, known.count()).orderBy("h", "t", "l").limit(max_docs).collect()
+    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+    got = few_by_hash(rows, "h", max_docs, sum(counts.values())).orderBy("h", "t", "l").limit(max_docs).collect()
+    have = Counter(r.l for r in got)
+    for l in sorted(l for l, n in counts.items() if have[l] < min(n, min_per_lang)):
+        own = few_by_hash(rows.filter(F.col("l") == l), "h", min_per_lang, counts[l]).orderBy("h", "t").limit(min_per_lang).collect()
+        got = [r for r in got if r.l != l] + own
     return fit([r.t for r in got], [r.l for r in got])
 
 

@@ -32,6 +32,12 @@ def test_language_edges(spark):
     assert [r.lid.lang_pred for r in identify(d, none).collect()] == ["und"] * 6 and identify(d.limit(0), m).collect() == []
 
 
+def test_rare_language_is_learned(spark):
+    rows = [(i, "the cat and the dog of it", "en") for i in range(3000)] + [(9000 + i, "der hund und die katze ist", "de") for i in range(3)]
+    m = train_language(spark.createDataFrame(rows, "doc_id int, text string, lang string"), max_docs=100)
+    assert sorted(m.labels) == ["de", "en"] and m.predict("der hund und die katze ist")[0] == "de"
+
+
 def test_quality_held_out(spark):
     got = QUERIES["op9_quality_model"](spark, SF).join(table(spark, SF, "labels"), "doc_id").filter("held_out")
     assert got.filter("predicted = quality").count() >= 0.95 * got.count() > 50
