@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -91,20 +93,42 @@ def piece_side(path: str) -> Side:
     return Side(encode, table, np.array([len(b) for b in table], np.int64))
 
 
+# A cut of the spaced text: in front of a space that follows a character which is surely none.
+UNSAFE = re.compile(r"[\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff\u2581] ")
+SAFE_CUT = re.compile(r"(?<=[^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff\u2581]) ")
+# Segments and characters of them that a worker remembers, and characters that are encoded at once.
+KNOWN_SEGMENTS, KNOWN_CHARS, CHUNK = 200_000, 20_000_000, 200_000
+
+
+class Tokens(NamedTuple):
+    """Ids and byte ends of both sides over space + text, and the common ends."""
+
+    a_ids: np.ndarray
+    a_ends: np.ndarray
+    b_ids: np.ndarray
+    b_ends: np.ndarray
+    cuts: np.ndarray
+
+
 class Aligner:
-    """Aligns the tokens of two tokenizers on one text after the other."""
+    """Aligns the tokens of two tokenizers on many texts.
+
+    No token of either side runs over a space behind a solid character, so a text is cut there into parts that
+    each stand for a space and themselves, and each distinct part is encoded and aligned once. A model that
+    has a piece with such an inner space gets whole texts.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = byte_level_side(path_a), piece_side(path_b)
-        top = max(len(self.a.table), len(self.b.table))
-        self.width = top
+        self.whole = any(SAFE_CUT.search(t.decode(errors="replace")) for side in (self.a, self.b) for t in side.table)
+        self.width = max(len(self.a.table), len(self.b.table))
         # text of each id with each of the separators that may follow it
-        self.shown = np.array([f"{i}{s}" for s in (",", "|", ";") for i in range(top)], dtype=object)
+        self.shown = np.array([f"{i}{s}" for s in (",", "|", ";") for i in range(self.width)], dtype=object)
+        self.known: dict[str, tuple | None] = {}
+        self.chars = 0
 
-    def align(self, text: str | None):
-        """(a ids, a byte ends, b ids, b byte ends, common ends) over space + text, or None without tokens."""
-        if not text:
-            return None
+    def align(self, text: str) -> Tokens | None:
+        """The tokens of a whole text; None if their bytes aren't those of space + text."""
         spaced = " " + text
         data = spaced.encode()
         at = None
@@ -113,24 +137,86 @@ class Aligner:
             at = np.r_[0, np.cumsum(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))]
         a = self.a.cuts(spaced, data, at, 0)
         b = a and self.b.cuts(text, data, None if at is None else at[1:], 1 if at is None else 0)
-        if not a or not b:
-            return None
-        return (*a, *b, np.intersect1d(a[1], b[1], assume_unique=True))
-
-    def groups_text(self, ids_a, ends_a, ids_b, ends_b, cuts) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the ids of each group in order."""
-        ga, gb = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
-        sep_a = np.where(cuts[ga] == ends_a, 1, 0)
-        sep_b = np.where(cuts[gb] == ends_b, 2, 0)
-        place = np.r_[sep_a * self.width + ids_a, sep_b * self.width + ids_b]
-        order = np.argsort(np.r_[2 * ga, 2 * gb + 1], kind="stable")
-        return "".join(self.shown[place[order]].tolist())[:-1]
-
-
-def _pairs(ids_a, ends_a, ids_b, ends_b, cuts) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct linked id pairs (a in the upper half) and how often the text links each."""
-    a, b = ids_a[np.searchsorted(ends_a, cuts)], ids_b[np.searchsorted(ends_b, cuts)]
-    return np.unique((a << 32) | b, return_counts=True)
+        return Tokens(*a, *b, a[1][np.isin(a[1], b[1], assume_unique=True)]) if a and b else None
+
+    def parts(self, text: str) -> list[str]:
+        if self.whole:
+            return [text]
+        parts = SAFE_CUT.split(text) if text[0] == " " or UNSAFE.search(text) else text.split(" ")
+        if len(parts) > 1 and not parts[-1]:  # a model puts no space before nothing
+            parts[-2:] = [parts[-2] + " "]
+        return parts
+
+    def _remember(self, parts: list[str]) -> None:
+        """Align parts in one go; halves of those that don't give their bytes back are tried alone."""
+        got = self.align(" ".join(parts))
+        if got is None:
+            if len(parts) == 1:
+                self.known[parts[0]] = None
+            else:
+                self._remember(parts[: len(parts) // 2])
+                self._remember(parts[len(parts) // 2 :])
+            return
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        ga, gb = np.searchsorted(got.cuts, got.a_ends), np.searchsorted(got.cuts, got.b_ends)
+        last_a, last_b = got.cuts[ga] == got.a_ends, got.cuts[gb] == got.b_ends
+        place = np.concatenate([last_a * self.width + got.a_ids, 2 * last_b * self.width + got.b_ids])
+        order = np.argsort(np.concatenate([2 * ga, 2 * gb + 1]), kind="stable")
+        shown = self.shown[place[order]].tolist()
+        pairs = ((got.a_ids[last_a] << 32) | got.b_ids[last_b]).tobytes()
+        na, nb, nc = (np.searchsorted(e, ends, side="right").tolist() for e in (got.a_ends, got.b_ends, got.cuts))
+        i = j = k = 0
+        for part, x, y, z in zip(parts, na, nb, nc):
+            self.known[part] = (x - i, y - j, z - k, "".join(shown[i + j : x + y]), pairs[8 * k : 8 * z])
+            i, j, k = x, y, z
+
+    def summaries(self, texts: list[str | None]) -> list[tuple | None]:
+        """Per text: counts, digest of ``a1,a2|b1;a3|b2,b3`` and the distinct linked id pairs (a id << 32 | b id) with their numbers.
+
+        A text is refused as a whole: None if it is null or empty or any of its bytes is not given back.
+        """
+        split = [self.parts(t) if t else None for t in texts]
+        new = list({p: None for parts in split if parts for p in parts if p not in self.known})
+        chunk, size = [], 0
+        for p in new:
+            # only a part that ends in a solid character can have another behind it
+            if self.whole or not p or UNSAFE.match(p[-1] + " "):
+                self._remember([p])
+                continue
+            chunk.append(p)
+            size += len(p)
+            if size >= CHUNK:
+                self._remember(chunk)
+                chunk, size = [], 0
+        if chunk:
+            self._remember(chunk)
+        out = []
+        for parts in split:
+            got = [self.known[p] for p in parts] if parts else [None]
+            if None in got:
+                out.append(None)
+                continue
+            n_a, n_b, n_groups, shown, pairs = zip(*got)
+            keys, n = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_counts=True)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256("".join(shown)[:-1].encode()).hexdigest(), keys, n))
+        self.chars += sum(map(len, new))
+        if len(self.known) > KNOWN_SEGMENTS or self.chars > KNOWN_CHARS:
+            self.known.clear()
+            self.chars = 0
+        return out
+
+
+def _batches(frames: Iterator[pd.DataFrame], rows: int = 200, chars: int = 2_000_000) -> Iterator[list[tuple]]:
+    held, size = [], 0
+    for f in frames:
+        for row in f.itertuples(index=False, name=None):
+            held.append(row)
+            size += len(row[2]) if isinstance(row[2], str) else 0
+            if len(held) >= rows or size >= chars:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def alignments(df: DataFrame, path_a: str, path_b: str, ident: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
@@ -148,21 +234,16 @@ def alignments(df: DataFrame, path_a: str, path_b: str, ident: str = "doc_id", t
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         al = Aligner(path_a, path_b)
-        none = np.empty(0, np.int64)
-        for frame in frames:
-            # few rows at a time leave the worker: a long text has long arrays
-            for at in range(0, len(frame), 200):
-                out = []
-                for row, doc, t in frame.iloc[at : at + 200].itertuples(index=False):
-                    got = al.align(t if isinstance(t, str) else None)
-                    if got is None:
-                        out.append((row, doc, 0, 0, 0, "", none, none, *([none] * 5 if spans else [])))
-                        continue
-                    keys, n = _pairs(*got)
-                    sha = hashlib.sha256(al.groups_text(*got).encode()).hexdigest()
-                    out.append((row, doc, len(got[0]), len(got[2]), len(got[4]), sha, keys, n, *(got if spans else [])))
-                names = [c.split()[0] for c in (SPAN_SCHEMA if spans else DOC_SCHEMA).split(", ")]
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+        empty = np.empty(0, np.int64)
+        none = (0, 0, 0, "", empty, empty)
+        names = [c.split()[0] for c in (SPAN_SCHEMA if spans else DOC_SCHEMA).split(", ")]
+        for rows in _batches(frames):
+            texts = [t if isinstance(t, str) else None for _, _, t in rows]
+            out = []
+            for (row, doc, _), text, got in zip(rows, texts, al.summaries(texts)):
+                more = () if not spans else tuple(al.align(text)) if got else (empty,) * 5
+                out.append((row, doc, *(got or none), *more))
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     src = df.select(F.monotonically_increasing_id().alias("row"), F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return src.mapInPandas(run, SPAN_SCHEMA if spans else DOC_SCHEMA)
