@@ -162,39 +162,48 @@ def connected(links: DataFrame) -> DataFrame:
     return e.select(c("u").alias("node"), c("v").alias("root")).unionByName(e.select(c("v").alias("node"), c("v").alias("root")).distinct())
 
 
-def _relabel(label: DataFrame | None, links: DataFrame) -> DataFrame:
-    """``id, cls`` of all linked nodes: the smallest label seen over two steps along the links and one jump.
+def _classes(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``id, cls`` of all linked nodes: classes so far, closed over new links.
 
-    A label is always the id of a connected node, so equal labels mean one class; nodes of one
-    class may still differ until the links are closed at the end.
+    Links become links between classes, whose components are few and shallow: most of a group hangs
+    on its pivot at once.
     """
     c = F.col
-    both = links.unionByName(links.select(c("y").alias("x"), c("x").alias("y")))
-    for _ in range(2):
-        if label is None:
-            seen = both.select(c("x").alias("id"), F.least("x", "y").alias("cls"))
-        else:
-            over = both.join(label.withColumnRenamed("id", "y"), "y", "left").select(c("x").alias("id"), F.least("x", F.coalesce("cls", "y")).alias("cls"))
-            seen = label.unionByName(over)
-        label = seen.groupBy("id").agg(F.min("cls").alias("cls"))
-    up = label.select(c("id").alias("cls"), c("cls").alias("to"))
-    return written(label.join(up, "cls", "left").select("id", F.coalesce("to", "cls").alias("cls")), "labels")
+    if label is None:
+        return written(connected(links).select(c("node").alias("id"), c("root").alias("cls")).distinct(), "labels")
+    side = lambda name: label.select(c("id").alias(name), c("cls").alias("c" + name))
+    over = links.join(side("x"), "x", "left").join(side("y"), "y", "left").select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"))
+    root = connected(over)
+    moved = label.join(root, c("cls") == c("node"), "left").select("id", F.coalesce("root", "cls").alias("cls"))
+    new = root.select(c("node").alias("id"), c("root").alias("cls"))
+    return written(moved.unionByName(new.join(label, "id", "left_anti")), "labels")
 
 
-def _fit(percent: int):
-    """Bounds on a joined pair (x, y): sizes, then parity bits, which differ in at most as many
-    places as the sets have unshared n-grams."""
+def _room(percent: int):
+    """Bounds on a joined pair (x, y) by sizes and by what both have left behind the column.
+
+    Behind its first common column a pair shares no more than the shorter rest, so that column
+    passes for every pair that links; later common columns need not pass again.
+    """
     c = F.col
     sizes = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    return sizes & (F.least(c("nx") - c("ix"), c("ny") - c("iy")) * (100 + percent) >= percent * (c("nx") + c("ny")))
+
+
+def _fit(percent: int):
+    """``_room``, then parity bits, which differ in at most as many places as the sets have unshared n-grams."""
+    c = F.col
     apart = sum((F.bit_count(c(f"{s}x").bitwiseXOR(c(f"{s}y"))) for s in BITS), F.lit(0))
-    return sizes & (apart * (100 + percent) <= (100 - percent) * (c("nx") + c("ny")))
+    return _room(percent) & (apart * (100 + percent) <= (100 - percent) * (c("nx") + c("ny")))
 
 
 def _candidates(cols: DataFrame, percent: int, step: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (x, y) of different classes that this round compares, and the columns left for later.
 
-    ``cols`` has (g, id, n, parity bits, cls). Small products come whole: rows outside a column's
-    largest class times all its rows. In a large one a pivot meets all rows of other classes.
+    ``cols`` has (g, id, n, i: place in the row's order of columns, weight, parity bits, cls). Small products come whole: rows outside a column's
+    largest class times all its rows. In a large one a pivot meets all rows of other classes: the row that
+    shares most columns with others, which for near copies of one text is the text itself or close to
+    it; after the first round one outside the largest class, whose own has had its turn.
     """
     c = F.col
     per = cols.groupBy("g", "cls").agg(F.count(F.lit(1)).alias("m"))
@@ -203,15 +212,16 @@ def _candidates(cols: DataFrame, percent: int, step: int) -> tuple[DataFrame, Da
     # sizes that can link lie in the same or in neighbouring steps of this scale
     scale = F.floor(F.log(c("n")) / math.log(100 / percent) + 1e-9).cast("int")
     t = written(cols.join(stat.withColumn("whole", whole).drop("cross", "m"), "g").withColumn("scale", scale), "columns")
-    side = lambda name, *more: t.select("g", c("id").alias(name), c("n").alias(f"n{name}"), *[c(s).alias(f"{s}{name}") for s in BITS], c("cls").alias(f"c{name}"), *more)
+    side = lambda name, *more: t.select("g", c("id").alias(name), c("n").alias(f"n{name}"), c("i").alias(f"i{name}"), *[c(s).alias(f"{s}{name}") for s in BITS], c("cls").alias(f"c{name}"), *more)
+    central = F.max_by(F.struct("x", "nx", "ix", *[f"{s}x" for s in BITS], "cx"), F.struct((c("cx") != c("main")) if step else F.lit(True), "weight", "x"))
     b = side("y", "scale")
     fit = _fit(percent) & (c("cx") != c("cy"))
-    star = side("x", "whole").filter(~c("whole")).groupBy("g").agg(F.min_by(F.struct("x", "nx", *[f"{s}x" for s in BITS], "cx"), F.xxhash64("x", F.lit(step))).alias("p")).select("g", "p.*").join(b, "g").filter(fit).select("x", "y")
+    star = side("x", "whole", "main", "weight").filter(~c("whole")).groupBy("g").agg(central.alias("p")).select("g", "p.*").join(b, "g").filter(fit).select("x", "y")
     if step:
         a = side("x", "main", "whole", "scale").filter(c("whole") & (c("cx") != c("main")))
         rest = a.withColumn("scale", F.explode(F.array(c("scale") - 1, c("scale"), c("scale") + 1))).join(b, ["g", "scale"]).filter(fit & ((c("cy") == c("main")) | (c("x") < c("y"))))
         star = rest.select("x", "y") if step >= PIVOT_ROUNDS else star.unionByName(rest.select("x", "y"))
-    return star, t.filter(~c("whole")).select("g", "id", "n", *BITS)
+    return star, t.filter(~c("whole")).select("g", "id", "n", "i", "weight", *BITS)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -253,26 +263,24 @@ def similarity_classes(df: DataFrame, ident: str = "doc_id", text: str = "text",
     docs = df.select(c(ident).cast("long").alias("id"), c(text).alias("text"))
     rows = written(incidence(docs, k, percent, frequent_ngrams(docs, k)), "incidence")
     sets = written(rows.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), *[F.first(x).alias(x) for x in (*BITS, "prefix")]), "sets")
-    cells = sets.select(F.explode("prefix").alias("g"), "id", "n")
+    cells = sets.select(F.posexplode("prefix").alias("i", "g"), "id", "n")
     # most shared columns hold two sets: those are pairs at once, without a further shuffle
-    held = written(cells.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("n").alias("n0"), F.max("n").alias("n1")).filter("m > 1"), "columns")
-    two = held.filter((c("m") == 2) & (100 * c("n0") >= percent * c("n1"))).select(c("hi").alias("x"), c("lo").alias("y"))
+    ends = [F.min(F.struct("id", "n", "i")).alias("lo"), F.max(F.struct("id", "n", "i")).alias("hi")]
+    held = written(cells.groupBy("g").agg(F.count(F.lit(1)).alias("m"), *ends).filter("m > 1"), "columns")
+    two = held.filter("m = 2").select(c("hi.id").alias("x"), c("hi.n").alias("nx"), c("hi.i").alias("ix"), c("lo.id").alias("y"), c("lo.n").alias("ny"), c("lo.i").alias("iy")).filter(_room(percent)).select("x", "y")
     # of larger columns only rows stay that have a neighbour of a size that can link
     by = Window.partitionBy("g").orderBy("n", "id")
-    many = cells.join(small(held.filter("m > 2").select("g")), "g").select("g", "id", "n", F.lag("n").over(by).alias("less"), F.lead("n").over(by).alias("more"))
-    many = many.filter((100 * c("less") >= percent * c("n")) | (100 * c("n") >= percent * c("more"))).select("g", "id", "n")
-    left = written(many.join(sets.select("id", *BITS), "id"), "cells")
-    links, label, step = None, None, 0
+    many = cells.join(small(held.filter("m > 2").select("g", "m")), "g").select("g", "id", "n", "i", "m", F.lag("n").over(by).alias("less"), F.lead("n").over(by).alias("more"))
+    many = written(many.filter((100 * c("less") >= percent * c("n")) | (100 * c("n") >= percent * c("more"))).select("g", "id", "n", "i", "m"), "many")
+    weights = many.groupBy("id").agg(F.sum("m").alias("weight"))
+    left = written(many.drop("m").join(weights.join(sets.select("id", *BITS), "id"), "id"), "cells")
+    label, step = None, 0
     while step == 0 or not left.isEmpty():
-        known = left.withColumn("cls", c("id")) if label is None else left.join(label, "id", "left").select("g", "id", "n", *BITS, F.coalesce("cls", "id").alias("cls"))
+        known = left.withColumn("cls", c("id")) if label is None else left.join(label, "id", "left").select("g", "id", "n", "i", "weight", *BITS, F.coalesce("cls", "id").alias("cls"))
         pairs, left = _candidates(known, percent, step)
         found = _links(pairs if step else pairs.unionByName(two), sets, docs, k, percent)
-        links = found if links is None else links.unionByName(found)
-        label, step = _relabel(label, found), step + 1
-    comp = sets.select("h1", "h2", "n", "id")
-    side = lambda name: label.select(c("id").alias(name), c("cls").alias("c" + name))
-    root = connected(links.join(side("x"), "x").join(side("y"), "y").select(c("cx").alias("x"), c("cy").alias("y")))
-    comp = comp.join(label, "id", "left").withColumn("cls", F.coalesce("cls", "id")).join(root, c("cls") == root.node, "left").select("h1", "h2", "n", F.coalesce("root", "cls").alias("id"))
+        label, step = _classes(label, found), step + 1
+    comp = sets.select("h1", "h2", "n", "id").join(label, "id", "left").select("h1", "h2", "n", F.coalesce("cls", "id").alias("id"))
     comp = comp.withColumnRenamed("id", "component_id")
     out = rows.select("id", "n", "h1", "h2").join(comp, ["h1", "h2", "n"], "left")
     return out.select(c("id").alias(ident), c("n").alias("n_shingles"), F.when(c("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
