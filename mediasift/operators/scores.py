@@ -37,15 +37,17 @@ def enf_checks(df: DataFrame, keys: Sequence[str], min_frames: int = 6) -> DataF
 
 
 def pitch_checks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pitch change and stability. Expects f0_ratio (of the halves' medians, >= 1), f0_max_z, f0_cv, change_t.
+    """Pitch change and stability. Expects f0_ratio (of the halves' medians, >= 1), f0_max_z, f0_cv, change_t, duration.
 
     A ratio of 1.6 or more, else a z of 6 or more, is a change; variation of 0.15 or more only
-    counts where the ratio doesn't already explain it.
+    counts where the ratio doesn't already explain it. The change lies one second around its time, inside
+    the duration (null: unknown); a change without a time has no place.
     """
     c = F.col
-    r, z = c("f0_ratio"), c("f0_max_z")
+    r, z, t = c("f0_ratio"), c("f0_max_z"), c("change_t")
     f = lambda ty, sev, conf, score, w, **at: finding("voice", ty, sev, conf, score, w, **at)
-    at = {"start": F.greatest(F.lit(0.0), c("change_t") - 1), "end": c("change_t") + 1}
+    # least and greatest pass nulls over: only a known time makes a place
+    at = {"start": F.when(t.isNotNull(), F.greatest(F.lit(0.0), t - 1)), "end": F.when(t.isNotNull(), F.least(c("duration"), t + 1))}
     return explode_rules(df, keys, [
         F.when(r >= 1.6, f("pitch_change", "high", 0.88, F.least(F.lit(0.85), 0.60 + (r - 1.6) * 0.25), 2.0, **at))
         .when(z >= 6, f("pitch_change", "medium", 0.70, 0.40 + F.least((z - 6) / 40, F.lit(0.25)), 2.0, **at)),

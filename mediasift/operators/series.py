@@ -164,7 +164,7 @@ def rolling_deviation(df, keys, order, value: str, window: int = 20, sigma: floa
     return out.filter(F.col("_hi").isNotNull()).drop("_lo", "_hi", "_m", "_s", "_n")
 
 
-def frame_deviation(df, keys, order, value: str, max_window: int = 30, sigma: float = 3.5, min_rows: int = 20, spacing: float = 1.0, split=None) -> DataFrame:
+def frame_deviation(df, keys, order, value: str, max_window: int = 30, sigma: float = 3.5, min_rows: int = 30, spacing: float = 1.0, split=None) -> DataFrame:
     """Frame-list form, with positions at least ``spacing`` apart, and the score per key.
 
     The half window is min(``max_window``, n div 5); a row is off when its mean over [-window,

@@ -60,10 +60,10 @@ def q_detector_scores(spark, d):
     ))
 
 
-@query(f"""WITH {G}, a AS (SELECT k, mx/ax/4 AS r, mx/10 AS z, sx/ax/8 AS cv, n/10.0 AS ct FROM g)
-SELECT k, 'pitch_change' AS type, CASE WHEN r >= 1.6 THEN 'high' ELSE 'medium' END AS severity, {R('CASE WHEN r >= 1.6 THEN 0.88 ELSE 0.7 END')} AS confidence, {R('CASE WHEN r >= 1.6 THEN least(0.85, 0.6+(r-1.6)*0.25) ELSE 0.4+least((z-6)/40, 0.25) END')} AS score, {R('2.0')} AS weight, {R('greatest(0, ct-1)')} AS start_s, {R('ct+1')} AS end_s FROM a WHERE r >= 1.6 OR z >= 6
+@query(f"""WITH {G}, a AS (SELECT k, mx/ax/4 AS r, mx/10 AS z, sx/ax/8 AS cv, CASE WHEN k%3 <> 0 THEN n/10.0 END AS ct, CASE WHEN k%5 <> 0 THEN n/10.0 + 0.5 END AS dur FROM g)
+SELECT k, 'pitch_change' AS type, CASE WHEN r >= 1.6 THEN 'high' ELSE 'medium' END AS severity, {R('CASE WHEN r >= 1.6 THEN 0.88 ELSE 0.7 END')} AS confidence, {R('CASE WHEN r >= 1.6 THEN least(0.85, 0.6+(r-1.6)*0.25) ELSE 0.4+least((z-6)/40, 0.25) END')} AS score, {R('2.0')} AS weight, {R('CASE WHEN ct IS NOT NULL THEN greatest(0, ct-1) END')} AS start_s, {R('CASE WHEN ct IS NOT NULL THEN CASE WHEN dur < ct+1 THEN dur ELSE ct+1 END END')} AS end_s FROM a WHERE r >= 1.6 OR z >= 6
 UNION ALL SELECT k, 'pitch_unstable', 'low', {R('0.5')}, {R('0.18')}, {R('0.5')}, NULL, NULL FROM a WHERE cv >= 0.15 AND r < 1.6""")
 def q_pitch_checks(spark, d):
     c = F.col
-    g = grouped(spark, d).select("k", (c("mx") / c("ax") / 4).alias("f0_ratio"), (c("mx") / 10).alias("f0_max_z"), (c("sx") / c("ax") / 8).alias("f0_cv"), (c("n") / 10).alias("change_t"))
+    g = grouped(spark, d).select("k", (c("mx") / c("ax") / 4).alias("f0_ratio"), (c("mx") / 10).alias("f0_max_z"), (c("sx") / c("ax") / 8).alias("f0_cv"), F.when(c("k") % 3 != 0, c("n") / 10).alias("change_t"), F.when(c("k") % 5 != 0, c("n") / 10 + 0.5).alias("duration"))
     return tidy(X.pitch_checks(g, K).select("k", "type", "severity", "confidence", "score", "weight", "start_s", "end_s"))

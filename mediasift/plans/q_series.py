@@ -216,7 +216,7 @@ def q_flux_events(spark, d):
 
 
 @query(f"""WITH RECURSIVE {SERIES}, p AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY k) AS n, avg(x) OVER (PARTITION BY k) AS mu, stddev_pop(x) OVER (PARTITION BY k) AS sd, sum(x) OVER w AS cs FROM series WINDOW w AS (PARTITION BY k ORDER BY t, tie)),
-q AS (SELECT *, least(30, n // 5) AS wd FROM p WHERE n >= 20),
+q AS (SELECT *, least(30, n // 5) AS wd FROM p WHERE n >= 30),
 o AS (SELECT q.k, q.t, row_number() OVER (PARTITION BY q.k ORDER BY q.t) AS r FROM q JOIN q AS h ON h.k=q.k AND h.i=q.i+q.wd-1 LEFT JOIN q AS l ON l.k=q.k AND l.i=q.i-q.wd-1 WHERE q.i >= q.wd AND q.i < q.n-q.wd AND abs((h.cs-coalesce(l.cs,0))/(2*q.wd) - q.mu) > 0.2*q.sd GROUP BY q.k, q.t),
 kp(k, t, r) AS (SELECT k, t, r FROM o WHERE r = 1 UNION ALL SELECT z.k, z.t, z.r FROM (SELECT kp.k, min(o.r) AS r FROM kp JOIN o ON o.k=kp.k AND o.t >= kp.t + 24 AND o.r > kp.r GROUP BY kp.k) m JOIN o z ON z.k=m.k AND z.r=m.r),
 u AS (SELECT DISTINCT k, t FROM kp), c AS (SELECT k, count(*) AS n FROM series GROUP BY k)

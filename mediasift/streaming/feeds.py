@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mediasift.plans.results import job_status
+from mediasift.session import written
 
 
 def read_feed(spark: SparkSession, path: str, schema: str, fmt: str = "json", files_per_trigger: int | None = None) -> DataFrame:
@@ -56,21 +58,42 @@ def drop_repeats(stream: DataFrame, ts: str, content_hash: str, ttl: str = "24 h
     return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([content_hash])
 
 
-def upsert_jobs(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Job events reduced per batch and kept as one folder per batch.
+LEDGER_KEY = ["job_id", "state", "t", "seq"]
 
-    A replayed batch overwrites its own folder, so the ledger stays the same;
-    nothing already written is rewritten.
+
+def upsert_jobs(stream: DataFrame, path: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
+    """Job events merged by key into a ledger of ``parts`` key-hash partitions.
+
+    A batch reads only the partitions that its jobs hash to, as the partition filter of the scan, and rewrites those
+    (dynamic overwrite); one row per job, state, time and number stays, whoever wrote it. So a replayed batch changes
+    nothing, and queries with own checkpoints add to one ledger, one after the other: two at once
+    would each keep what the other has not yet written.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # one row per (job, state, time): repeats in a batch collapse before the write
-        batch.dropDuplicates(["job_id", "state", "t", "seq"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(LEDGER_KEY).withColumn("part", F.pmod(F.xxhash64("job_id"), F.lit(parts)).cast("int"))
+        new = written(new, "jobs")
+        touched = sorted(r.part for r in new.select("part").distinct().collect())  # at most ``parts`` numbers
+        if not touched:
+            return
+        try:
+            old = ledger(spark, path).filter(F.col("part").isin(touched))
+        except AnalysisException:  # no ledger yet
+            old = None
+        both = new if old is None else old.select(new.columns).unionByName(new).dropDuplicates(LEDGER_KEY)
+        # what is overwritten is also read: the merged rows are written aside first
+        merged = written(both.repartition(min(parts, len(touched)), "part"), "merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a ledger with their partition."""
+    return spark.read.option("basePath", path).parquet(path)
+
+
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     """Current status of every job."""
-    e = spark.read.option("basePath", path).parquet(path).dropDuplicates(["job_id", "state", "t", "seq"])
-    return job_status(e, ["job_id"], "state", "t", "seq")
+    return job_status(ledger(spark, path), ["job_id"], "state", "t", "seq")

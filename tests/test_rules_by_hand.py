@@ -94,3 +94,16 @@ def test_case_store_is_safe_to_repeat(spark, tmp_path):
     for _ in range(2):
         S.write_case_tables(t, str(tmp_path / "s"))
     assert {n: d.count() for n, d in S.read_case_tables(spark, str(tmp_path / "s")).items()} == dict.fromkeys(S.CASE_TABLES, 1)
+
+
+def test_pitch_change_lies_inside_the_duration(spark):
+    sch = "k int, f0_ratio double, f0_max_z double, f0_cv double, change_t double, duration double"
+    rows = [(1, 1.7, None, None, None, 10.0), (2, 1.7, None, None, 0.4, 10.0), (3, 1.0, 7.0, 0.0, 9.5, 10.0), (4, 1.0, 7.0, 0.0, 9.5, None)]
+    got = {r.k: (r.start_s, r.end_s) for r in X.pitch_checks(spark.createDataFrame(rows, sch), ["k"]).collect()}
+    assert got == {1: (None, None), 2: (0.0, 1.4), 3: (8.5, 10.0), 4: (8.5, 10.5)}
+
+
+def test_frame_deviation_needs_thirty_frames(spark):
+    rows = [(n, float(i), i, 0.0 if i < n // 2 else 100.0) for n in (29, 30) for i in range(n)]
+    got = W.frame_deviation(spark.createDataFrame(rows, "k int, t double, i int, x double"), ["k"], ["t", "i"], "x", sigma=0.5).collect()
+    assert [r.k for r in got] == [30]

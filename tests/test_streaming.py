@@ -176,3 +176,27 @@ def test_repeats_and_ledger(spark, tmp_path):
         feeds.upsert_jobs(feeds.read_feed(spark, str(jobs), schema, "json", 2), out, str(tmp_path / ck)).awaitTermination()
         got = {r.job_id: (r.status, r.duration) for r in feeds.read_jobs(spark, out).collect()}
         assert got == {"j1": ("completed", 5.0), "j2": ("failed", 5.0)}
+
+
+def test_ledger_keeps_the_jobs_of_two_queries(spark, tmp_path):
+    schema = "job_id string, state string, t double, seq bigint"
+    out = str(tmp_path / "ledger")
+
+    def feed(name, events):
+        src = tmp_path / name
+        src.mkdir()
+        for i, e in enumerate(events):
+            (src / f"e{i}.json").write_text(json.dumps(dict(zip(("job_id", "state", "t", "seq"), e))))
+        return lambda ck: feeds.upsert_jobs(feeds.read_feed(spark, str(src), schema, "json", 1), out, str(tmp_path / ck), parts=4).awaitTermination()
+
+    a, b = feed("a", [("a", "PENDING", 0.0, 1), ("a", "SUCCESS", 3.0, 2)]), feed("b", [("b", "STARTED", 1.0, 3), ("a", "STARTED", 1.0, 4)])
+    a("ca")
+    b("cb")
+    want = {"a": ("completed", 3.0), "b": ("running", None)}
+    state = lambda: ({r.job_id: (r.status, r.duration) for r in feeds.read_jobs(spark, out).collect()}, sorted(tuple(r) for r in feeds.ledger(spark, out).select(*feeds.LEDGER_KEY).collect()))
+    assert state()[0] == want and len(state()[1]) == 4
+    before = state()
+    a("replay")  # a fresh checkpoint sends everything again
+    assert state() == before
+    plan = feeds.ledger(spark, out).filter(F.col("part").isin([1]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
