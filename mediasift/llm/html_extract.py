@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,8 +20,9 @@ from mediasift.llm.common import few_by_hash
 
 # Element kinds of the HTML standard, and tokens common in class and id attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title head".split())
+RAW = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas textarea select title head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 ENDS_P = frozenset("address article aside blockquote body center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 GROUPS = ("article main", "p", "h1 h2 h3 h4 h5 h6", "nav menu", "header", "footer", "aside", "form fieldset button legend dialog", "ul ol li dl dt dd", "table tbody thead tr td th", "div section", "body html", "blockquote pre figure figcaption")
 GOOD = "article content main body post entry story text page blog read paragraph prose".split()
@@ -44,10 +46,18 @@ class Page:
 
 
 def parse(source: str | None) -> Page:
-    """Read HTML as browsers do where it matters here: implied ends, stray ends and cut-off pages."""
+    """Read HTML as browsers do where it matters here: implied ends, stray ends and cut-off pages.
+
+    Time is linear in the page: places of open elements are kept by name, open inline tags are counted, and a search
+    for an end tag that isn't there is made once per name. Text of formulas stands in the line.
+    """
     s, page = source or "", Page(["html"], [-1], [[]])
-    stack, inline, buf = [0], [], []
+    stack, buf = [0], []
+    places: dict[str, list[int]] = {"html": [0]}  # places in the stack of the open elements of each name
+    inline: Counter = Counter()
+    endless: set[str] = set()
     link_chars = tags = 0
+    body = False
 
     def flush():
         nonlocal link_chars, tags
@@ -62,17 +72,25 @@ def parse(source: str | None) -> Page:
         if part:
             part = html.unescape(part)
             buf.append(part)
-            if "a" in inline:
+            if inline["a"]:
                 link_chars += len(part.strip())
 
+    def last(names) -> int:
+        return max((at[-1] for n in names if (at := places.get(n))), default=-1)
+
     def close(names, stop=()):
-        for k in range(len(stack) - 1, 0, -1):
-            if page.tag[stack[k]] in names:
-                flush()
-                del stack[k:]
-                return
-            if page.tag[stack[k]] in stop:
-                return
+        k = last(names)
+        if k > max(0, last(stop)):
+            flush()
+            while len(stack) > k:
+                places[page.tag[stack.pop()]].pop()
+
+    def search(name: str, pattern: str, at: int):
+        """The next match, looked for once if there is none."""
+        found = None if name in endless else re.compile(pattern, re.I).search(s, at)
+        if found is None:
+            endless.add(name)
+        return found
 
     at = 0
     while (m := _TOKEN.search(s, at)) is not None:
@@ -89,41 +107,45 @@ def parse(source: str | None) -> Page:
         elif name in RAW:
             if not end and not rest.endswith("/"):
                 if name != "head":  # what is in it is never text; the head only if it ends
-                    stop = re.compile(rf"</{name}[\s/>]", re.I).search(s, at)
+                    stop = search(name, rf"</{name}[\s/>]", at)
                     at = len(s) if stop is None and name in ("script", "style", "textarea", "title") else at if stop is None else s.find(">", stop.start()) + 1 or len(s)
-                elif (stop := re.compile(r"</head\s*>|<body[\s>]", re.I).search(s, at)) is not None:
+                elif (stop := search(name, r"</head\s*>|<body[\s>]", at)) is not None:
                     at = stop.end() if stop[0][1] == "/" else stop.start()
-        elif name in INLINE:
+        elif name in INLINE or name in MATH:
             tags += 1
             if not end:
-                inline.append(name)
-            elif name in inline:
-                del inline[len(inline) - 1 - inline[::-1].index(name)]
+                inline[name] += 1
+            elif inline[name]:
+                inline[name] -= 1
         elif name in ("html", "hr") or (end and name in VOID):
             flush()
         elif name in VOID:
             tags += 1
         elif end:
-            close({name}, ("table",) if name not in ("table", "body") and name not in ENDS_P else ())
+            close((name,), ("table",) if name not in ("table", "body") and name not in ENDS_P else ())
         else:
             flush()
             if name in ENDS_P:
-                close({"p"}, ("table", "td", "th", "button"))
+                close(("p",), ("table", "td", "th", "button"))
             if name == "li":
-                close({"li"}, ("ul", "ol", "menu"))
+                close(("li",), ("ul", "ol", "menu"))
             elif name in ("dt", "dd"):
-                close({"dt", "dd"}, ("dl",))
+                close(("dt", "dd"), ("dl",))
             elif name in ("td", "th"):
-                close({"td", "th"}, ("tr", "table"))
+                close(("td", "th"), ("tr", "table"))
             elif name == "tr":
-                close({"tr"}, ("table",))
-            elif name == "body" and "body" in page.tag:
-                continue
-            inline = [x for x in inline if x != "a"] if name in ENDS_P else inline
+                close(("tr",), ("table",))
+            elif name == "body":
+                if body:
+                    continue
+                body = True
+            if name in ENDS_P:
+                inline["a"] = 0
             page.tag.append(name)
             page.parent.append(stack[-1])
             page.attrs.append([p.lower() for a in _ATTR.findall(rest) for p in _PARTS.findall(a[1] or a[2] or a[3])] if "=" in rest else [])
             if not rest.endswith("/"):
+                places.setdefault(name, []).append(len(stack))
                 stack.append(len(page.tag) - 1)
     else:
         text(s[at:])
@@ -312,7 +334,8 @@ def extract(pages: DataFrame, model: Extractor, source: str = "html", into: str
 
     Character references are decoded; white space inside a block becomes one space. Null and
     empty pages and pages without main text give an empty text; pages that break off are read to
-    their end; repeated rows give equal texts; an existing column ``into`` is replaced.
+    their end, and very long, deep or never closed ones in time linear in their length; repeated rows give
+    equal texts; an existing column ``into`` is replaced; an empty table stays empty.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
