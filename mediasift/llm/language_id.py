@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from mediasift.llm.common import few_by_hash
-
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, accepted boolean"
 _ALPHA: list[np.ndarray] = []
@@ -142,21 +139,30 @@ def fit(texts: list[str], langs: list[str], bits: int = 15, dim: int = 8, epochs
     return LanguageModel(labels, table, bias, temperature, threshold, bits)
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 4000, max_chars: int = 50_000, min_per_lang: int = 200) -> LanguageModel:
-    """Fit on a bounded sample of the labelled rows: at most ``max_docs`` texts of at most ``max_chars``.
+def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 4000, max_chars: int = 5_000, min_per_lang: int = 200) -> LanguageModel:
+    """Fit on a bounded sample of the labelled rows: about ``max_docs`` texts in proportion to the languages, and of each
+    language at least ``min_per_lang`` if it has so many, so that every label is learned, however small its share.
 
-    A language with fewer than ``min_per_lang`` rows in it has up to so many of its own instead, so
-    that every label is learned, however small its share.
-    The sample takes rows by the hash of their key, so it is the same on every run. Null texts and labels are left out; without any row the model knows no label.
+    A text longer than ``max_chars`` gives an excerpt of that length, at a place that its hash names; so the sample has at most
+    texts times ``max_chars`` characters. The languages are counted in one pass and all samples are taken in a second, by the hash of
+    key and text: the same rows on every run, whatever the number of languages or partitions. Null texts and labels
+    are left out; without any row the model knows no label.
     """
-    known = df.filter(F.col(lang).isNotNull())
-    rows = known.filter(F.length(text) <= max_chars).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key).cast("string"), F.lit("lang")).alias("h"))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
-    got = few_by_hash(rows, "h", max_docs, sum(counts.values())).orderBy("h", "t", "l").limit(max_docs).collect()
-    have = Counter(r.l for r in got)
-    for l in sorted(l for l, n in counts.items() if have[l] < min(n, min_per_lang)):
-        own = few_by_hash(rows.filter(F.col("l") == l), "h", min_per_lang, counts[l]).orderBy("h", "t").limit(min_per_lang).collect()
-        got = [r for r in got if r.l != l] + own
+    c = F.col
+    known = df.filter(c(lang).isNotNull() & c(text).isNotNull()).select(c(text).alias("t"), c(lang).alias("l"), F.xxhash64(c(key).cast("string"), F.lit("lang")).alias("h"))
+    counts = {r["l"]: r["count"] for r in known.groupBy("l").count().collect()}
+    total = sum(counts.values())
+    if not total:
+        return fit([], [])
+    want = {l: max(min(n, min_per_lang), -(-max_docs * n // total)) for l, n in counts.items()}
+    per = lambda f: F.create_map(*[F.lit(x) for l in sorted(counts) for x in (l, f(l))])[c("l")]
+    # a hash bound per language leaves a few times what is wanted before anything is sorted
+    bound = per(lambda l: int(min(1.0, 4.0 * want[l] / counts[l]) * (1 << 30)) + 1)
+    start = 1 + F.pmod(c("h"), F.greatest(F.lit(1), F.length("t") - max_chars + 1)).cast("int")
+    few = known.filter(F.pmod(c("h"), F.lit(1 << 30)) < bound).select("l", "h", F.substring("t", start, F.lit(max_chars)).alias("t"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
+    got = few.withColumn("r", rank).filter(c("r") <= per(lambda l: want[l])).drop("r").collect()
+    got = sorted(got, key=lambda r: (r.h, r.t, r.l))
     return fit([r.t for r in got], [r.l for r in got])
 
 
