@@ -148,9 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     """
     known = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     hashed = known.withColumn("h", F.xxhash64(F.col("k").cast("string"), F.lit("quality")))
-    picked = few_by_hash(hashed, "h", max_docs, known.count()).orderBy("h", "k", "y").limit(max_docs).drop("h")
+    picked = few_by_hash(hashed, "h", max_docs, known.count()).orderBy("h", "k", "y").limit(max_docs)
     short = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.coalesce(F.length("t"), F.lit(0)) <= max_chars)
-    got = sorted(short.join(F.broadcast(picked), "k").limit(2 * max_docs).collect(), key=lambda r: (r.k, r.t or "", r.y))
+    # labelled ids may repeat: which rows stay is settled by hash and text, not by partitions
+    near = short.join(F.broadcast(picked), "k").orderBy("h", "k", F.xxhash64("t"), "y").limit(2 * max_docs)
+    got = sorted(near.collect(), key=lambda r: (r.k, r.t or "", r.y))
     return fit([r.t for r in got], [r.y for r in got])
 
 
