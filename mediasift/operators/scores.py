@@ -21,11 +21,15 @@ SUB_WEIGHTS = {
 
 def enf_checks(df: DataFrame, keys: Sequence[str], min_frames: int = 6) -> DataFrame:
     """Mains-frequency checks. Expects n_frames, discontinuity, freq_std, enf_present, snr_fund, snr_harm."""
-    c = F.col
+    return explode_rules(df, keys, enf_rules(F.col, min_frames))
+
+
+def enf_rules(c, min_frames: int = 6) -> list[Column]:
+    """Rule columns of ``enf_checks``; ``c`` gives the column of a name."""
     enough = c("n_frames") >= min_frames
     d, s = c("discontinuity"), c("freq_std")
     f = lambda ty, sev, conf, score, w: finding("enf", ty, sev, conf, score, w)
-    return explode_rules(df, keys, [
+    return [
         F.when(enough & (d >= 4), f("phase", "high", F.when(c("enf_present"), 0.82).otherwise(0.52), F.least(F.lit(0.90), 0.65 + (d - 4) * 0.04), 2.0))
         .when(enough & (d >= 2.5), f("phase", "medium", F.when(c("enf_present"), 0.65).otherwise(0.38), 0.45 + (d - 2.5) * 0.05, 2.0)),
         F.when(enough & c("enf_present") & (s >= 0.10), f("drift", "medium", 0.55, F.least(F.lit(0.6), 0.4 + (s - 0.10) * 2), 0.6))
@@ -33,7 +37,7 @@ def enf_checks(df: DataFrame, keys: Sequence[str], min_frames: int = 6) -> DataF
         F.when((c("snr_harm") > -2) & (c("snr_fund") <= -2), f("harmonic_only", "low", 0.45, 0.20, 0.3)),
         # informs only: no score
         F.when(~c("enf_present"), f("absent", "low", 0.90, F.lit(None).cast("double"), 0.0)),
-    ])
+    ]
 
 
 def pitch_checks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -43,16 +47,20 @@ def pitch_checks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     counts where the ratio doesn't already explain it. The change lies one second around its time, inside
     the duration (null: unknown); a change without a time has no place.
     """
-    c = F.col
+    return explode_rules(df, keys, pitch_rules(F.col))
+
+
+def pitch_rules(c) -> list[Column]:
+    """Rule columns of ``pitch_checks``; ``c`` gives the column of a name."""
     r, z, t = c("f0_ratio"), c("f0_max_z"), c("change_t")
     f = lambda ty, sev, conf, score, w, **at: finding("voice", ty, sev, conf, score, w, **at)
     # least and greatest pass nulls over: only a known time makes a place
     at = {"start": F.when(t.isNotNull(), F.greatest(F.lit(0.0), t - 1)), "end": F.when(t.isNotNull(), F.least(c("duration"), t + 1))}
-    return explode_rules(df, keys, [
+    return [
         F.when(r >= 1.6, f("pitch_change", "high", 0.88, F.least(F.lit(0.85), 0.60 + (r - 1.6) * 0.25), 2.0, **at))
         .when(z >= 6, f("pitch_change", "medium", 0.70, 0.40 + F.least((z - 6) / 40, F.lit(0.25)), 2.0, **at)),
         F.when((c("f0_cv") >= 0.15) & ~F.coalesce(r >= 1.6, F.lit(False)), f("pitch_unstable", "low", 0.50, 0.18, 0.5)),
-    ])
+    ]
 
 
 def lowpass_checks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -61,7 +69,11 @@ def lowpass_checks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     Expects steepness, total_drop, cutoff, ceiling_hz, n_segments, ceiling_cv, uncompressed (PCM, FLAC or
     unknown codec), lossy, bitrate_kbps, nyquist.
     """
-    c = F.col
+    return explode_rules(df, keys, lowpass_rules(F.col))
+
+
+def lowpass_rules(c) -> list[Column]:
+    """Rule columns of ``lowpass_checks``; ``c`` gives the column of a name."""
     st = c("steepness")
     edge = (st >= 20) & (c("total_drop") >= 15)
     base = F.when(st >= 40, F.least(F.lit(0.85), 0.60 + (st - 40) / 200)).otherwise(0.40 + (st - 20) / 100)
@@ -69,12 +81,12 @@ def lowpass_checks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     deficit = F.try_divide(expected - c("cutoff"), expected) * 100
     want = 0.65 * F.least(c("bitrate_kbps") * 1000 / 16, 0.9 * c("nyquist"))
     f = lambda ty, sev, conf, score, w: finding("compression", ty, sev, conf, score, w)
-    return explode_rules(df, keys, [
+    return [
         F.when(c("uncompressed") & edge, f("lowpass", "high", 0.88, F.least(F.lit(0.90), base + 0.10), 2.0)),
         F.when(c("ceiling_hz").isNotNull() & c("cutoff").isNotNull() & (deficit > 25), f("expectation", "medium", 0.65, F.least(F.lit(0.6), 0.3 + deficit / 200), 1.0)),
         F.when(c("uncompressed") & (c("n_segments") >= 5) & (c("ceiling_cv") > 0.12), f("moving_ceiling", "medium", 0.65, 0.40, 0.8)),
         F.when(c("lossy") & (c("bitrate_kbps") > 0) & (st >= 20) & (c("cutoff") < want), f("bandwidth_use", "medium", 0.60, 0.35, 0.7)),
-    ])
+    ]
 
 
 def spectral_score(centroid: Column, rms: Column, profile: Column, onset: Column) -> Column:

@@ -529,29 +529,38 @@ def audio_checks(df: DataFrame, keys) -> DataFrame:
     lossy. Bands and weights are the published defaults of the noise, room and
     voice detectors.
     """
-    from mediasift.functions.exprs import explode_rules, finding
+    from mediasift.functions.exprs import explode_rules
 
-    c = F.col
-    f = lambda m, ty, sev, score, w: finding(m, ty, sev, score=score, weight=w)
-    tilt = F.when(~c("lossy") & (c("tilt_cv") >= 0.15), f("noise", "tilt", "high", F.least(F.lit(0.85), 0.55 + (c("tilt_cv") - 0.15) * 0.5), 1.5)).when(
-        ~c("lossy") & (c("tilt_cv") >= 0.04), f("noise", "tilt", "medium", 0.35 + (c("tilt_cv") - 0.04) * 1.5, 1.5)
-    )
-    room_z = F.when(c("max_z") >= 8, f("reverberation", "change", "high", F.least(F.lit(0.8), 0.55 + F.least(c("max_z") - 8, F.lit(20.0)) / 60), 2.0)).when(
-        c("max_z") >= 4, f("reverberation", "change", "medium", 0.35 + (c("max_z") - 4) / 20, 2.0)
-    )
-    ltas = F.when(c("lsd") >= 9, f("voice", "spectrum", "high", F.least(F.lit(0.75), 0.55 + (c("lsd") - 9) / 30), 1.5)).when(
-        c("lsd") >= 6, f("voice", "spectrum", "medium", 0.35 + (c("lsd") - 6) / 15, 1.5)
-    )
-    return explode_rules(
-        df,
-        list(keys),
-        [
-            tilt,
-            F.when(~c("lossy") & (c("hfe_cv") >= 0.15), f("noise", "high_band", "low", 0.20, 0.5)),
-            F.when((c("rms_cv") >= 0.25) & (c("half_ratio") > 1.5), f("noise", "level", "low", 0.20, 0.4)),
-            room_z,
-            F.when((c("sfm_cv") >= 0.015) & (c("max_z") < 8), f("reverberation", "flatness", "low", 0.18, 0.5)),
-            F.when((c("sub_ratio") >= 3) & (c("max_z") >= 4), f("reverberation", "sub_bass", "low", 0.20, 0.4)),
-            ltas,
-        ],
-    )
+    return explode_rules(df, list(keys), [*noise_rules(F.col), *room_rules(F.col), *voice_rules(F.col)])
+
+
+def _sensitivity(module: str):
+    from mediasift.functions.exprs import finding
+
+    return lambda ty, sev, score, w: finding(module, ty, sev, score=score, weight=w)
+
+
+def noise_rules(c) -> list[Column]:
+    """Noise rules of ``audio_checks``; ``c`` gives the column of a name."""
+    f, tilt, clean = _sensitivity("noise"), c("tilt_cv"), ~c("lossy")
+    return [
+        F.when(clean & (tilt >= 0.15), f("tilt", "high", F.least(F.lit(0.85), 0.55 + (tilt - 0.15) * 0.5), 1.5)).when(clean & (tilt >= 0.04), f("tilt", "medium", 0.35 + (tilt - 0.04) * 1.5, 1.5)),
+        F.when(clean & (c("hfe_cv") >= 0.15), f("high_band", "low", 0.20, 0.5)),
+        F.when((c("rms_cv") >= 0.25) & (c("half_ratio") > 1.5), f("level", "low", 0.20, 0.4)),
+    ]
+
+
+def room_rules(c) -> list[Column]:
+    """Room rules of ``audio_checks``."""
+    f, z = _sensitivity("reverberation"), c("max_z")
+    return [
+        F.when(z >= 8, f("change", "high", F.least(F.lit(0.8), 0.55 + F.least(z - 8, F.lit(20.0)) / 60), 2.0)).when(z >= 4, f("change", "medium", 0.35 + (z - 4) / 20, 2.0)),
+        F.when((c("sfm_cv") >= 0.015) & (z < 8), f("flatness", "low", 0.18, 0.5)),
+        F.when((c("sub_ratio") >= 3) & (z >= 4), f("sub_bass", "low", 0.20, 0.4)),
+    ]
+
+
+def voice_rules(c) -> list[Column]:
+    """Spectrum rule of ``audio_checks``."""
+    f, d = _sensitivity("voice"), c("lsd")
+    return [F.when(d >= 9, f("spectrum", "high", F.least(F.lit(0.75), 0.55 + (d - 9) / 30), 1.5)).when(d >= 6, f("spectrum", "medium", 0.35 + (d - 6) / 15, 1.5))]
