@@ -167,7 +167,7 @@ for _k, _v in NAMES.items():
 
 
 @query(f"""WITH {IMG}, a AS (SELECT k, list_filter([{_el}], lambda x: x IS NOT NULL) AS el, length(jpeg) AS nf, {BAND.format('likelihood')} AS rb FROM img)
-SELECT k, CASE WHEN len(el)=0 THEN 'No detectors elevated. ' || nf || ' findings recorded across 7 checks.' ELSE len(el) || ' of 7 ' || CASE WHEN len(el)=1 THEN 'detector' ELSE 'detectors' END || ' elevated. Elevated: ' || array_to_string(el, ', ') || '. ' || nf || ' findings recorded.' END AS summary,
+SELECT k, CASE WHEN len(el)=0 THEN 'All 7 checks stayed under their limits; findings: ' || nf || '.' ELSE 'Over the limit in ' || len(el) || '/7 checks (' || array_to_string(el, ', ') || '); findings: ' || nf || '.' END AS summary,
  concat_ws(' ', CASE rb WHEN 'high' THEN 'Strong signals from several checks.' WHEN 'elevated' THEN 'Some checks are above their normal range.' ELSE 'No strong signals.' END, CASE WHEN len(el) > 0 THEN 'See: ' || array_to_string(el[1:3], ', ') || '.' END, CASE WHEN len(el) > 3 THEN 'Also recorded: ' || array_to_string(el[4:], ', ') || '.' END) AS meaning FROM a""")
 def q_summary_text(spark, d):
     i = images(spark, d).withColumn("el", elevated_col())
