@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mediasift.functions.exprs import stable_id
+from mediasift.operators import chunks as C
 from mediasift.plans.bindings import SERIES, series, table
 from mediasift.plans.q_stats import CHECKS, checks
 from mediasift.plans.registry import R, query, tidy
@@ -53,7 +54,7 @@ def q_normalise_signal(spark, d):
     # assets below five carry the left channel twice
     left = ch.filter("ch = 0").select("chunk_no", F.col("embedding").alias("_l"))
     ch = ch.join(left, "chunk_no").withColumn("samples", F.transform(F.when(F.col("k") < 5, F.col("_l")).otherwise(F.col("embedding")), lambda v: v.cast("double") * 1000))
-    return tidy(M.channel_identity(M.mono_mix(ch, K, "ch", "chunk_no", "samples", "int16"), K), 9)
+    return tidy(C.chunk_identity(C.mix_chunks(ch, K, "ch", "chunk_no", "samples", "int16"), K), 9)
 
 
 I = "i AS (SELECT k, t, tie, row_number() OVER (PARTITION BY k ORDER BY t, tie) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM series)"
