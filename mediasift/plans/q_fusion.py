@@ -35,7 +35,7 @@ def video_scores(spark, d):
 AW = "CASE module WHEN 'enf' THEN 0.30 WHEN 'noise' THEN 0.22 WHEN 'compression' THEN 0.18 WHEN 'voice' THEN 0.10 WHEN 'metadata' THEN 0.08 END"
 
 
-@query(f"""WITH {SCORES}, act AS (SELECT *, CAST({AW} AS DOUBLE) AS w FROM scores WHERE NOT skipped), sk AS (SELECT k, string_agg(module, ',' ORDER BY module) FILTER (WHERE skipped) AS skipped_modules FROM scores GROUP BY k),
+AFUSE = f"""{SCORES}, act AS (SELECT *, CAST({AW} AS DOUBLE) AS w FROM scores WHERE NOT skipped), sk AS (SELECT k, string_agg(module, ',' ORDER BY module) FILTER (WHERE skipped) AS skipped_modules FROM scores GROUP BY k),
 fl AS (SELECT k, bool_or(module='enf' AND (score >= 0.3 OR enf_present OR snr_db > 5)) AS ep, bool_or(module <> 'metadata' AND score >= 0.35) AS ael, coalesce(sum(w) FILTER (WHERE module='enf'),0) AS ew, sum(w) AS tw, count(*) AS na FROM act GROUP BY k),
 adj AS (SELECT act.k, module, confidence, CASE WHEN module='metadata' THEN CASE WHEN ael THEN least(score,0.25) ELSE 0 END ELSE score END AS s,
  CASE WHEN ep OR ew = 0 THEN w WHEN module='enf' THEN 0 ELSE w*(1+ew/nullif(tw-ew,0)) END AS w, ep FROM act JOIN fl ON act.k=fl.k),
@@ -43,9 +43,13 @@ b AS (SELECT k, bool_or(ep) AS ep, sum(s*w)/nullif(sum(w),0) AS base, max(CASE W
  count(*) FILTER (WHERE module <> 'metadata' AND s >= 0.35) AS ne, avg(s) FILTER (WHERE module <> 'metadata' AND s >= 0.35) AS em, stddev_pop(s) FILTER (WHERE module <> 'metadata' AND s >= 0.35) AS es, avg(confidence) FILTER (WHERE module <> 'metadata' AND s >= 0.35) AS ec,
  max(s) FILTER (WHERE module <> 'metadata' AND s >= 0.35) AS ex, string_agg(module, ',' ORDER BY module) FILTER (WHERE module <> 'metadata' AND s >= 0.35) AS el FROM adj GROUP BY k),
 f AS (SELECT sk.k, coalesce(na,0) AS na, coalesce(ep AND base IS NOT NULL,false) AS ep, base, CASE WHEN ne >= 2 THEN CASE ne WHEN 2 THEN 1.10 WHEN 3 THEN 1.17 WHEN 4 THEN 1.22 ELSE 1.26 END ELSE 1.0 END AS fac, greatest(base,esc) AS lif, cf, coalesce(ne,0) AS ne, em, es, ec, ex, coalesce(el,'') AS el, skipped_modules FROM sk LEFT JOIN b ON sk.k=b.k),
-h AS (SELECT *, coalesce(least(1.0, lif*fac),0) AS fu FROM f)
+h AS (SELECT *, coalesce(least(1.0, lif*fac),0) AS fu FROM f)"""
+ACONF = "coalesce(least(0.92, greatest(0.30, cf*CASE WHEN ne >= 2 THEN 1+0.15*greatest(0.0,1-es/(em+1e-6)) ELSE 1 END)),0.30)"
+
+
+@query(f"""WITH {AFUSE}
 SELECT k, na AS n_active, ep AS enf_present, {R('coalesce(base,0)')} AS base_score, {R('fu')} AS fused, {R('CASE WHEN base IS NULL THEN 1.0 ELSE fac END')} AS corroboration,
- {R('coalesce(least(0.92, greatest(0.30, cf*CASE WHEN ne >= 2 THEN 1+0.15*greatest(0.0,1-es/(em+1e-6)) ELSE 1 END)),0.30)')} AS confidence,
+ {R(ACONF)} AS confidence,
  CASE WHEN base IS NULL THEN 'inconclusive' WHEN fu < 0.2 THEN 'likely_authentic' WHEN fu < 0.4 THEN 'inconclusive' WHEN fu < 0.65 THEN 'likely_tampered' ELSE 'tampered' END AS verdict, ne AS n_elevated, el AS elevated_modules,
  CASE WHEN fu < 0.4 OR ne = 0 THEN 'none' WHEN ne = 1 AND ex >= 0.55 AND ec < 0.65 THEN 'sole_supporter' WHEN ec < 0.5 THEN 'low_confidence' ELSE 'none' END AS conflict,
  CASE WHEN base IS NULL THEN 'no usable scores' ELSE concat_ws('; ', CASE WHEN NOT ep THEN 'mains signal absent, weight redistributed' END, CASE WHEN skipped_modules IS NOT NULL THEN 'skipped: ' || skipped_modules END, CASE WHEN na < 3 THEN 'only ' || na || ' usable scores' END) END AS note FROM h""")
@@ -115,9 +119,12 @@ def elevated_col():
 BAND = "CASE WHEN {0} < 40 THEN 'low' WHEN {0} < 75 THEN 'elevated' ELSE 'high' END"
 
 
-@query(f"""WITH {VFUSE}, {IMG}, im AS (SELECT k, CAST(round_even(likelihood,0) AS INT) AS rs, CASE jpeg WHEN 'High' THEN 0.9 WHEN 'Medium' THEN 0.6 ELSE 0.3 END AS cf, concat_ws(',', {IMG_EL}) AS el FROM img),
+_AUDIO = AFUSE[len(SCORES) + 2:]
+
+
+@query(f"""WITH {VFUSE}, {_AUDIO}, {IMG}, im AS (SELECT k, CAST(round_even(likelihood,0) AS INT) AS rs, CASE jpeg WHEN 'High' THEN 0.9 WHEN 'Medium' THEN 0.6 ELSE 0.3 END AS cf, concat_ws(',', {IMG_EL}) AS el FROM img),
 fr AS (SELECT k, 'frames' AS mt, avg(CASE WHEN x > 60 THEN 1.0 ELSE 0.0 END) AS p, concat_ws(',', CASE WHEN max(CASE WHEN kind='error' THEN x END) > 120 THEN 'temporal' END, CASE WHEN max(CASE WHEN kind='view' THEN x END) > 120 THEN 'spatial' END) AS el FROM series GROUP BY k),
-u AS (SELECT k, 'video' AS media_type, CAST(round_even(fu*100,0) AS INT) AS rs, conf AS cf, el, n AS nd FROM vc UNION ALL SELECT k, 'image', rs, cf, el, 7 FROM im UNION ALL SELECT k, mt, CAST(round_even(p*100,0) AS INT), p, el, 2 FROM fr)
+u AS (SELECT k, 'video' AS media_type, CAST(round_even(fu*100,0) AS INT) AS rs, conf AS cf, el, n AS nd FROM vc UNION ALL SELECT k, 'image', rs, cf, el, 7 FROM im UNION ALL SELECT k, mt, CAST(round_even(p*100,0) AS INT), p, el, 2 FROM fr UNION ALL SELECT k, 'audio', CAST(round_even(fu*100,0) AS INT), {ACONF}, el, na FROM h)
 SELECT k, media_type, rs AS risk_score, {BAND.format('rs')} AS risk_band, {R('round(CAST(cf AS DOUBLE),4)')} AS measurement_confidence, 'pre_calibration' AS calibration_status, el AS elevated, CAST(nd AS BIGINT) AS n_detectors, CAST(NULL AS VARCHAR) AS verdict FROM u""")
 def q_unified_results(spark, d):
     return tidy(unified(spark, d))
@@ -126,6 +133,7 @@ def q_unified_results(spark, d):
 def unified(spark, d):
     c = F.col
     v = FU.fuse_video(video_scores(spark, d), K)
+    a = FU.fuse_audio(scores(spark, d), K)
     split = F.filter(F.split("elevated_modules", ","), lambda e: e != "")
     hit = lambda kind: F.max(F.when(c("kind") == kind, c("x"))) > 120
     fr = series(spark, d).groupBy("k").agg(
@@ -135,6 +143,7 @@ def unified(spark, d):
     img = images(spark, d)
     return (
         RS.unify(v, K, "video", c("fused"), c("confidence"), split, c("n_modules"))
+        .unionByName(RS.unify(a, K, "audio", c("fused"), c("confidence"), split, c("n_active")))
         .unionByName(RS.unify(img, K, "image", c("likelihood") / 100, RS.confidence_word(c("jpeg")), elevated_col(), F.lit(7)))
         .unionByName(RS.unify(fr, K, "frames", c("p"), c("p"), c("el"), F.lit(2)))
     )

@@ -8,6 +8,7 @@ from mediasift.functions.constants import CONTAINER_CODECS, ENCODER_SIGNATURES
 from mediasift.functions.exprs import vsum
 from mediasift.operators import graph as G
 from mediasift.operators import joins as J
+from mediasift.operators import pairs as PR
 from mediasift.operators.stats import pick
 from mediasift.plans.bindings import SERIES, series, table
 from mediasift.plans.q_stats import CHECKS, checks
@@ -95,6 +96,14 @@ def q_pair_cosine(spark, d):
     return tidy(J.repeat_summary(vectors(spark, d), ["label"], "vec_id", "v", cut=0.3))
 
 
+@query(f"""WITH {_V}, c AS (SELECT a.label, list_dot_product(a.v,b.v)/sqrt(list_dot_product(a.v,a.v)*list_dot_product(b.v,b.v)) AS c FROM sv a JOIN sv b ON a.label=b.label AND b.vec_id - a.vec_id > 5),
+m AS (SELECT label, count(*) AS np, median(c) AS md, max(c) AS mx FROM c GROUP BY label), d AS (SELECT m.label, median(abs(c-md)) AS mad FROM c JOIN m ON c.label=m.label GROUP BY m.label), n AS (SELECT label, count(*) AS n, max(vec_id)-min(vec_id) AS sp FROM sv GROUP BY label),
+t AS (SELECT n.label, n, coalesce(np,0) AS np, md, mad, mx, CASE WHEN sp >= 60 AND np >= 20 THEN least(0.9, greatest(0.2, md+3.5*1.4826*mad)) ELSE 0.6 END AS cut FROM n LEFT JOIN m ON n.label=m.label LEFT JOIN d ON n.label=d.label), h AS (SELECT c.label, count(*) AS nh FROM c JOIN t ON c.label=t.label WHERE c >= cut GROUP BY c.label)
+SELECT t.label, n, np AS n_pairs, {R('md')} AS median, {R('mad')} AS mad, {R('cut')} AS cut, coalesce(nh,0) AS n_hits, {R('mx')} AS max_similarity, coalesce(nh,0) >= 3 AS flagged FROM t LEFT JOIN h ON t.label=h.label""")
+def q_pair_adaptive(spark, d):
+    return tidy(PR.repeats_adaptive(vectors(spark, d), ["label"], "vec_id", "v", least=0.2, most=0.9, fixed=0.6))
+
+
 @query(f"""WITH {_V}, p AS (SELECT a.label, a.vec_id AS q, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.v,b.v), lambda z: (z[1]-z[2])*(z[1]-z[2])))) AS d FROM sv a JOIN sv b ON a.label=b.label AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY label, q ORDER BY d, b) AS n FROM p), g AS (SELECT label, q, max(CASE WHEN n=1 THEN b END) AS match, max(CASE WHEN n=1 THEN d END) AS d1, max(CASE WHEN n=2 THEN d END) AS d2 FROM r WHERE n <= 2 GROUP BY label, q)
 SELECT label, q AS vec_id, match, {R('d1')} AS d1, {R('d2')} AS d2 FROM g WHERE d1 < 0.95*d2 AND abs(q-match) > 10""")
