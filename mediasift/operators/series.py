@@ -52,6 +52,33 @@ def frozen_runs(df, keys, order, value: str, below: float, min_rows: int = 3, sp
     return runs.filter(F.col("n_rows") >= min_rows).drop("_run")
 
 
+def duplication_summary(df, keys, order, value: str, frozen: float, near: float, min_rows: int = 3, hash_dups: DataFrame | None = None, split=None) -> DataFrame:
+    """Frozen and near-duplicate counts and rates, frozen segments, and the duplication score per asset.
+
+    ``value`` is the difference to the frame before (null on the first). Under
+    ``frozen`` a frame is a copy, from there to under ``near`` a near copy. ``hash_dups`` is
+    (keys, n_hash_dup); without it that part is zero.
+    """
+    split = decide(df, keys, split)
+    v = F.col(value)
+    g = df.groupBy(*keys).agg(F.count(v).alias("n_steps"), F.count(F.when(v < frozen, 1)).alias("n_frozen"), F.count(F.when((v >= frozen) & (v < near), 1)).alias("n_near"))
+    runs = frozen_runs(df, keys, order, value, frozen, min_rows, split=split)
+    for more in (runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_segments")), hash_dups):
+        # one row per key on both sides
+        g = g.withColumn("n_hash_dup", F.lit(0).cast("bigint")) if more is None else _per_key(g, more, keys)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    g = g.withColumns({"n_segments": zero("n_segments"), "n_hash_dup": zero("n_hash_dup"), "frozen_rate": F.col("n_frozen") / F.greatest("n_steps", F.lit(1)), "near_rate": F.col("n_near") / F.greatest("n_steps", F.lit(1))})
+    return g.withColumn("score", frozen_score(F.col("frozen_rate"), F.col("n_frozen"), F.col("n_segments"), F.col("n_hash_dup")))
+
+
+def _per_key(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(r, cond, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def frozen_score(rate: Column, n_frozen: Column, n_segments: Column, n_hash_dup: Column) -> Column:
     """Duplication score; the strongest signal wins."""
     by_rate = F.when(rate > 0.30, 0.80).when(rate > 0.10, 0.60).when(rate > 0.03, 0.40).when(n_frozen > 0, 0.20).otherwise(0.0)
@@ -526,12 +553,12 @@ def audio_checks(df: DataFrame, keys) -> DataFrame:
     """Sensitivity checks of one asset's summary columns, as findings.
 
     Expects tilt_cv, hfe_cv, rms_cv, half_ratio, sfm_cv, max_z, sub_ratio, lsd,
-    lossy. Bands and weights are the published defaults of the noise, room and
-    voice detectors.
+    lossy, change_t, change_z, duration. Bands and weights are the published
+    defaults of the noise, room and voice detectors.
     """
     from mediasift.functions.exprs import explode_rules
 
-    return explode_rules(df, list(keys), [*noise_rules(F.col), *room_rules(F.col), *voice_rules(F.col)])
+    return explode_rules(df, list(keys), [*noise_rules(F.col), *noise_change_rules(F.col), *room_rules(F.col), *voice_rules(F.col)])
 
 
 def _sensitivity(module: str):
@@ -550,6 +577,17 @@ def noise_rules(c) -> list[Column]:
     ]
 
 
+def noise_change_rules(c, min_z: float = 4.0, window: float = 0.5) -> list[Column]:
+    """Change point of the noise floor: located around its time, inside the asset; silent on lossy audio and without a time."""
+    from mediasift.functions.exprs import finding
+
+    z, t = c("change_z"), c("change_t")
+    hit = ~F.coalesce(c("lossy"), F.lit(False)) & t.isNotNull() & (z >= min_z)
+    score = F.least(F.lit(0.80), 0.40 + F.least(z, F.lit(20.0)) / 40)
+    sure = F.least(F.lit(0.85), 0.60 + F.least(z, F.lit(10.0)) / 50)
+    return [F.when(hit, finding("noise", "change_point", F.when(z > 5, "high").otherwise("medium"), sure, score, 2.0, F.greatest(F.lit(0.0), t - window), F.least(c("duration"), t + window)))]
+
+
 def room_rules(c) -> list[Column]:
     """Room rules of ``audio_checks``."""
     f, z = _sensitivity("reverberation"), c("max_z")

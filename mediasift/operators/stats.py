@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediasift.functions.exprs import bimodality, clamp, col, cv, let, ramp, severity_rank, steps, vsum
+from mediasift.functions.exprs import bimodality, clamp, col, cv, let, ramp, severity_name, severity_rank, steps, vsum
 from mediasift.operators.ordered import Ordered, decide, quantiles
 
 LN10_20 = 20.0
@@ -543,3 +543,36 @@ def finding_rollup(findings, module: str, severity: str, cube: bool = False) ->
     out = g.agg(F.count(F.lit(1)).alias("n"), F.grouping(module).alias("_gm"), F.grouping(severity).alias("_gs"))
     name = lambda c, flag: F.when(F.col(flag) == 1, "TOTAL").otherwise(F.col(c)).alias(c)
     return out.select(name(module, "_gm"), name(severity, "_gs"), "n")
+
+
+def case_summary(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Findings, modules with findings, highest severity and the modules with high ones, per case.
+
+    Modules are a closed set, so the set gathered per case is small.
+    """
+    high = F.when(F.lower("severity") == "high", F.col("module"))
+    out = findings.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_findings"), F.countDistinct("module").alias("modules_completed"), severity_name(F.max(severity_rank(F.col("severity")))).alias("highest_severity"),
+        F.array_join(F.sort_array(F.collect_set(high)), ",").alias("high_modules"),
+    )
+    return out.withColumn("high_modules", F.nullif("high_modules", F.lit("")))
+
+
+def distinct_tags(tags: DataFrame, by: Sequence[str], value: str, owner: str, lg: int = 12) -> DataFrame:
+    """Rows, owners and different values per group, exactly and as a sketch that can be merged over runs.
+
+    Exact counts come from one row per (group, value) and (group, owner), never from a set in memory.
+    """
+    per_value = tags.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    v = per_value.groupBy(*by).agg(F.sum("_n").alias("n_tags"), F.count(F.lit(1)).alias("n_values"), F.max_by(value, F.struct("_n", value)).alias("top_value"), F.max("_n").alias("n_top"), F.hll_sketch_agg(value, lg).alias("sketch"))
+    o = tags.filter(F.col(value).isNotNull()).select(*by, owner).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_owners"))
+    r = o.withColumnsRenamed({k: f"_r_{k}" for k in by})
+    cond = F.lit(True)
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return v.join(r, cond).drop(*[f"_r_{k}" for k in by])
+
+
+def merge_tag_sketches(runs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Estimated number of different values over several runs of ``distinct_tags``."""
+    return runs.groupBy(*by).agg(F.sum("n_tags").alias("n_tags"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_values_estimate"))

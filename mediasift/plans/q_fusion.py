@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mediasift.operators import stats as A
 from mediasift.plans import fusion as FU
 from mediasift.plans import results as RS
 from mediasift.plans.bindings import SERIES, series, table
@@ -209,6 +210,37 @@ def q_report_tables(spark, d):
     return tidy(RS.report_modules(sc, ch, K, list(FU.AUDIO_WEIGHTS), FU.AUDIO_WEIGHTS))
 
 
+@query(f"""WITH {CHECKS}, c AS (SELECT k, count(CASE WHEN severity='high' THEN 1 END) AS h, count(CASE WHEN severity='medium' THEN 1 END) AS m, count(CASE WHEN severity='low' THEN 1 END) AS l FROM checks WHERE module <> 'voice' GROUP BY k)
+SELECT k, 0::INT AS position, 'HIGH' AS level, h AS n FROM c UNION ALL SELECT k, 1, 'MEDIUM', m FROM c UNION ALL SELECT k, 2, 'LOW', l FROM c UNION ALL SELECT k, 3, 'TOTAL', h+m+l FROM c""")
+def q_report_severities(spark, d):
+    return RS.report_severities(checks(spark, d), K, skip="voice")
+
+
+@query(f"""WITH {CHECKS}, f AS (SELECT *, CASE module WHEN 'enf' THEN 0 WHEN 'noise' THEN 1 WHEN 'compression' THEN 2 WHEN 'voice' THEN 3 END AS s FROM checks WHERE module <> 'metadata')
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY s, t, tie) - 1 AS number, s AS section, module, upper(severity) AS level, module || ' ' || m AS title, {R('round(score,2)')} AS confidence,
+ CASE WHEN m % 2 = 0 THEN printf('%.2f', round(m/4.0,2)) || 's to ' || printf('%.2f', round(m/2.0,2)) || 's' END AS span FROM f""")
+def q_report_findings(spark, d):
+    m = F.col("m")
+    even = lambda n: F.when(m % 2 == 0, m / F.lit(n))
+    f = checks(spark, d).withColumns({"title": F.concat("module", F.lit(" "), m.cast("string")), "confidence": F.col("score"), "start_s": even(4.0), "end_s": even(2.0)})
+    return tidy(RS.report_findings(f, K, ["enf", "noise", "compression", "voice"], ["t", "tie"]))
+
+
+@query(f"""WITH {VFUSE} SELECT k, 0::INT AS position, 'base_score' AS name, {R('base')} AS value FROM vc UNION ALL SELECT k, 1, 'multiplier', {R('mult')} FROM vc UNION ALL SELECT k, 2, 'n_elevated', ne FROM vc UNION ALL SELECT k, 3, 'fused', {R('fu')} FROM vc""")
+def q_report_appendix(spark, d):
+    return tidy(RS.report_appendix(FU.fuse_video(video_scores(spark, d), K), K, ["base_score", "multiplier", "n_elevated", "fused"]))
+
+
+@query(f"""WITH {AFUSE}, {CHECKS[len(SERIES) + 2:]}, cf AS (SELECT *, {ACONF} AS conf, CASE WHEN fu < 0.4 OR ne = 0 THEN 'none' WHEN ne = 1 AND ex >= 0.55 AND ec < 0.65 THEN 'sole_supporter' WHEN ec < 0.5 THEN 'low_confidence' ELSE 'none' END AS conflict FROM h),
+sm AS (SELECT k, count(*) AS tf, count(DISTINCT module) AS mc, max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS hs FROM checks GROUP BY k),
+j AS (SELECT c_custkey AS k, c_name AS submitted_by, fu, conf, conflict, tf, mc, hs, CASE WHEN fu IS NULL THEN 'no_result' WHEN conflict <> 'none' THEN conflict WHEN fu >= 0.4 AND conf < 0.5 THEN 'weak_confidence' END AS why FROM customer LEFT JOIN cf ON cf.k=c_custkey LEFT JOIN sm ON sm.k=c_custkey)
+SELECT k, submitted_by, {R('round(coalesce(fu,0),4)')} AS probability, CASE WHEN conf >= 0.75 THEN 'high' WHEN conf >= 0.5 THEN 'medium' ELSE 'low' END AS confidence_level, {R('round(1-coalesce(conf,0),4)')} AS uncertainty, why IS NOT NULL AS needs_review, why AS review_reason, coalesce(tf,0) AS total_findings, coalesce(mc,0) AS modules_completed,
+ CASE hs WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS highest_severity FROM j""")
+def q_case_record(spark, d):
+    cases = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("submitted_by"))
+    return tidy(RS.case_record(cases, FU.fuse_audio(scores(spark, d), K), A.case_summary(checks(spark, d), K), K))
+
+
 @query(f"""WITH j AS (SELECT d.lang, l.quality, (d.n_chars % 1000)/CAST(1000 AS DOUBLE) AS s FROM documents d JOIN labels l ON d.doc_id=l.doc_id), c AS (SELECT unnest([0.2,0.4,0.65,0.8]) AS cut),
 g AS (SELECT lang, CAST(cut AS DOUBLE) AS cut, count(*) FILTER (WHERE s >= cut AND quality=1) AS tp, count(*) FILTER (WHERE s >= cut AND quality<>1) AS fp, count(*) FILTER (WHERE s < cut AND quality=1) AS fn, count(*) FILTER (WHERE s < cut AND quality<>1) AS tn FROM j, c GROUP BY lang, cut)
 SELECT lang, cut, tp, fp, fn, tn, {R('tp/nullif(CAST(tp+fp AS DOUBLE),0)')} AS precision, {R('tp/nullif(CAST(tp+fn AS DOUBLE),0)')} AS recall, 'pre_calibration' AS status FROM g""")

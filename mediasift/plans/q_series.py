@@ -26,6 +26,16 @@ def q_frozen_runs(spark, d):
     return tidy(W.frozen_runs(series(spark, d), K, O, "x", 40.0, 3))
 
 
+@query(f"""WITH {SERIES}, a AS (SELECT *, x < 20 AS hit, lag(x < 20) OVER w AS ph FROM series WINDOW w AS (PARTITION BY k ORDER BY t, tie)), b AS (SELECT *, sum(CASE WHEN hit AND NOT coalesce(ph,false) THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY t, tie ROWS UNBOUNDED PRECEDING) AS run FROM a),
+r AS (SELECT k, count(*) AS ns FROM (SELECT k FROM b WHERE hit GROUP BY k, run HAVING count(*) >= 2) GROUP BY k), g AS (SELECT k, count(*) AS n, count(CASE WHEN x < 20 THEN 1 END) AS nf, count(CASE WHEN x >= 20 AND x < 40 THEN 1 END) AS nn, count(CASE WHEN m < 4 THEN 1 END) AS nh FROM series GROUP BY k),
+q AS (SELECT g.*, coalesce(ns,0) AS ns, nf/n AS fr, nn/n AS nr FROM g LEFT JOIN r ON g.k=r.k)
+SELECT k, n AS n_steps, nf AS n_frozen, nn AS n_near, ns AS n_segments, nh AS n_hash_dup, {R('fr')} AS frozen_rate, {R('nr')} AS near_rate, {R('greatest(CASE WHEN fr > 0.3 THEN 0.8 WHEN fr > 0.1 THEN 0.6 WHEN fr > 0.03 THEN 0.4 WHEN nf > 0 THEN 0.2 ELSE 0 END, CASE WHEN ns > 1 THEN 0.55 ELSE 0 END, CASE WHEN nh > 5 THEN 0.65 WHEN nh > 2 THEN 0.45 ELSE 0 END)')} AS score FROM q""")
+def q_duplication(spark, d):
+    s = series(spark, d)
+    dups = s.groupBy("k").agg(F.count(F.when(F.col("m") < 4, 1)).alias("n_hash_dup"))
+    return tidy(W.duplication_summary(s, K, O, "x", 20.0, 40.0, 2, dups))
+
+
 @query(f"""WITH {SERIES}, iv AS (SELECT k, t, tie, t - lag(t) OVER (PARTITION BY k ORDER BY t, tie) AS iv FROM series WHERE kind='error'),
 st AS (SELECT k, count(*) AS n_key, count(CASE WHEN iv>0 THEN 1 END) AS n_interval, avg(CASE WHEN iv>0 THEN iv END) AS m, stddev_samp(CASE WHEN iv>0 THEN iv END) AS s FROM iv GROUP BY k)
 SELECT st.k, n_key, n_interval, {R('max(m)')} AS mean_interval, {R('max(s)')} AS std_interval, count(CASE WHEN iv > m + 2*s THEN 1 END) AS n_long,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mediasift.functions.exprs import stable_id
 from mediasift.operators import chunks as C
+from mediasift.operators import stats as A
 from mediasift.plans.bindings import SERIES, series, table
 from mediasift.plans.q_stats import CHECKS, checks
 from mediasift.plans.registry import R, query, tidy
@@ -34,6 +35,24 @@ def q_probe_extract(spark, d):
     return tidy(M.probe_profile(M.parse_probe(series(spark, d).select("tie", doc.alias("doc")), "doc"), ["tie"]))
 
 
+@query(f"""WITH {SERIES}, e AS (SELECT k, tie, 'format.encoder' AS place, kind AS v FROM series WHERE m % 2 = 0 UNION ALL SELECT k, tie, 'format.software', 'tool ' || (m % 7) FROM series WHERE m % 3 = 0 UNION ALL SELECT k, tie, 'stream.handler_name', 'handler' || (m % 11) FROM series WHERE m % 11 > 8
+ UNION ALL SELECT k, tie, 'stream.encoder', kind FROM series WHERE m % 5 = 0), c AS (SELECT place, v, count(*) AS n FROM e GROUP BY place, v)
+SELECT e.place, count(*) AS n_tags, count(DISTINCT e.v) AS n_values, count(DISTINCT e.tie) AS n_owners, max(t.v) AS top_value, max(t.n) AS n_top, true AS sketch_close FROM e JOIN (SELECT place, arg_max(v, [lpad(n::VARCHAR,12,'0'), v]) AS v, max(n) AS n FROM c GROUP BY place) t ON t.place=e.place GROUP BY e.place""")
+def q_encoder_strings(spark, d):
+    m, none = F.col("m"), F.lit(None).cast("string")
+    tags = lambda **kv: F.map_filter(F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    fmt = F.struct(F.lit("mp4").alias("format_name"), tags(encoder=F.when(m % 2 == 0, F.col("kind")), Software=F.when(m % 3 == 0, F.concat(F.lit("tool "), (m % 7).cast("string")))).alias("tags"))
+    # short stream tags don't count
+    st = lambda kind, t: F.struct(F.lit(kind).alias("codec_type"), t.alias("tags"))
+    video = st("video", tags(encoder=F.when(m % 5 == 0, F.col("kind")), handler_name=F.when(m % 11 > 8, F.concat(F.lit("handler"), (m % 11).cast("string"))).otherwise("abc")))
+    audio = st("audio", tags(encoder=F.when(m % 5 == 0, F.col("kind")), handler_name=none))
+    doc = F.to_json(F.struct(fmt.alias("format"), F.array(video, audio).alias("streams")))
+    rows = M.encoder_strings(M.parse_probe(series(spark, d).select("k", "tie", doc.alias("doc")), "doc"), ["k", "tie"])
+    g = A.distinct_tags(rows.filter("place IS NOT NULL"), ["place"], "value", "tie")
+    near = F.abs(F.hll_sketch_estimate("sketch") - F.col("n_values")) <= 0.05 * F.col("n_values") + 1
+    return g.withColumn("sketch_close", near).drop("sketch")
+
+
 @query(f"""WITH {SERIES} SELECT k, count(*) AS n_packets, {R('max(t)')} AS last_pts, CAST(sum(CAST(floor(x) AS BIGINT)) AS BIGINT) AS total_size, count(CASE WHEN kind='error' THEN 1 END) AS n_key FROM series WHERE m % 17 <> 0 AND m % 19 <> 0 GROUP BY k""")
 def q_packet_scan(spark, d):
     m = F.col("m")

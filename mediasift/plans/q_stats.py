@@ -357,14 +357,7 @@ RANK = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1
 @query(f"""WITH {CHECKS} SELECT k, count(*) AS total_findings, count(DISTINCT module) AS modules_completed, CASE max({RANK}) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS highest_severity,
  string_agg(DISTINCT CASE WHEN severity='high' THEN module END, ',' ORDER BY CASE WHEN severity='high' THEN module END) AS high_modules FROM checks GROUP BY k""")
 def q_case_summary(spark, d):
-    from mediasift.functions.exprs import severity_rank
-
-    out = checks(spark, d).groupBy("k").agg(
-        F.count(F.lit(1)).alias("total_findings"), F.countDistinct("module").alias("modules_completed"),
-        severity_name(F.max(severity_rank(F.col("severity")))).alias("highest_severity"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("severity") == "high", F.col("module")))), ",").alias("high_modules"),
-    )
-    return out.withColumn("high_modules", F.nullif("high_modules", F.lit("")))
+    return A.case_summary(checks(spark, d), K)
 
 
 @query("SELECT source, count(DISTINCT lang) AS n_lang, count(DISTINCT md5(text)) AS n_text, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY source")
@@ -397,14 +390,15 @@ def q_subresult_findings(spark, d):
 
 
 @query(f"""WITH {SERIES}, {HALF}, g AS (SELECT k, stddev_pop(x)/avg(x)*0.15 AS tilt, stddev_pop(m)/avg(m)*0.3 AS hfe, stddev_pop(x)/avg(x) AS rc, max(x)/60 AS mz, stddev_pop(x)/avg(x)*0.02 AS sfm,
- sqrt(avg(x*x) FILTER (WHERE half=1)) AS r1, sqrt(avg(x*x) FILTER (WHERE half=2)) AS r2, k % 3 = 0 AS lossy FROM hf GROUP BY k), q AS (SELECT *, greatest(r1,r2)/least(r1,r2) AS hr, mz*2 AS lsd, mz AS sr FROM g)
-SELECT k, 'noise' AS module, 'tilt' AS type, CASE WHEN tilt >= 0.15 THEN 'high' ELSE 'medium' END AS severity, {R('CASE WHEN tilt >= 0.15 THEN least(0.85,0.55+(tilt-0.15)*0.5) ELSE least(1.0,0.35+(tilt-0.04)*1.5) END')} AS score, 1.5::DOUBLE AS weight FROM q WHERE NOT lossy AND tilt >= 0.04
-UNION ALL SELECT k,'noise','high_band','low',0.2,0.5 FROM q WHERE NOT lossy AND hfe >= 0.15
-UNION ALL SELECT k,'noise','level','low',0.2,0.4 FROM q WHERE rc >= 0.25 AND hr > 1.1
-UNION ALL SELECT k,'reverberation','change',CASE WHEN mz >= 8 THEN 'high' ELSE 'medium' END, {R('CASE WHEN mz >= 8 THEN least(0.8,0.55+least(mz-8,20)/60) ELSE 0.35+(mz-4)/20 END')}, 2.0 FROM q WHERE mz >= 4
-UNION ALL SELECT k,'reverberation','flatness','low',0.18,0.5 FROM q WHERE sfm >= 0.015 AND mz < 8
-UNION ALL SELECT k,'reverberation','sub_bass','low',0.2,0.4 FROM q WHERE sr >= 3 AND mz >= 4
-UNION ALL SELECT k,'voice','spectrum',CASE WHEN lsd >= 9 THEN 'high' ELSE 'medium' END, {R('CASE WHEN lsd >= 9 THEN least(0.75,0.55+(lsd-9)/30) ELSE 0.35+(lsd-6)/15 END')}, 1.5 FROM q WHERE lsd >= 6""".replace("hr > 1.1", "hr > 1.5"))
+ sqrt(avg(x*x) FILTER (WHERE half=1)) AS r1, sqrt(avg(x*x) FILTER (WHERE half=2)) AS r2, k % 3 = 0 AS lossy, CASE WHEN k % 5 > 0 THEN arg_max(t-473352, [x, tie]) END AS ct, max(t-473352) AS du FROM hf GROUP BY k), q AS (SELECT *, greatest(r1,r2)/least(r1,r2) AS hr, mz*2 AS lsd, mz AS sr FROM g)
+SELECT k, 'noise' AS module, 'tilt' AS type, CASE WHEN tilt >= 0.15 THEN 'high' ELSE 'medium' END AS severity, {R('CASE WHEN tilt >= 0.15 THEN least(0.85,0.55+(tilt-0.15)*0.5) ELSE least(1.0,0.35+(tilt-0.04)*1.5) END')} AS score, 1.5::DOUBLE AS weight, NULL::DOUBLE AS start_s, NULL::DOUBLE AS end_s FROM q WHERE NOT lossy AND tilt >= 0.04
+UNION ALL SELECT k,'noise','high_band','low',0.2,0.5, NULL, NULL FROM q WHERE NOT lossy AND hfe >= 0.15
+UNION ALL SELECT k,'noise','level','low',0.2,0.4, NULL, NULL FROM q WHERE rc >= 0.25 AND hr > 1.5
+UNION ALL SELECT k,'noise','change_point',CASE WHEN lsd > 5 THEN 'high' ELSE 'medium' END, {R('least(0.8,0.4+least(lsd,20.0)/40)')}, 2.0, {R('greatest(0.0,ct-0.5)')}, {R('least(du,ct+0.5)')} FROM q WHERE NOT lossy AND ct IS NOT NULL AND lsd >= 4
+UNION ALL SELECT k,'reverberation','change',CASE WHEN mz >= 8 THEN 'high' ELSE 'medium' END, {R('CASE WHEN mz >= 8 THEN least(0.8,0.55+least(mz-8,20)/60) ELSE 0.35+(mz-4)/20 END')}, 2.0, NULL, NULL FROM q WHERE mz >= 4
+UNION ALL SELECT k,'reverberation','flatness','low',0.18,0.5, NULL, NULL FROM q WHERE sfm >= 0.015 AND mz < 8
+UNION ALL SELECT k,'reverberation','sub_bass','low',0.2,0.4, NULL, NULL FROM q WHERE sr >= 3 AND mz >= 4
+UNION ALL SELECT k,'voice','spectrum',CASE WHEN lsd >= 9 THEN 'high' ELSE 'medium' END, {R('CASE WHEN lsd >= 9 THEN least(0.75,0.55+(lsd-9)/30) ELSE 0.35+(lsd-6)/15 END')}, 1.5, NULL, NULL FROM q WHERE lsd >= 6""")
 def q_audio_checks(spark, d):
     from mediasift.operators.series import audio_checks
 
@@ -413,10 +407,12 @@ def q_audio_checks(spark, d):
     cvx = F.stddev_pop("x") / F.avg("x")
     g = h.groupBy("k").agg(
         (cvx * 0.15).alias("tilt_cv"), (F.stddev_pop("m") / F.avg("m") * 0.3).alias("hfe_cv"), cvx.alias("rms_cv"), (F.max("x") / 60).alias("max_z"),
-        (cvx * 0.02).alias("sfm_cv"), r(1).alias("r1"), r(2).alias("r2"),
+        (cvx * 0.02).alias("sfm_cv"), r(1).alias("r1"), r(2).alias("r2"), F.max_by(F.col("t") - 473352, F.struct("x", "tie")).alias("_at"), F.max(F.col("t") - 473352).alias("duration"),
     )
     g = g.select("*", (F.greatest("r1", "r2") / F.least("r1", "r2")).alias("half_ratio"), (F.col("max_z") * 2).alias("lsd"), F.col("max_z").alias("sub_ratio"), (F.col("k") % 3 == 0).alias("lossy"))
-    return tidy(audio_checks(g, K).select("k", "module", "type", "severity", "score", "weight"))
+    # the loudest moment stands for the change point
+    g = g.withColumns({"change_z": F.col("lsd"), "change_t": F.when(F.col("k") % 5 > 0, F.col("_at"))})
+    return tidy(audio_checks(g, K).select("k", "module", "type", "severity", "score", "weight", "start_s", "end_s"))
 
 
 @query(f"""WITH {CHECKS}, f AS (SELECT k, CASE WHEN module IN ('enf','noise') THEN 'temporal' ELSE 'spatial' END AS dom, module, severity FROM checks),

@@ -75,6 +75,27 @@ def probe_profile(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+# Tag names that hold an encoder, for the container and for its streams.
+FORMAT_ENCODER_TAGS = ("encoder", "software", "writing_application")
+STREAM_ENCODER_TAGS = ("encoder", "handler_name")
+
+
+def encoder_strings(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, place, value): every encoder string of a probe, once per place.
+
+    Container tags may be capitalised; stream tags need more than three
+    characters. Assets without any give one row with null place and value.
+    """
+    at = lambda m, k: F.try_element_at(m, F.lit(k))
+    empty = lambda v: F.nullif(v, F.lit(""))
+    put = lambda place, v: F.struct(F.lit(place).alias("place"), v.alias("value"))
+    fmt = [put(f"format.{k}", F.coalesce(empty(at(F.col("format.tags"), k)), empty(at(F.col("format.tags"), k.capitalize())))) for k in FORMAT_ENCODER_TAGS]
+    per = lambda s: F.array(*[put(f"stream.{k}", F.when(F.length(at(s["tags"], k)) > 3, at(s["tags"], k))) for k in STREAM_ENCODER_TAGS])
+    streams = F.flatten(F.transform(F.coalesce(F.col("streams"), F.array().cast(df.schema["streams"].dataType)), per))
+    found = F.array_distinct(F.filter(F.concat(F.array(*fmt), streams), lambda e: e["value"].isNotNull()))
+    return df.select(*keys, F.explode_outer(found).alias("_e")).select(*keys, "_e.place", "_e.value")
+
+
 def _packets(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     r = spark.read.schema(PACKET_SCHEMA + ", _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
     return r.json(path) if fmt == "json" else r.option("header", "true").csv(path)
