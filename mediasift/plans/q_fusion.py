@@ -217,7 +217,7 @@ def q_report_severities(spark, d):
 
 
 @query(f"""WITH {CHECKS}, f AS (SELECT *, CASE module WHEN 'enf' THEN 0 WHEN 'noise' THEN 1 WHEN 'compression' THEN 2 WHEN 'voice' THEN 3 END AS s FROM checks WHERE module <> 'metadata')
-SELECT k, row_number() OVER (PARTITION BY k ORDER BY s, t, tie) - 1 AS number, s AS section, module, upper(severity) AS level, module || ' ' || m AS title, {R('round(score,2)')} AS confidence,
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY s, t, tie) - 1 AS number, s AS section, module, upper(severity) AS level, module || ' ' || m AS title, {R('round(CAST(score AS DECIMAL(18,6)),2)')} AS confidence,
  CASE WHEN m % 2 = 0 THEN printf('%.2f', round(m/4.0,2)) || 's to ' || printf('%.2f', round(m/2.0,2)) || 's' END AS span FROM f""")
 def q_report_findings(spark, d):
     m = F.col("m")

@@ -6,8 +6,6 @@ are sorted in its task, so bound the batch with ``files_per_trigger``.
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from mediasift.sources.records import signed_text
+from mediasift.sources.records import sign, signed_text
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -24,37 +22,89 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-class _Chain(StatefulProcessor):
-    """Last stored signature per case."""
+class _Links(StatefulProcessor):
+    """Puts a case's entries into time order inside a bounded delay and hands each the signature before it.
 
-    def __init__(self, key: bytes, order: str):
-        self.key, self.order = key, order
+    State: the last released entry (its time and signature), the latest time seen,
+    and the entries still inside the delay. Entries older than the last released one come too late to be placed.
+    """
+
+    def __init__(self, delay_us: int, idle_ms: int):
+        self.delay, self.idle = delay_us, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "signature string")
+        self.handle = handle
+        self.last = handle.getValueState("last", "at bigint, signature string, seen bigint")
+        self.wait = handle.getListState("wait", "at bigint, entry_id string, body string, signature string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        case = str(key[0])
-        prev = self.last.get()[0] if self.last.exists() else case
-        bad = []
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        for entry, text, sig in zip(pdf["entry_id"], pdf["body"], pdf["signature"]):
-            want = hmac.new(self.key, f"{prev}:{text}".encode(), hashlib.sha256).hexdigest()
-            if want != sig:
-                bad.append((case, entry))
-            prev = sig
-        self.last.update((prev,))
-        if bad:
-            yield pd.DataFrame(bad, columns=["case_id", "entry_id"])
+        at, sign, seen = self._last(key)
+        fresh = []
+        for pdf in rows:
+            seen = max(seen, int(pdf["at"].max()))
+            old = pdf["at"] < at
+            if old.any():
+                yield self._out(key, pdf[old].assign(previous=None), True)
+            fresh.append(pdf.loc[~old, ["at", "entry_id", "body", "signature"]])
+        yield from self._release(key, fresh, at, sign, seen, seen - self.delay)
+        if self.idle:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle)
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        # nothing has come for a while: the rest is released
+        at, sign, seen = self._last(key)
+        yield from self._release(key, [], at, sign, seen, seen)
+
+    def _last(self, key):
+        return self.last.get() if self.last.exists() else (-(2**62), str(key[0]), -(2**62))
+
+    def _release(self, key, fresh, at, sign, seen, until) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.wait.get()) if self.wait.exists() else [], columns=["at", "entry_id", "body", "signature"])
+        held = pd.concat([held, *fresh], ignore_index=True).sort_values("at", kind="stable")
+        ready = held["at"] <= until
+        out, rest = held[ready], held[~ready]
+        if len(out):
+            previous = [sign, *out["signature"].iloc[:-1]]
+            at, sign = int(out["at"].iloc[-1]), out["signature"].iloc[-1]
+            yield self._out(key, out.assign(previous=previous), False)
+        self.last.update((at, sign, seen))
+        if len(rest):
+            self.wait.put([(int(r.at), r.entry_id, r.body, r.signature) for r in rest.itertuples(index=False)])
+        else:
+            self.wait.clear()
+
+    @staticmethod
+    def _out(key, pdf: pd.DataFrame, late: bool) -> pd.DataFrame:
+        return pd.DataFrame({"case_id": str(key[0]), "entry_id": pdf["entry_id"], "body": pdf["body"], "signature": pdf["signature"], "previous": pdf["previous"], "late": late})
 
     def close(self) -> None:
         pass
 
 
-def verify_stream(stream: DataFrame, key: bytes, order: str = "timestamp") -> DataFrame:
-    """Chain violations as they arrive, across batches."""
-    s = stream.withColumn("body", signed_text()).select("case_id", "entry_id", order, "body", "signature")
-    return s.groupBy("case_id").transformWithStateInPandas(_Chain(key, order), "case_id string, entry_id string", "append", "None")
+def linked_stream(stream: DataFrame, order: str = "timestamp", delay: int = 0, idle: int = 0) -> DataFrame:
+    """Entries in time order per case with the signature before them, and those too late to be placed.
+
+    ``delay`` seconds of a case's own time bound how far entries may arrive out of
+    order; that many are held in state. ``idle`` seconds without an entry release the rest (zero: only
+    newer entries do). Entries of equal time keep their order of arrival; entries without a time
+    or case are passed on as late.
+    """
+    at = F.unix_micros(F.to_timestamp(order))
+    s = stream.select("case_id", "entry_id", F.coalesce(at, F.lit(-(2**63) + 1)).alias("at"), signed_text().alias("body"), "signature")
+    schema = "case_id string, entry_id string, body string, signature string, previous string, late boolean"
+    return s.groupBy("case_id").transformWithStateInPandas(_Links(delay * 1_000_000, idle * 1000), schema, "append", "ProcessingTime" if idle else "None")
+
+
+def verify_stream(stream: DataFrame, key: bytes, order: str = "timestamp", delay: int = 0, idle: int = 0) -> DataFrame:
+    """Chain violations and late entries as they arrive, across batches: case_id, entry_id, problem.
+
+    State only orders the entries; the signatures are checked by built-in expressions.
+    """
+    s = linked_stream(stream, order, delay, idle)
+    wrong = ~F.col("signature").eqNullSafe(sign(key, F.col("previous"), F.col("body")))
+    return s.withColumn("problem", F.when(F.col("late"), "late").when(wrong, "violation")).filter("problem IS NOT NULL").select("case_id", "entry_id", "problem")
 
 
 class _Change(StatefulProcessor):

@@ -139,6 +139,52 @@ def test_chain_stream_across_batches(spark, broken, tmp_path):
     assert {r.entry_id for r in run(st, "r5", "append").collect()} == {"b-2", "c-2", "c-3"}
 
 
+def test_shuffled_entries_are_ordered_and_late_ones_told_apart(spark, tmp_path):
+    import hashlib
+    import hmac
+    import json
+    import os
+    import random
+
+    stateful.use_rocksdb(spark)
+    names = ["case_id", "entry_id", "timestamp", "signature"]
+    fields = [f for f in S.SIGNED_FIELDS]
+    def chain(case, n):
+        prev, out = case, []
+        for i in range(n):
+            e = {f: None for f in fields}
+            e |= {"case_id": case, "entry_id": f"{case}-{i}", "timestamp": f"2024-01-01T00:{i:02d}:00"}
+            body = json.dumps({f: e.get(f) for f in fields}, sort_keys=True)
+            e["signature"] = prev = hmac.new(KEY, f"{prev}:{body}".encode(), hashlib.sha256).hexdigest()
+            out.append(e)
+        return out
+    good, bad = chain("a", 40), chain("b", 40)
+    bad[20]["signature"] = "0" * 64  # breaks itself and the next one
+    src = tmp_path / "in"
+    src.mkdir()
+    rng = random.Random(3)
+    late = good.pop(2)
+    batches = []
+    for i in range(0, 40, 8):
+        part = good[i : i + 8] + bad[i : i + 8]
+        batches.append(part)
+    # neighbours change places over the border of two batches, rows inside a batch are shuffled
+    for x, y in zip(batches, batches[1:]):
+        x[-1], y[0] = y[0], x[-1]
+    for b in batches:
+        rng.shuffle(b)
+    batches.append([late])
+    for i, rows in enumerate(batches):
+        f = src / f"p{i}.json"
+        f.write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    st = stateful.verify_stream(feeds.read_feed(spark, str(src), S.AUDIT_SCHEMA, "json", 1), KEY, delay=900)
+    got = {(r.entry_id, r.problem) for r in run(st, "r5late", "append").collect()}
+    assert {e for e in got if e[0].startswith("b")} == {("b-20", "violation"), ("b-21", "violation")}
+    # the entry left out is reported late, the one after it can't be proved
+    assert {e for e in got if e[0].startswith("a")} == {("a-2", "late"), ("a-3", "violation")}
+
+
 def test_change_stream_matches_batch(spark, sf, tmp_path):
     stateful.use_rocksdb(spark)
     ev = events(spark, sf)
