@@ -17,6 +17,7 @@ HEADLINE = (
     "q_score_assets", "q_fuse_audio", "q_fuse_video", "q_unified_results", "q_change_point", "q_abruptness", "q_frozen_runs", "q_rolling_deviation", "q_suppress_nearby", "q_before_after_ratio",
     "q_merge_adjacent", "q_asof_nearest", "q_band_hamming", "q_components", "q_interval_overlap", "q_pair_cosine", "q_device_match", "q_declared_vs_actual", "q_hist_periodicity", "q_bitrate_zscore",
     "q_benford", "q_dynamic_range", "q_frame_metrics", "q_fingerprint", "q_spectrum", "q_spectral_features", "q_block_dct", "q_content_hash", "q_chain_verify", "q_meta_rules_audio", "q_finding_rollup", "q_calibration",
+    "q_chunk_frames", "q_pause_model", "q_mains_band", "q_frame_rollup", "q_pair_adaptive", "q_duplication", "q_case_record", "q_encoder_strings", "q_run_detectors",
 )
 
 

@@ -244,10 +244,10 @@ def q_first_n(spark, d):
     return c.groupBy("k").agg(F.array_join(F.transform(s, lambda e: e["tie"].cast("string")), ",").alias("first_hits"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {SERIES}, fr AS (SELECT k, t, x FROM series WHERE tie % 2 = 0), md AS (SELECT k, quantile_cont(x, 0.5) AS b FROM fr GROUP BY k HAVING quantile_cont(x, 0.5) >= 0.5),
-o AS (SELECT k, t, tie FROM series WHERE tie % 2 = 1 AND m >= 50), j AS (SELECT o.k, o.t, o.tie, fr.x, abs(o.t-fr.t) AS ds, row_number() OVER (PARTITION BY o.k, o.tie ORDER BY abs(o.t-fr.t), fr.t, fr.x DESC) AS q FROM o JOIN fr ON o.k=fr.k),
+@query(f"""WITH {SERIES}, fr AS (SELECT k, t, x FROM series WHERE kind <> 'click'), md AS (SELECT k, quantile_cont(x, 0.5) AS b FROM fr GROUP BY k HAVING quantile_cont(x, 0.5) >= 0.5),
+o AS (SELECT k, t, tie FROM series WHERE kind = 'click' AND m >= 50), j AS (SELECT o.k, o.t, o.tie, fr.x, abs(o.t-fr.t) AS ds, row_number() OVER (PARTITION BY o.k, o.tie ORDER BY abs(o.t-fr.t), fr.t, fr.x DESC) AS q FROM o JOIN fr ON o.k=fr.k),
 h AS (SELECT j.*, b, round_even(t, 1) AS bucket FROM j JOIN md ON j.k=md.k WHERE q = 1 AND ds <= 10 AND x < 0.3*b), z AS (SELECT *, row_number() OVER (PARTITION BY k, bucket ORDER BY t, tie) AS w FROM h)
 SELECT k, {R('bucket')} AS bucket, tie, {R('t')} AS t, {R('x')} AS x, {R('ds')} AS distance, {R('b')} AS baseline, CASE WHEN ds*1000 > 200 THEN 'high' ELSE 'medium' END AS severity FROM z WHERE w = 1""")
 def q_onset_low_motion(spark, d):
     s = series(spark, d)
-    return tidy(J.onset_low_motion(s.filter("tie % 2 = 1 AND m >= 50"), s.filter("tie % 2 = 0"), K, "t", "tie", "x", tolerance=10.0))
+    return tidy(J.onset_low_motion(s.filter("kind = 'click' AND m >= 50"), s.filter("kind <> 'click'"), K, "t", "tie", "x", tolerance=10.0))

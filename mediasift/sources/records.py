@@ -63,25 +63,55 @@ CASE_TABLES = {
 }
 
 
-def write_case_tables(tables: dict[str, DataFrame], path: str, partition: str = "ingest_date") -> None:
-    """The five tables as Parquet, one row per key, partitioned by ingest date.
+# partition column of the stores: part of the key's hash
+BUCKET = "key_bucket"
 
-    A key that the store already has is left as it is, so a retried or repeated write adds nothing.
+
+def stored_keys(spark: SparkSession, path: str, key: Sequence[str], touched: Sequence[int]) -> DataFrame | None:
+    """Keys that a store has in the ``touched`` partitions, all keys of a store without that column, None without a store."""
+    try:
+        store = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    keep = [*key, BUCKET] if BUCKET in store.columns else [*key]
+    return store.filter(F.col(BUCKET).isin(list(touched))).select(*keep) if BUCKET in keep else store.select(*keep)
+
+
+def write_case_tables(tables: dict[str, DataFrame], path: str, partition: str = "ingest_date", buckets: int = 16) -> None:
+    """The five tables as Parquet, one row per key, partitioned by part of the key's hash and by ingest date.
+
+    A key that the store already has is left as it is, null keys too, so a retried or repeated
+    write adds nothing. An append reads only the keys of the partitions it
+    touches. ``buckets`` stays the same for the life of a store, and one writer appends at a time.
     """
     for name, df in tables.items():
         key = list(CASE_TABLES[name])
-        out = df.dropDuplicates(key)
-        try:
-            out = out.join(df.sparkSession.read.parquet(f"{path}/{name}").select(*key), key, "left_anti").select(*df.columns)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-        w = out.write.mode("append")
-        (w.partitionBy(partition) if partition in out.columns else w).parquet(f"{path}/{name}")
+        out = df.withColumn(BUCKET, F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in key]), F.lit(buckets)).cast("int"))
+        # at most ``buckets`` numbers
+        touched = sorted(r[0] for r in out.select(BUCKET).distinct().collect())
+        have = stored_keys(df.sparkSession, f"{path}/{name}", key, touched)
+        out = out.dropDuplicates(key)
+        by = [BUCKET]
+        if have is not None:
+            by = [c for c in have.columns if c == BUCKET]
+            old = have.select(*[F.col(k).alias(f"_o_{k}") for k in key])
+            same = F.lit(True)
+            for k in key:
+                same = same & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+            out = out.join(old, same, "left_anti")
+        if not by:
+            out = out.drop(BUCKET)
+        by += [partition] if partition in out.columns else []
+        if by:
+            out.hint("rebalance", *by).write.mode("append").partitionBy(*by).parquet(f"{path}/{name}")
+        else:
+            out.write.mode("append").parquet(f"{path}/{name}")
 
 
 def read_case_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in CASE_TABLES}
+    return {n: spark.read.parquet(f"{path}/{n}").drop(BUCKET) for n in CASE_TABLES}
 
 
 def with_digest(df: DataFrame, record: Column) -> DataFrame:

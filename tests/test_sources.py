@@ -53,3 +53,29 @@ def test_digest_survives_storage(spark, tmp_path):
     back = S.verify_digest(spark.read.parquet(str(tmp_path / "r")))
     assert back.filter("intact").count() == 2
     assert S.verify_digest(back.withColumn("json", F.concat("json", F.lit(" ")))).filter("intact").count() == 0
+
+
+def test_append_reads_the_partitions_it_touches(spark, tmp_path):
+    path = str(tmp_path / "store")
+    make = lambda ids: {"cases": spark.createDataFrame([(i, f"c{i}", "2024-01-01") for i in ids], "case_id string, title string, ingest_date string")}
+    ids = [str(i) for i in range(200)] + [None]
+    S.write_case_tables(make(ids), path)
+    S.write_case_tables(make(["7", "7", None, "new"]), path)
+    S.write_case_tables(make(["7", "new"]), path)
+    S.write_case_tables(make([]), path)
+    back = spark.read.parquet(f"{path}/cases")
+    assert back.count() == 202 and back.select("case_id").distinct().count() == 202
+    one = back.filter("case_id = '7'").first()
+    have = S.stored_keys(spark, f"{path}/cases", ["case_id"], [one.key_bucket])
+    plan = have._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "key_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    n = have.count()
+    assert 0 < n < 40 and have.filter("case_id = '7'").count() == 1
+
+
+def test_append_to_a_store_without_the_partition_column(spark, tmp_path):
+    path = str(tmp_path / "store")
+    old = spark.createDataFrame([("1", "a"), ("2", "b")], "case_id string, title string")
+    old.write.parquet(f"{path}/cases")
+    S.write_case_tables({"cases": spark.createDataFrame([("2", "x"), ("3", "c")], "case_id string, title string")}, path)
+    assert sorted(map(tuple, spark.read.parquet(f"{path}/cases").collect())) == [("1", "a"), ("2", "b"), ("3", "c")]

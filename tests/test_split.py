@@ -16,6 +16,7 @@ ORDERED = [
     "q_abs_diff", "q_frozen_runs", "q_gop_groups", "q_pts_anomaly", "q_rolling_deviation", "q_suppress_nearby", "q_change_point", "q_motion_spikes", "q_direction_reversal", "q_before_after_ratio",
     "q_rolling_median", "q_phase_discontinuity", "q_merge_adjacent", "q_pair_rules", "q_steepest_drop", "q_clipping", "q_dynamic_range", "q_half_compare", "q_entropy", "q_frame_metrics", "q_asof_nearest",
     "q_band_hamming", "q_frame_deviation", "q_onset_low_motion", "q_interval_overlap", "q_hash_dup", "q_flagged_plus_baseline", "q_pair_cosine", "q_sample_every_n", "q_sample_even", "q_chain_verify", "q_export_json", "q_spectral_features", "q_signal_type", "q_hist_periodicity",
+    "q_pause_model", "q_frame_rollup", "q_report_findings", "q_duplication",
 ]
 
 
