@@ -17,6 +17,8 @@ from mediasift.llm.decontamination import small
 PAIRS_PER_SET = 8
 # Rounds of pivots; what a column has left after them is multiplied out.
 PIVOT_ROUNDS = 5
+# A row is written as its difference from a reference row up to this many times the difference of a link.
+REFERENCE_REACH = 3
 # Most frequent n-grams that are known as such and go last in the order of columns (8 bytes each).
 FREQUENT = 100_000
 
@@ -197,31 +199,103 @@ def _fit(percent: int):
     return _room(percent) & (apart * (100 + percent) <= (100 - percent) * (c("nx") + c("ny")))
 
 
+def _references(cells: DataFrame, percent: int) -> DataFrame:
+    """``id, r``: the reference row of a row, where one of its columns has a pivot within reach by size and parity bits.
+
+    A column's pivot is the row that shares most columns with others, which for near copies of one text is
+    the text itself or close to it; of several pivots a row takes the one with most. A reference is its own.
+    """
+    c = F.col
+    side = lambda name: cells.select("g", c("id").alias(name), c("n").alias(f"n{name}"), c("weight").alias(f"w{name}"), *[c(s).alias(f"{s}{name}") for s in BITS])
+    pivot = side("x").groupBy("g").agg(F.max_by(F.struct("x", "nx", "wx", *[f"{s}x" for s in BITS]), F.struct("wx", "x")).alias("p")).select("g", "p.*")
+    apart = sum((F.bit_count(c(f"{s}x").bitwiseXOR(c(f"{s}y"))) for s in BITS), F.lit(0))
+    apart = F.greatest(apart, F.abs(c("nx") - c("ny")))
+    near = apart * (100 + percent) <= REFERENCE_REACH * (100 - percent) * (c("nx") + c("ny"))
+    chosen = pivot.join(side("y"), "g").filter(near).groupBy("y").agg(F.max(F.struct("wx", "x")).alias("b")).select(c("y").alias("id"), c("b.x").alias("r")).filter("id <> r")
+    chosen = written(chosen, "chosen")
+    own = chosen.select(c("r").alias("id")).distinct()
+    return written(chosen.join(own, "id", "left_anti").unionByName(own.withColumn("r", c("id"))), "references")
+
+
+def _differences(refs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``id, r, n, nd, d``: the n-grams in which a row and its reference differ, for rows within reach."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _parts(frames):
+            out = []
+            for row in f.itertuples(index=False):
+                s = shingles(row.text if isinstance(row.text, str) else None, k)
+                ref = np.asarray(row.s, np.int64).view(np.uint64)
+                d = np.setxor1d(s, ref, assume_unique=True)
+                if len(s) and len(d) * (100 + percent) <= REFERENCE_REACH * (100 - percent) * (len(s) + len(ref)):
+                    out.append((row.id, row.r, len(s), len(d), d.view(np.int64)))
+            yield pd.DataFrame(out, columns=["id", "r", "n", "nd", "d"])
+
+    texts = docs.select("id", "text")
+    bases = _full(texts.join(small(refs.filter("id = r").select("id")), "id", "left_semi"), k).dropDuplicates(["id"]).withColumnRenamed("id", "r")
+    rows = texts.join(small(refs), "id").join(bases, "r").select("id", "r", "text", "s")
+    return written(rows.mapInPandas(run, "id long, r long, n long, nd long, d array<long>"), "differences")
+
+
+def _near_one_reference(diff: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) that hold the classes of all links between rows of one reference.
+
+    The product of two rows x, y of reference r comes from their differences alone: they differ in
+    nd(x) + nd(y) - 2 s n-grams, with s differing n-grams in common. So they link when w(x) + w(y) <= 2 q s
+    for w = q nd - (100 - percent) n, q = 100 + percent. Pairs with w(x) + w(y) <= 0 need no common one: both
+    then link with the row of least w, one star per reference. All others have a row outside the star and
+    share a differing n-gram; they meet in the rarest of these, under a bound by place, and counts decide.
+    """
+    c, q = F.col, 100 + percent
+    w = q * c("nd") - (100 - percent) * c("n")
+    rows = diff.select("id", "r", "n", "nd", "d", w.alias("w"))
+    base = rows.groupBy("r").agg(F.min(F.struct("w", "id")).alias("b"), F.max("n").alias("most")).select("r", c("b.w").alias("low"), c("b.id").alias("centre"), "most")
+    base = written(base, "bases")
+    rows = rows.join(small(base), "r").withColumn("out", c("w") + c("low") > 0)
+    star = rows.filter(~c("out") & (c("id") != c("centre"))).select(c("id").alias("x"), c("centre").alias("y"))
+    edge = written(rows.filter("out").groupBy("r").agg(F.min("w").alias("edge")), "edges")
+    # a row inside meets rows outside only; |d(x) - d(y)| <= difference of a link gives a second bound
+    need = F.greatest(F.ceil((c("w") + F.when(c("out"), c("low")).otherwise(c("edge"))) / (2 * q)), c("nd") - F.floor((100 - percent) * (c("n") + c("most")) / q), F.lit(1))
+    open_ = rows.join(small(edge), "r").withColumn("need", need).filter("nd >= need")
+    cells = open_.select("r", "id", "n", "nd", "w", "out", "need", F.explode("d").alias("g"))
+    cells = cells.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("r", "g"))).filter("m > 1")
+    lists = cells.groupBy("id", "r", "n", "nd", "w", "out", "need").agg(F.array_sort(F.collect_list(F.struct("m", "g"))).alias("o")).withColumn("k", F.size("o")).filter("k >= need")
+    # differing n-grams that no other row has come first in the order and meet nothing
+    heads = lists.select("r", "id", "nd", "w", "out", "k", F.posexplode(F.slice("o", F.lit(1), (c("k") - c("need") + 1).cast("int"))).alias("i", "e")).select("r", "id", "w", "out", "k", "i", c("e.g").alias("g"))
+    heads = written(heads, "heads")
+    side = lambda name: heads.select("r", "g", *[c(x).alias(f"{x}{name}") for x in ("id", "w", "out", "k", "i")])
+    fit = (c("idx") > c("idy")) & (c("outx") | c("outy")) & (c("wx") + c("wy") <= 2 * q * F.least(c("kx") - c("ix"), c("ky") - c("iy")))
+    pairs = written(side("x").join(side("y"), ["r", "g"]).filter(fit).select(c("idx").alias("x"), c("idy").alias("y"), c("wx").alias("wx"), c("wy").alias("wy")).distinct(), "near")
+    d = diff.select("id", "d")
+    both = pairs.join(d.select(c("id").alias("x"), c("d").alias("dx")), "x").join(d.select(c("id").alias("y"), c("d").alias("dy")), "y")
+    linked = both.filter(c("wx") + c("wy") <= 2 * q * F.size(F.array_intersect("dx", "dy"))).select("x", "y")
+    return written(star.unionByName(linked), "links")
+
+
 def _candidates(cols: DataFrame, percent: int, step: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x, y) of different classes that this round compares, and the columns left for later.
+    """Pairs (x, y) of different classes and references that this round compares, and the columns left for later.
 
-    ``cols`` has (g, id, n, i: place in the row's order of columns, weight, parity bits, cls). Small products come whole: rows outside a column's
-    largest class times all its rows. In a large one a pivot meets all rows of other classes: the row that
-    shares most columns with others, which for near copies of one text is the text itself or close to
-    it; after the first round one outside the largest class, whose own has had its turn.
+    ``cols`` has (g, id, n, i: place in the row's order of columns, weight, parity bits, cls, blk). Rows of one
+    ``blk`` are settled: they have one reference, or none and one class. Small products come whole: rows outside
+    a column's largest block times all its rows. In a large one a pivot outside the largest block meets all rows
+    of other blocks.
     """
     c = F.col
-    per = cols.groupBy("g", "cls").agg(F.count(F.lit(1)).alias("m"))
-    stat = per.groupBy("g").agg(F.sum("m").alias("m"), F.max_by("cls", F.struct("m", "cls")).alias("main"), ((F.sum("m") * F.sum("m") - F.sum(c("m") * c("m"))) / 2).alias("cross")).filter("cross > 0")
-    whole = F.lit(False) if step == 0 else (c("cross") <= PAIRS_PER_SET * c("m")) if step < PIVOT_ROUNDS else F.lit(True)
+    per = cols.groupBy("g", "blk").agg(F.count(F.lit(1)).alias("m"))
+    stat = per.groupBy("g").agg(F.sum("m").alias("m"), F.max_by("blk", F.struct("m", "blk")).alias("main"), ((F.sum("m") * F.sum("m") - F.sum(c("m") * c("m"))) / 2).alias("cross")).filter("cross > 0")
+    whole = (c("cross") <= PAIRS_PER_SET * c("m")) if step < PIVOT_ROUNDS else F.lit(True)
     # sizes that can link lie in the same or in neighbouring steps of this scale
     scale = F.floor(F.log(c("n")) / math.log(100 / percent) + 1e-9).cast("int")
     t = written(cols.join(stat.withColumn("whole", whole).drop("cross", "m"), "g").withColumn("scale", scale), "columns")
-    side = lambda name, *more: t.select("g", c("id").alias(name), c("n").alias(f"n{name}"), c("i").alias(f"i{name}"), *[c(s).alias(f"{s}{name}") for s in BITS], c("cls").alias(f"c{name}"), *more)
-    central = F.max_by(F.struct("x", "nx", "ix", *[f"{s}x" for s in BITS], "cx"), F.struct((c("cx") != c("main")) if step else F.lit(True), "weight", "x"))
+    side = lambda name, *more: t.select("g", c("id").alias(name), c("n").alias(f"n{name}"), c("i").alias(f"i{name}"), *[c(s).alias(f"{s}{name}") for s in BITS], c("cls").alias(f"c{name}"), c("blk").alias(f"b{name}"), *more)
+    central = F.max_by(F.struct("x", "nx", "ix", *[f"{s}x" for s in BITS], "cx", "bx"), F.struct(c("bx") != c("main"), "weight", "x"))
     b = side("y", "scale")
-    fit = _fit(percent) & (c("cx") != c("cy"))
+    fit = _fit(percent) & (c("cx") != c("cy")) & (c("bx") != c("by"))
     star = side("x", "whole", "main", "weight").filter(~c("whole")).groupBy("g").agg(central.alias("p")).select("g", "p.*").join(b, "g").filter(fit).select("x", "y")
-    if step:
-        a = side("x", "main", "whole", "scale").filter(c("whole") & (c("cx") != c("main")))
-        rest = a.withColumn("scale", F.explode(F.array(c("scale") - 1, c("scale"), c("scale") + 1))).join(b, ["g", "scale"]).filter(fit & ((c("cy") == c("main")) | (c("x") < c("y"))))
-        star = rest.select("x", "y") if step >= PIVOT_ROUNDS else star.unionByName(rest.select("x", "y"))
-    return star, t.filter(~c("whole")).select("g", "id", "n", "i", "weight", *BITS)
+    a = side("x", "main", "whole", "scale").filter(c("whole") & (c("bx") != c("main")))
+    rest = a.withColumn("scale", F.explode(F.array(c("scale") - 1, c("scale"), c("scale") + 1))).join(b, ["g", "scale"]).filter(fit & ((c("by") == c("main")) | (c("x") < c("y"))))
+    star = rest.select("x", "y") if step >= PIVOT_ROUNDS else star.unionByName(rest.select("x", "y"))
+    return star, t.filter(~c("whole")).select("g", "id", "n", "i", "weight", "r", *BITS)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -251,9 +325,11 @@ def similarity_classes(df: DataFrame, ident: str = "doc_id", text: str = "text",
 
     The product is blocked by columns: equal sets collapse to one row, each set keeps its first
     columns under one order (those known to be frequent last), and only sets that share one are
-    compared. Large columns are contracted first: a pivot is compared with all rows, what links
-    joins its class, and later rounds compare different classes only, so a group of near copies
-    costs a few comparisons per member. Every step is a written table in the shared folder.
+    compared. Near copies of one text share nearly all columns, linked or not, so their block of the product
+    is taken relative to a reference row: overlaps follow from the sizes of the differences, minus the counts
+    of common differing n-grams, which are few. Across references, a pivot of a large column is compared
+    with all rows, what links joins its class, and later rounds compare different classes only. Every
+    step is a written table in the shared folder.
 
     Null, empty and wordless texts have 0 shingles and stay alone; fewer than k words make one
     shingle; repeated rows and equal texts link; an id that stands on several texts is one node, linked by any of them; a null id is returned alone with a null
@@ -274,11 +350,18 @@ def similarity_classes(df: DataFrame, ident: str = "doc_id", text: str = "text",
     many = written(many.filter((100 * c("less") >= percent * c("n")) | (100 * c("n") >= percent * c("more"))).select("g", "id", "n", "i", "m"), "many")
     weights = many.groupBy("id").agg(F.sum("m").alias("weight"))
     left = written(many.drop("m").join(weights.join(sets.select("id", *BITS), "id"), "id"), "cells")
-    label, step = None, 0
-    while step == 0 or not left.isEmpty():
-        known = left.withColumn("cls", c("id")) if label is None else left.join(label, "id", "left").select("g", "id", "n", "i", "weight", *BITS, F.coalesce("cls", "id").alias("cls"))
+    # rows near one reference are settled by their differences from it; what is left are pairs across references
+    text_of = F.struct("h1", "h2", "n")
+    several = rows.filter("n > 0 and id is not null").groupBy("id").agg(F.min(text_of).alias("lo"), F.max(text_of).alias("hi")).filter("lo <> hi").select("id")
+    refs = _references(left.join(several, "id", "left_anti"), percent)
+    diff = _differences(refs, docs, k, percent)
+    label = _classes(None, _near_one_reference(diff, percent))
+    left = left.join(small(diff.select("id", "r").distinct()), "id", "left")
+    step = 1
+    while step == 1 or not left.isEmpty():
+        known = left.join(label, "id", "left").withColumn("cls", F.coalesce("cls", "id")).withColumn("blk", F.struct(c("r").isNull().alias("alone"), F.coalesce("r", "cls").alias("of")))
         pairs, left = _candidates(known, percent, step)
-        found = _links(pairs if step else pairs.unionByName(two), sets, docs, k, percent)
+        found = _links(pairs if step > 1 else pairs.unionByName(two), sets, docs, k, percent)
         label, step = _classes(label, found), step + 1
     comp = sets.select("h1", "h2", "n", "id").join(label, "id", "left").select("h1", "h2", "n", F.coalesce("cls", "id").alias("id"))
     comp = comp.withColumnRenamed("id", "component_id")

@@ -1,5 +1,7 @@
 """Quality rules, license scan, decontamination, n-gram join: against plain versions, and edge cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,29 @@ def test_classes_of_large_groups(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in similarity_classes(d).collect()}
     assert got == plain.classes(dict(rows), 3, 90)
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_classes_of_near_copies_around_the_threshold(spark, percent):
+    # random edits from few words, families of families, cut ends; the base itself may be missing; ids on several texts
+    r = random.Random(7 + percent)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{j}" for j in range(100)]
+        for i in range(60):
+            w = list(base)
+            if i % 5 == 0:
+                w[40:44] = [f"s{family}{j}" for j in range(4)]
+            for _ in range(r.randrange(0 if family else 1, 9)):
+                at = r.randrange(len(w))
+                w[at : at + 1] = r.choice([[], [f"v{r.randrange(6)}"], [w[at], f"v{r.randrange(6)}"]])
+            rows.append((family * 1000 + i, " ".join(w[: r.choice([100, 100, 95, 90])])))
+    rows += [(5000 + i, rows[i * 7][1]) for i in range(10)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in similarity_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=percent).collect()}
+    want = plain.classes(dict(rows), 3, percent)
+    assert got == want and 4 < len({c for _, c in want.values()}) < len(rows) - 20
+
+    # an id on two texts joins the classes of both; neither text is lost to the other's reference
+    twice = [(0, rows[70][1]), (0, rows[0][1]), *rows[1:130]]
+    both = {x.component_id for x in similarity_classes(spark.createDataFrame(twice, "doc_id long, text string"), percent=percent).collect() if x.doc_id in (0, 1010)}
+    assert both == {0}
